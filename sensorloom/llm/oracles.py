@@ -31,4 +31,67 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)
 """
 
-ORACLES = {"op8_exact_dedup": OP8, "op9_minhash": OP9}
+
+def _quality() -> str:
+    from .quality import BASE_WORDS, COMMON, LEAST_CHARS, LEAST_WORDS, MOST_CHAR, MOST_REPEATED, MOST_WORD
+
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN {listed(v)}" for k, v in COMMON.items()) + " ELSE [] END"
+    langs = ", ".join(f"'{k}'" for k in COMMON)
+    bins = len(COMMON["en"])
+    count = lambda c: f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))"
+    term = "CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+
+    def distance(p: str, q: str, n: int) -> str:
+        a, b = f"({p}[i] / list_sum({p}))", f"({q}[i] / list_sum({q}))"
+        each = f"({term.format(a=a, b=b)} + {term.format(a=b, b=a)}) / 2"
+        some = f"list_sum({p}) > 0 AND list_sum({q}) > 0"
+        return f"CASE WHEN {some} THEN sqrt(greatest(0, list_sum(list_transform(generate_series(1, {n}), lambda i: {each})))) END"
+
+    sums = lambda c, n: "[" + ", ".join(f"sum({c}[{i}])" for i in range(1, n + 1)) + "]"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END AS lang,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw
+  FROM documents
+), places AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 4)) AS i, w FROM d WHERE len(w) >= 5
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+4], ' ')) AS n FROM places
+), covered AS (
+  SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS words FROM windows WHERE n > 1
+), repeated AS (SELECT doc_id, CAST(sum(words) AS BIGINT) AS n FROM covered GROUP BY 1),
+counts AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST({count('[#*$%&|<>]')} AS BIGINT) AS n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars,
+    [{count(r'\p{L}')} - ({count(r'\p{Lu}')}), {count(r'\p{Lu}')}, {count(r'\p{Nd}')}, {count(r'[\x20\x09-\x0D]')},
+     {count(r"[.,;:!?''\x22()\-]")}] AS c5,
+    list_transform(lw, lambda x: coalesce(list_position({common}, x), 0)) AS p
+  FROM d LEFT JOIN repeated USING (doc_id)
+), hist AS (
+  SELECT * EXCLUDE (c5, p), list_append(c5, n_chars - list_sum(c5)) AS chars,
+    list_append(list_transform(generate_series(1, {bins}), lambda k: len(list_filter(p, lambda x: x = k))), len(list_filter(p, lambda x: x = 0))) AS words,
+    n_words < {BASE_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed
+  FROM counts
+), refs AS (
+  SELECT lang, {sums('chars', 6)} AS rc, {sums('words', bins + 1)} AS rw FROM hist
+  WHERE NOT base_failed AND n_chars >= {LEAST_CHARS} AND n_words >= {LEAST_WORDS} GROUP BY lang
+), far AS (
+  SELECT hist.*, {distance('chars', 'rc', 6)} AS cd, CASE WHEN lang <> 'other' THEN {distance('words', 'rw', bins + 1)} END AS wd
+  FROM hist LEFT JOIN refs USING (lang)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= {LEAST_CHARS} AND coalesce(cd, 0) > {MOST_CHAR})
+    AND NOT (n_words >= {LEAST_WORDS} AND coalesce(wd, 0) > {MOST_WORD}) AS kept,
+  round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM far
+"""
+
+
+OP3 = _quality()
+
+ORACLES = {"op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9}

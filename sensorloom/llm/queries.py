@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .minhash import Near, near_groups
+from .mixing import mix
+from .packing import pack
+from .quality import scored
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "_row")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scored(table(spark, sf_dir, "documents")).drop("_row")
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,4 +34,6 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), near=Near(words=3, percent=85)).drop("_row")
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_minhash)}
+QUERIES = {
+    f.__name__: f for f in (op2_mixing, op3_quality, op7_packing, op8_exact_dedup, op9_minhash)
+}
