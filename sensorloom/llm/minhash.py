@@ -4,7 +4,8 @@
    many universal hash functions over that set. Rows with equal sets form a class at once.
 2. *Banding*: classes whose signatures agree in a band share a bucket. Every class is compared with
    the first class of each of its buckets, so a bucket gives as many candidates as it has members.
-3. *Verification*: the signature first (a bound six standard deviations wide), then the full sets.
+3. *Verification*: the signature first (a byte of each minimum, a bound six standard deviations wide),
+   then the full sets.
 4. *Components* of the verified links, by alternating large-star and small-star.
 5. *The rest of the buckets*: a bucket whose members lie in several components may hide links that
    avoid its first member. All members of such buckets are compared on their full sets, in blocks, by
@@ -29,6 +30,7 @@ from .common import ASCII_LOWER, by_key, persist, small_batches, with_small
 from .components import connected_components
 
 _SEED = 20240229
+_FEW = 1_000_000  # ids of rows, 8 bytes each, that may be broadcast
 _CHUNK = 2048  # shingles hashed at a time: the work area stays in the cache
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -134,10 +136,11 @@ class Minima:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
-    """Per row: ``row, id, n, key`` (of the set), ``minima`` and the compressed text. Written once."""
+    """Per row: ``row, id, n, key`` (of the set), ``bands`` (a 64-bit key each), ``check`` (the low byte of
+    each minimum) and the compressed text. Written once."""
     import pyarrow as pa
 
-    schema = f"row long, id {dict(df.dtypes)[id_col]}, n long, key binary, minima binary, packed binary"
+    schema = f"row long, id {dict(df.dtypes)[id_col]}, n long, key binary, bands binary, check binary, packed binary"
 
     def sign(batches):
         import hashlib
@@ -145,27 +148,34 @@ def _signed(df: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        shingler, minima, press = Shingler(near.words), Minima(near.hashes), zstandard.ZstdCompressor(level=1)
+        shingler, minima, press = Shingler(near.words), Minima(near.hashes), zstandard.ZstdCompressor(level=3)
+        rng = np.random.default_rng(_SEED + 2)
+        mult = rng.integers(0, 2**63, near.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        offset = rng.integers(0, 2**64, near.bands, dtype=np.uint64)
+        names = ("row", "n", "key", "bands", "check", "packed")
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = {k: [] for k in ("row", "n", "key", "minima", "packed")}
+            out = {k: [] for k in names}
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingler.shingles(text or b"")
-                some = len(s) > 0
-                out["row"].append(row)
-                out["n"].append(len(s))
-                out["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if some else None)
-                out["minima"].append(minima(s).tobytes() if some else None)
-                out["packed"].append(press.compress(text) if some else None)
+                values = (row, 0, None, None, None, None)
+                if len(s):
+                    m = minima(s)
+                    bands = (m.reshape(near.bands, near.rows).astype(np.uint64) * mult).sum(axis=1, dtype=np.uint64)
+                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    bands = Shingler._mix(bands + offset).tobytes()
+                    values = (row, len(s), key, bands, m.astype(np.uint8).tobytes(), press.compress(text))
+                for k, v in zip(names, values):
+                    out[k].append(v)
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out["row"], pa.int64()),
                     batch.column("id"),
                     pa.array(out["n"], pa.int64()),
-                    *(pa.array(out[k], pa.binary()) for k in ("key", "minima", "packed")),
+                    *(pa.array(out[k], pa.binary()) for k in names[2:]),
                 ],
-                ["row", "id", "n", "key", "minima", "packed"],
+                ["row", "id", *names[1:]],
             )
 
     narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -177,19 +187,12 @@ def _bands(classes: DataFrame, near: Near) -> DataFrame:
     import pyarrow as pa
 
     def band(batches):
-        rng = np.random.default_rng(_SEED + 2)
-        mult = rng.integers(0, 2**63, near.rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        offset = rng.integers(0, 2**64, near.bands, dtype=np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32)
-            sig = sig.reshape(batch.num_rows, near.bands, near.rows).astype(np.uint64)
-            key = Shingler._mix((sig * mult).sum(axis=2, dtype=np.uint64) + offset)
+            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.int64)
             rows = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), near.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(rows)], ["bucket", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rows)], ["bucket", "row"])
 
-    return classes.select("row", "minima").mapInArrow(band, "bucket long, row long")
+    return classes.select("row", "bands").mapInArrow(band, "bucket long, row long")
 
 
 def _checked(pairs: DataFrame, near: Near) -> DataFrame:
@@ -213,7 +216,7 @@ def _checked(pairs: DataFrame, near: Near) -> DataFrame:
             cols = [batch.column(c).to_pylist() for c in ("u", "v", "mu", "mv", "pu", "pv")]
             good = []
             for u, v, mu, mv, pu, pv in zip(*cols):
-                if np.count_nonzero(np.frombuffer(mu, np.uint32) == np.frombuffer(mv, np.uint32)) < near.agree:
+                if np.count_nonzero(np.frombuffer(mu, np.uint8) == np.frombuffer(mv, np.uint8)) < near.agree:
                     continue
                 a, b = shingles(u, pu), shingles(v, pv)
                 both = len(np.intersect1d(a, b, assume_unique=True))
@@ -305,16 +308,15 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     sets = persist(
         narrow.filter("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("first_id")), "sets"
     )
-    classes = signed.select("row", "minima", "packed").join(sets.select("row"), "row", "left_semi")
-    classes = persist(classes, "classes")
-
-    bands = persist(_bands(classes, near), "bands")
+    bands = _bands(with_small(signed.select("row", "bands"), sets.select("row"), "row", "left_semi", _FEW), near)
     buckets = bands.groupBy("bucket").agg(F.min("row").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = persist(bands.join(buckets, "bucket"), "buckets")
+    shared = persist(members.select("row").distinct(), "shared")
+    held = persist(with_small(signed.select("row", "check", "packed"), shared, "row", "left_semi", _FEW), "held")
 
     pairs = members.filter("row <> v").select(F.col("row").alias("u"), "v").distinct()
-    u = classes.select(F.col("row").alias("u"), F.col("minima").alias("mu"), F.col("packed").alias("pu"))
-    v = classes.select(F.col("row").alias("v"), F.col("minima").alias("mv"), F.col("packed").alias("pv"))
+    u = held.select(F.col("row").alias("u"), F.col("check").alias("mu"), F.col("packed").alias("pu"))
+    v = held.select(F.col("row").alias("v"), F.col("check").alias("mv"), F.col("packed").alias("pv"))
     first = connected_components(_checked(pairs.join(u, "u").join(v, "v"), near))
 
     placed = persist(
@@ -341,7 +343,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
-    packed = spread.join(classes.select("row", "packed"), "row")
+    packed = spread.join(held.select("row", "packed"), "row")
     keys = ["bucket", "x", "y"]
     dealt = packed.repartition(*keys).sortWithinPartitions(*keys)
     second = connected_components(_links_in_blocks(dealt, near))
