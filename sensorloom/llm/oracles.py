@@ -94,4 +94,37 @@ FROM far
 
 OP3 = _quality()
 
-ORACLES = {"op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9}
+OP10 = r"""
+WITH all_lines AS (
+  SELECT doc_id, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)
+), lines AS (
+  SELECT doc_id, i, line, row_number() OVER d AS k,
+    sum(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) OVER d AS words
+  FROM all_lines WHERE worded WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), ends AS (
+  SELECT a.doc_id, a.k AS lo, min(b.k) AS hi FROM lines a JOIN lines b
+    ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49
+   AND b.words - a.words + len(list_filter(string_split_regex(a.line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 50 GROUP BY 1, 2
+), starts AS (
+  SELECT b.doc_id, max(a.k) AS lo, b.k AS hi FROM lines a JOIN lines b
+    ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49
+   AND b.words - a.words + len(list_filter(string_split_regex(a.line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) >= 50 GROUP BY 1, 3
+), runs AS (
+  SELECT r.doc_id, lo, hi, string_agg(line, chr(10) ORDER BY k) AS content
+  FROM (SELECT doc_id, lo, hi FROM ends UNION SELECT doc_id, lo, hi FROM starts) r
+  JOIN lines l ON l.doc_id = r.doc_id AND l.k BETWEEN lo AND hi GROUP BY 1, 2, 3
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo) AS nth FROM runs
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.i FROM later r JOIN lines l ON l.doc_id = r.doc_id AND l.k BETWEEN lo AND hi WHERE nth > 1
+), marked AS (
+  SELECT a.*, g.i IS NOT NULL AS cut FROM all_lines a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i
+)
+SELECT m.doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n_removed,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '') END AS text
+FROM marked m JOIN documents d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+"""
+
+ORACLES = {"op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9, "op10_line_dedup": OP10}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
 from .minhash import Near, near_groups
 from .mixing import mix
 from .packing import pack
@@ -34,6 +35,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), near=Near(words=3, percent=85)).drop("_row")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+
+
 QUERIES = {
-    f.__name__: f for f in (op2_mixing, op3_quality, op7_packing, op8_exact_dedup, op9_minhash)
+    f.__name__: f for f in (op2_mixing, op3_quality, op7_packing, op8_exact_dedup, op9_minhash, op10_line_dedup)
 }
