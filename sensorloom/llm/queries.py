@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .minhash import Near, near_groups
 from .mixing import mix
 from .packing import pack
+from .pii import find
 from .quality import scored
 
 
@@ -23,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(table(spark, sf_dir, "documents")).drop("_row")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -41,5 +46,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_mixing, op3_quality, op7_packing, op8_exact_dedup, op9_minhash, op10_line_dedup)
+    f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op7_packing, op8_exact_dedup, op9_minhash, op10_line_dedup)
 }
