@@ -13,6 +13,8 @@ from .mixing import mix
 from .packing import pack
 from .pii import find
 from .quality import scored
+from .token_output import token_output
+from .warc import archive
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +26,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents")).drop("_row")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -46,5 +56,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_mixing, op3_quality, op5_pii, op7_packing, op8_exact_dedup, op9_minhash, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op2_mixing, op3_quality, op4_token_output, op5_pii, op6_warc, op7_packing, op8_exact_dedup, op9_minhash,
+        op10_line_dedup,
+    )
 }
