@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .html_extract import extract
 from .line_dedup import dedup_lines
 from .minhash import Near, near_groups
 from .mixing import mix
@@ -17,6 +18,10 @@ from .token_output import token_output
 from .warc import archive
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies", "_row")
 
@@ -58,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_mixing, op3_quality, op4_token_output, op5_pii, op6_warc, op7_packing, op8_exact_dedup, op9_minhash,
+        op1_html_extraction, op2_mixing, op3_quality, op4_token_output, op5_pii, op6_warc, op7_packing, op8_exact_dedup, op9_minhash,
         op10_line_dedup,
     )
 }
