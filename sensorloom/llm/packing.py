@@ -29,9 +29,9 @@ def encoded(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABUL
         from pyspark import TaskContext
 
         enc, part, at = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        width = int(enc.dtype[2:])
+        width = enc.width
         for batch in batches:
-            ids = [enc.encode(t or "") for t in batch.column("text").to_pylist()]
+            ids = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             n = [len(x) // width for x in ids]
             starts = []
             for x in n:

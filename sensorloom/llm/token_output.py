@@ -93,15 +93,15 @@ def write_shards(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         part, file, path = TaskContext.get().partitionId(), None, ""
         ids, nulls, counts = [], [], []
         enc = encoder(vocabulary)
-        width = int(enc.dtype[2:])
+        width = enc.width
         for batch in batches:
             if not batch.num_rows:
                 continue
             if file is None:
                 path = attempt_path(folder, "tok")
                 file = opened(path, "wb")
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                raw = enc.encode(text or "")
+            encoded = enc.encode([t or "" for t in batch.column("text").to_pylist()])
+            for doc_id, raw in zip(batch.column("id").to_pylist(), encoded):
                 file.write(raw)
                 ids.append(doc_id or 0)
                 nulls.append(doc_id is None)

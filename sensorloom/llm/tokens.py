@@ -1,21 +1,28 @@
 """Encoding of whole texts with a byte-level BPE of the tokenizers library, piece by piece.
 
-A text is cut before each run of white space. No pre-token of such a vocabulary crosses these cuts, so
-the ids of the text are those of its pieces. Pieces repeat; each worker keeps the ids of the pieces it
-has met (a bounded table), and only new ones go through the library.
+A text is cut before runs of white space and after runs of Latin letters. No pre-token of such a vocabulary
+crosses these cuts, so the ids of the text are those of its pieces. Pieces repeat; each worker keeps the ids
+of the pieces it met last (a bounded table of two generations), and only new ones go through the library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-#: Pieces a worker remembers, and the longest piece worth remembering.
-_REMEMBERED, _LONGEST = 400_000, 64
+#: Pieces of a generation a worker remembers, and the longest piece worth remembering.
+_REMEMBERED, _LONGEST = 500_000, 64
 #: White space as Unicode has it, which Python's \s exceeds by U+001C to U+001F.
-_PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECE = re.compile(
+    rf"{_SPACE}*+[^\s\x1c-\x1f{_LATIN}]*+[{_LATIN}]++(?![^\W\d_])"  # to the end of a run of letters
+    rf"|{_SPACE}*+[^\s\x1c-\x1f{_LATIN}]++(?=\s|\Z)|{_SPACE}*+{_OTHER}+|{_SPACE}+"
+)
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -35,30 +42,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.end = self._bytes([END_ID])
 
-    def encode(self, text: str) -> bytes:
-        """The ids of ``text`` and then ``END_ID``, as little-endian integers of ``dtype``."""
-        import numpy as np
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
-        pieces = _PIECE.findall(text)
-        known = self.known
-        new = {p for p in pieces if p not in known}
+    def _learn(self, pieces: list[list[str]]) -> dict[str, bytes]:
+        """Make ``known`` hold all pieces; returns those too long to be remembered."""
+        if len(self.known) > _REMEMBERED:
+            self.known, self.before = {}, self.known
+        new = set().union(*pieces) - self.known.keys()
+        again = new & self.before.keys()
+        self.known.update((p, self.before[p]) for p in again)
         extra: dict[str, bytes] = {}
-        if new:
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = set(pieces)
-            new = list(new)
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    (known if len(p) <= _LONGEST else extra)[p] = np.array(e.ids, self.dtype).tobytes()
-        end = np.array([END_ID], self.dtype).tobytes()
+        unknown = list(new - again)
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                (self.known if len(p) <= _LONGEST else extra)[p] = self._bytes(e.ids)
+        return extra
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and then ``END_ID``, as little-endian integers of ``width`` bytes."""
+        pieces = [_PIECE.findall(t) for t in texts]
+        extra = self._learn(pieces)
         if extra:
-            return b"".join([known[p] if p in known else extra[p] for p in pieces]) + end
-        return b"".join(map(known.__getitem__, pieces)) + end
+            of = lambda p: self.known[p] if p in self.known else extra[p]
+        else:
+            of = self.known.__getitem__
+        return [b"".join(map(of, p)) + self.end for p in pieces]
 
 
 def encoder(name: str = VOCABULARY) -> Encoder:
