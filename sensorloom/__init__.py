@@ -1,0 +1 @@
+"""Windowed-sensor analytics and language-model evaluation as Spark plans."""
