@@ -158,7 +158,7 @@ def segments(x: Column, parts: int = 4) -> Column:
 
 
 def segment_trends(x: Column, parts: int = 4) -> Column:
-    return F.transform(segments(x, parts), edge_trend)
+    return F.transform(segments(x, parts), lambda part: edge_trend(part))
 
 
 def fluctuation(x: Column, low: float = 0.08, high: float = 0.35) -> Column:

@@ -86,8 +86,9 @@ def other_subjects(subjects: DataFrame, pool: DataFrame, subject: str, k: int, s
 
 
 def examples(candidates: DataFrame, samples: DataFrame, subject: str, label: str, key: str, n: int, seed: int) -> DataFrame:
-    """Few-shot examples of each evaluated subject: per candidate and label the first ``n`` by hash."""
-    picked = top_per_group(samples.select(subject, label, key), [subject, label], n, seed, "few-shot-sample", key)
+    """Few-shot examples of each evaluated subject: per candidate and label the first ``n`` by hash, ``rn`` from 1."""
+    order = stable_hash(seed, "few-shot-sample", F.col(subject), F.col(label), F.col(key))
+    picked = ranked(samples.select(subject, label, key), [subject, label], order, key).filter(F.col("rn") <= n)
     return candidates.join(picked, subject)
 
 
