@@ -26,7 +26,7 @@ SLEEP_PARTS = "heart_rate|skin_temp|temperature|actigraphy|activity|motion|accel
 
 
 def feature_line(name: str, stats: Column) -> Column:
-    """``- name: mean=0.125, …`` from :func:`arrays.described`."""
+    """``- name: mean=0.125, …``; ``stats`` is a column that holds :func:`arrays.described`, not the expression."""
     parts = [F.lit(f"- {name}: ")]
     for i, k in enumerate(("mean", "std", "min", "max", "p25", "p75")):
         parts += [F.lit(f"{', ' if i else ''}{k}="), formatted(stats[k], ".3f")]
@@ -103,7 +103,7 @@ def _other_text(signals) -> str:
 
 
 def encoded_channel(name: str, sensor: str, place: str, rate: float | None, x: Column) -> Column:
-    """The tagged block of temporal patterns of one channel."""
+    """The tagged block of temporal patterns of one channel; ``x`` is a column, not an expression."""
     tag = f"{place}_{name}".upper().replace("-", "_").replace(" ", "_")
     good = A.clean(x)
 
@@ -137,8 +137,25 @@ def encoded_channel(name: str, sensor: str, place: str, rate: float | None, x: C
         return F.concat(*lines)
 
     head = A.let(A.zscore(A.downsampled(good, 256), zeros=True), block)
-    stats = [formatted(f(good), ".4g") for f in (A.mean, A.std, F.array_min, F.array_max)]
-    return F.concat(head, stats[0], F.lit(", std="), stats[1], F.lit(", min="), stats[2], F.lit(", max="), stats[3], F.lit(f"\n</{tag}>"))
+    return F.concat(head, _supporting(x), F.lit(f"\n</{tag}>"))
+
+
+def _supporting(x: Column) -> Column:
+    """Mean, std, min and max of the finite values with four significant digits."""
+
+    @F.pandas_udf("string")
+    def show(arrays: pd.Series) -> pd.Series:
+        import numpy as np
+
+        out = []
+        for a in arrays:
+            v = np.asarray([] if a is None else a, float)
+            v = v[np.isfinite(v)]
+            parts = (v.mean(), v.std(), v.min(), v.max()) if len(v) else (0.0,) * 4
+            out.append(", ".join(f"{k}{p:.4g}" for k, p in zip(("", "std=", "min=", "max="), parts)))
+        return pd.Series(out)
+
+    return show(x)
 
 
 def encoded_text(blocks: Column) -> Column:
