@@ -87,10 +87,23 @@ def word_count(text: Column) -> Column:
 
 
 def row_key() -> Column:
-    """An id of the row, stable as long as the input files and the split size are."""
+    """An id of the row, the same in every scan of a :func:`stable` table."""
     return F.monotonically_increasing_id()
 
 
+_NARROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Scan", "RelationV2"}
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` such that each scan of it, with whatever columns, deals the same rows to the same partitions.
+
+    Files are; whatever has been shuffled, sorted, sampled or joined is written once.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return df if nodes <= _NARROW else persist(df, "pinned")
+
+
 def by_key(batches: Iterator, keys: list[str]):
     """Consecutive rows with equal keys, as (key, pyarrow table), from key-sorted batches."""
     import pyarrow as pa

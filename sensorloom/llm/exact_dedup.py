@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, persist, row_key, with_small
+from .common import ascii_lower, persist, row_key, stable, with_small
 
 SALTS = 32
-_SHIFT = F.lit("10000000000000000000").cast("decimal(20,0)")
+_SHIFT = "10000000000000000000"
 
 
 def normalised(text: Column) -> Column:
@@ -30,7 +30,7 @@ def normalised(text: Column) -> Column:
 def _rank(doc_id: Column, row: Column) -> Column:
     """A number that orders rows by (doc_id, row), null ids first."""
     big = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit("-9300000000000000000").cast("decimal(19,0)"))
-    return (big * _SHIFT + row.cast("decimal(19,0)")).cast("decimal(38,0)")
+    return (big * F.lit(_SHIFT).cast("decimal(20,0)") + row.cast("decimal(19,0)")).cast("decimal(38,0)")
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -40,6 +40,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat that id exactly one does, and a null id is smaller than any other. An empty table gives
     an empty result. Other columns of ``df`` are not read, whatever their names.
     """
+    df = stable(df)
     base = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", row_key())
     rows = base.select(
         "_id", "_row", normalised(F.col("_text")).alias("_norm"), (F.spark_partition_id() % salts).alias("_salt")
@@ -72,6 +73,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, whatever these are called."""
+    df = stable(df)
     gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col("_row").alias("_this_row"))
     rows = df.select(F.struct("*").alias("_all")).withColumn("_this_row", row_key())
     return with_small(rows, persist(gone, "gone"), "_this_row", "left_anti").select("_all.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, let, persist, row_key, with_small
+from .common import SPACES, WORD, let, persist, row_key, stable, with_small
 
 #: Least words of a run that is worth deleting.
 LEAST = 50
@@ -100,6 +100,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     repeat an id are ordered by their place in the input. Texts of fewer than ``least`` words never change.
     Other columns are kept as they are. An empty table gives an empty result.
     """
+    df = stable(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = _later(df.select(F.col(id_col).alias("_id"), text.alias("_text"), row_key().alias("_row")), least)
     rows = df.select(F.struct("*").alias("_all"), text.alias("_text"), row_key().alias("_row"))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partition_offsets, persist, row_key, small_batches, with_small, word_count
+from .common import partition_offsets, persist, row_key, small_batches, stable, with_small, word_count
 
 LEAF = 1024
 WEIGHTS = (5, 2, 1)
@@ -111,6 +111,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Null texts have no words and are taken zero times more than their source's whole copies; a null
     source is a source. Null or repeated ids are rows like others. An empty table gives an empty result.
     """
+    df = stable(df)
     small_batches(df.sparkSession, 10_000)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = persist(
@@ -166,6 +167,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it, with all their columns."""
+    df = stable(df)
     chosen = mix(df, id_col, text_col, source_col).filter("copies <> 1").select(F.col("_row").alias("_this_row"), F.col("copies").alias("_copies"))
     rows = df.select(F.struct("*").alias("_all")).withColumn("_this_row", row_key())
     copies = F.coalesce("_copies", F.lit(1)).cast("int")

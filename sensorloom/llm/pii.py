@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD, let, persist, row_key, with_small
+from .common import SPACE_CLASS, WORD, let, persist, row_key, stable, with_small
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The guards before them only spare searches that must fail: a match may start inside
@@ -140,6 +140,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Null and empty texts have no spans. Null and repeated ids are rows like others. An empty table gives an
     empty result. Only the two named columns are read. Offsets count code points from 0, ends exclusive.
     """
+    df = stable(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), row_key().alias("row"), text.alias("text"))
     rows = rows.withColumns({k: _spans(F.col("text"), k) for k in KINDS})

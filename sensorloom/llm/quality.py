@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, ascii_lower, let, persist, row_key, with_small
+from .common import SPACES, WORD, ascii_lower, let, persist, row_key, stable, with_small
 
 # Frequent function words of the languages that have a reference of their own.
 COMMON = {
@@ -147,6 +147,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     the characters of all such documents. Null and repeated ids are rows like others; an empty table gives
     an empty result. Only the three named columns are read.
     """
+    df = stable(df)
     rows = persist(measured(df, id_col, text_col, lang_col), "measured")
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
@@ -169,6 +170,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def filtered(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns."""
+    df = stable(df)
     gone = scored(df, id_col, text_col, lang_col).filter("not kept").select(F.col("_row").alias("_this_row"))
     rows = df.select(F.struct("*").alias("_all")).withColumn("_this_row", row_key())
     return with_small(rows, persist(gone, "gone"), "_this_row", "left_anti").select("_all.*")

@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, persist, row_key, small_batches
+from .common import new_path, persist, row_key, small_batches, stable
 from .files import attempt_path, opened
 
 FRAME = 256 << 10
@@ -154,6 +154,7 @@ def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Null html counts as empty. Payloads shorter than ``least_bytes`` are never revisited. Among rows that
     repeat the smallest page id exactly one is the response; a null id is larger than any other.
     """
+    df = stable(df)
     import pyarrow as pa
 
     html = F.coalesce(F.col(html_col), F.lit(""))
