@@ -69,7 +69,8 @@ def _later(df: DataFrame, least: int) -> DataFrame:
         F.transform("lines", lambda x: F.size(F.array_remove(F.split(x, SPACES), ""))).alias("words"),
     )
     hashed = hashed.withColumn("windows", _windows(F.col("words"), F.col("h"), least)).drop("words")
-    hashed = persist(hashed.filter(F.size("windows") > 0), "lines")
+    # no filter here: pushed below, it would compute hashes and word counts anew for every window
+    hashed = persist(hashed, "lines")
 
     places = F.array_distinct(F.transform("windows", lambda w: w["place"]))
     prints = hashed.select("_row", "h", F.explode(places).alias("place")).select("_row", "place", F.get("h", F.col("place")).alias("print"))
