@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 _BRACES = re.compile(r"\{.*\}", re.S)
 _VOTES = (re.compile(r'"predicted_label"\s*:\s*"?(-?\d+)"?'), re.compile(r'predicted_label\s*[:=]\s*"?(-?\d+)"?'))
@@ -53,6 +55,8 @@ def answer(text: str | None, labels: list[int], explain: bool = False) -> tuple[
 
 
 def parsed(text: Column, labels: list[int], explain: bool = False) -> Column:
+    ensure()
+
     @F.pandas_udf(RESULT)
     def parse(texts: pd.Series) -> pd.DataFrame:
         rows = [answer(t, labels, explain) for t in texts]
@@ -92,6 +96,8 @@ def _integer(value) -> int | None:
 
 
 def votes(response: Column, labels: list[int]) -> Column:
+    ensure()
+
     @F.pandas_udf("int")
     def read(texts: pd.Series) -> pd.Series:
         return pd.Series([vote(t, labels) for t in texts], dtype="Int32")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions.text import formatted, rounded_list
+from ..ship import ensure
 
 # Values printed per channel of the stress recordings, and of any other channel.
 STRESS_LENGTHS = {
@@ -50,6 +51,7 @@ def packed(x: Column, length: int) -> Column:
 
 def raw_block(signals: Column, dataset: Column) -> Column:
     """The raw-sequence text of a window; the stress recordings have a fixed layout, others their first channels by name."""
+    ensure()
 
     @F.pandas_udf("string")
     def show(rows: pd.Series, datasets: pd.Series) -> pd.Series:

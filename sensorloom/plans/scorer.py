@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 RESULT = (
     "response string, error string, model string, prompt_chars long, completion_chars long, total_chars long, prompt_tokens long, "
     "completion_tokens long, total_tokens long, elapsed_time_sec double"
@@ -88,6 +90,7 @@ class MockScorer:
 
 def scored(df: DataFrame, call: Callable[..., dict], path: str, threads: int = 8, prompt: str = "prompt", temperature: str | None = None) -> DataFrame:
     """``df`` with an answer and usage per row, written to ``path`` once and read from there. Order is a column's business."""
+    ensure(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,12 +13,14 @@ from .functions import arrays as A
 from .functions import cleaning as C
 from .operators import align, answers, metrics, sampling, segments
 from .plans import prompts
+from .ship import ensure
 
 GAP, WINDOW, STRIDE = 20_000.0, 72_000.0, 36_000.0
 TYPES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ensure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
