@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ensure
+
 #: Word separators of every contract: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = SPACE_CLASS + "+"
@@ -52,7 +54,8 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch holds, as single texts may be very long."""
+    """Bound what one Arrow batch holds, as single texts may be very long; workers get this package."""
+    ensure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
