@@ -302,5 +302,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), sizes], [id_col, url_col, "text", "n_chars"])
 
-    placed = with_small(pages, trees, "host", "left")
+    placed = with_small(pages, trees, "host", "left", weight=1 + F.size("removed"))
     return placed.select("id", "url", "html", "removed").mapInArrow(read, f"{id_col} {kinds[id_col]}, {url_col} {kinds[url_col]}, text string, n_chars long")

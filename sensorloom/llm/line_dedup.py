@@ -26,7 +26,7 @@ from .common import SPACES, WORD, let, persist, row_key, stable, with_small
 
 #: Least words of a run that is worth deleting.
 LEAST = 50
-_NARROW = 1_000_000  # rows of (row, windows) that may be broadcast
+_FEW = 500_000  # windows, of 8 bytes, that may be broadcast
 
 
 def _windows(words: Column, hashes: Column, least: int) -> Column:
@@ -105,7 +105,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = _later(df.select(F.col(id_col).alias("_id"), text.alias("_text"), row_key().alias("_row")), least)
     rows = df.select(F.struct("*").alias("_all"), text.alias("_text"), row_key().alias("_row"))
-    both = with_small(rows, gone, "_row", "left", _NARROW)
+    both = with_small(rows, gone, "_row", "left", _FEW, 1 + F.size("gone"))
     split = both.withColumn("_lines", F.split("_text", "\n")).withColumn(
         "_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
     )

@@ -155,7 +155,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     # one kind for each place: the first, if several claim it
     new = new.groupBy("row", "start", "end").agg(F.min("found").alias("kind"))
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
-    out = with_small(narrow, persist(new, "found"), "row", "left")
+    out = with_small(narrow, persist(new, "found"), "row", "left", weight=1 + F.size("new"))
     every = F.coalesce(F.concat("base", "new"), F.col("base"))
     return out.select(
         F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
