@@ -75,12 +75,11 @@ def subject_label_balanced(df: DataFrame, subject: str, label: str, n: int, seed
 def other_subjects(subjects: DataFrame, pool: DataFrame, subject: str, k: int, seed: int) -> DataFrame:
     """Leave one out: ``eval_subject, subject, subject_rank`` of the ``k`` pool subjects by hash for each.
 
-    ``subjects`` and ``pool`` are distinct lists of subjects, not samples. A subject has at most
-    ``k + 1`` candidates: the pool is ranked once by a hash of the pool subject within hash buckets of the
-    evaluated one, so the pairing is a join of two small tables on inequality.
+    ``subjects`` and ``pool`` are distinct lists of subjects. Every pair has a hash of its own, so the pairs
+    number their product; samples only meet the ``k`` that are left.
     """
     left = subjects.select(F.col(subject).alias("eval_subject"))
-    pairs = left.join(F.broadcast(pool.select(subject)), F.col("eval_subject") != F.col(subject))
+    pairs = left.join(pool.select(subject), F.col("eval_subject") != F.col(subject))
     order = stable_hash(seed, "few-shot-subject", F.col("eval_subject"), F.col(subject))
     return ranked(pairs, ["eval_subject"], order, subject, "subject_rank").filter(F.col("subject_rank") <= k)
 
