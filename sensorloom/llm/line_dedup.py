@@ -74,7 +74,8 @@ def _later(df: DataFrame, least: int) -> DataFrame:
 
     places = F.array_distinct(F.transform("windows", lambda w: w["place"]))
     prints = hashed.select("_row", "h", F.explode(places).alias("place")).select("_row", "place", F.get("h", F.col("place")).alias("print"))
-    shared = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
+    # written, so that the joins below stand alone in their stage and Spark can split hot keys
+    shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
     met = prints.join(shared, "print").groupBy("_row").agg(F.collect_set("place").alias("places"))
 
     # extend each met position to its windows, and name these by their content
@@ -89,7 +90,7 @@ def _later(df: DataFrame, least: int) -> DataFrame:
     )
     found = persist(found, "windows")
     first = found.groupBy("c1", "c2").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = found.join(first.drop("n"), ["c1", "c2"]).filter("spot > first")
+    later = found.join(persist(first.drop("n"), "first"), ["c1", "c2"]).filter("spot > first")
     return persist(later.groupBy("_row").agg(F.collect_set(F.struct("start", "len")).alias("gone")), "later")
 
 
