@@ -10,7 +10,8 @@ For each node the tree counts, over the ``m`` pages that have it,
   text of one page counts 1.
 
 With ``l`` presentations the composite importance is ``(1 - g**l) * presentation + g**l * content`` and
-branches below a threshold are removed from each page. A page's article (or main part, or else body) is then
+branches below a threshold are removed from each page, inside articles and main parts too. There an article or
+main part that repeats as a whole stays whole, and words in the run of a sentence stay in it. A page's article (or main part, or else body) is then
 read off, without what its markup itself declares to be a menu, header, footer, sidebar, notice, advert,
 form, script, style or reader comment; no page is needed to be like others for that.
 
@@ -53,6 +54,8 @@ NOISE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset({"header", "head", "siteheader"})  # noise outside of an article
 KEPT_TAGS = frozenset({"html", "body", "article", "main"})
+#: Blocks that hold other blocks: an inline branch between these is a part of the page, elsewhere of a sentence.
+HOLDERS = frozenset("html body article main section div header hgroup details fieldset center address dir dl ol ul table tbody thead tfoot tr".split())
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("html body article main section div table td th ul ol dl form nav aside header footer figure blockquote".split())
 
@@ -112,25 +115,26 @@ def _path(up: int, style: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "style", "path", "skip", "place", "children", "content")
+    __slots__ = ("tag", "style", "path", "skip", "place", "whole", "children", "content")
 
-    def __init__(self, tag, style, path, skip, place):
-        self.tag, self.style, self.path, self.skip, self.place = tag, style, path, skip, place
+    def __init__(self, tag, style, path, skip, place, whole):
+        self.tag, self.style, self.path, self.skip, self.place, self.whole = tag, style, path, skip, place, whole
         self.children, self.content = [], []
 
 
 class Page:
     """One pass over a page: its nodes for the style tree, and its text with some branches left out."""
 
-    def __init__(self, source: str, removed: Collection[int] = (), tree: bool = False) -> None:
+    def __init__(self, source: str, removed: Collection[int] = (), tree: bool = False, inside: bool = True) -> None:
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
-        self.removed, self.tree = removed, tree
+        self.removed, self.tree, self.inside = removed, tree, inside
+        self.pruned: set[int] = set()  # places that lost a branch inside of articles and main parts
         self.nodes: set[tuple[int, int, int]] = set()  # path, kind (0: presentation, 1: content), feature
         self.blocks: tuple[list, list, list] = ([], [], [])  # of the body, of main, of articles
         self.buffer: list[str] = []
-        self.stack = [_Node("", "", 0, False, 0)]
+        self.stack = [_Node("", "", 0, False, 0, False)]
         self._read(source)
 
     def text(self) -> str:
@@ -167,8 +171,20 @@ class Page:
             return
         path = _path(up.path, style) if self.tree or self.removed else 0
         place = 2 if tag == "article" else max(1, up.place) if main else up.place
-        skip = up.skip or noise or (path in self.removed and not place and tag not in KEPT_TAGS)
-        self.stack.append(_Node(tag, style, path, skip, place))
+        low = path in self.removed
+        own = tag == "article" or main
+        skip = up.skip or noise
+        if low and not skip and not own and tag not in KEPT_TAGS:
+            skip = not place or self._prunable(block, up)
+            if skip and place:
+                self.pruned.add(place)
+        self.stack.append(_Node(tag, style, path, skip, place, up.whole or (own and low)))
+
+    def _prunable(self, block: bool, up: _Node) -> bool:
+        """Whether a branch of low importance inside of an article or main part goes."""
+        if not self.inside or up.whole:
+            return False
+        return block or (up.tag in HOLDERS and not "".join(self.buffer).strip())
 
     def _close(self) -> None:
         node = self.stack[-1]
@@ -243,7 +259,10 @@ class Page:
 
 def main_text(source: str | None, removed: Collection[int] = ()) -> str:
     """The main text of one page, without the nodes of its site's style tree given as ``removed``."""
-    return Page(source or "", removed).text()
+    page = Page(source or "", removed)
+    if any(not page.blocks[p] for p in page.pruned):  # nothing is left of the article: it is a copy of others
+        page = Page(source or "", removed, inside=False)
+    return page.text()
 
 
 def _host(url):

@@ -437,6 +437,20 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in got} == {"T one and the same text"}
 
 
+@pytest.mark.parametrize("part", ["article", "main", "div role='main'"])
+def test_style_tree_removes_what_articles_share(spark, part):
+    shell = (
+        "<body><{0}><h1>Title {1}</h1><span class='x0'>By our desk</span><p class='x1'>Read also our guide</p><div class='c'><p>story {1} of <b class='x3'>the UN</b> goes on</p></div>"
+        "<div class='x2'><p>Tell a friend</p></div></{2}></body>"
+    )
+    rows = [(i, f"http://h/{i}", shell.format(part, i, part.split()[0])) for i in range(30)]
+    rows += [(50 + i, f"http://copies/{i}", f"<body><{part}><h1>T</h1><p>the same</p><i>{i}</i></{part.split()[0]}></body>") for i in range(2)]
+    rows += [(60 + i, f"http://again/{i}", f"<body><{part}><h1>T</h1><p>the same</p></{part.split()[0]}></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} story {i} of the UN goes on" for i in range(30))
+    assert got[51] == "T the same 1" and got[61] == "T the same"
+
+
 def test_pages_of_the_table(spark, sf):
     out = html_extract.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     texts = {" ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text}
