@@ -52,6 +52,12 @@ NOISE_WORDS = frozenset(
     "replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations pagination pager copyright toolbar skip".split()
 )
+#: First and last words of compound class names that say how a part is laid out, not what it is: has-sidebar, share-enabled.
+STATE_FIRST = frozenset("no not non has have with without".split())
+STATE_LAST = frozenset("enabled disabled target active inactive".split())
+#: An article among reader comments is a comment.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+LOW, NAMED, DECLARED = 1, 2, 3  # why a branch is left out: its importance, a word of its class or id, or its markup
 HEADER_WORDS = frozenset({"header", "head", "siteheader"})  # noise outside of an article
 KEPT_TAGS = frozenset({"html", "body", "article", "main"})
 #: Blocks that hold other blocks: an inline branch between these is a part of the page, elsewhere of a sentence.
@@ -73,17 +79,23 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) if v else "" for k, v in _ATTR.findall(raw)} if raw.strip(" /\n\t") else {}
 
 
-def _declared_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _declared_noise(tag: str, attrs: dict[str, str], in_article: bool) -> int:
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
-        return True
+        return DECLARED
     if not attrs or tag in KEPT_TAGS:
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
+        return DECLARED
     if attrs.get("role", "").lower() in NOISE_ROLES:
-        return True
-    words = set(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
-    return bool(words & NOISE_WORDS) or (not in_article and bool(words & HEADER_WORDS))
+        return DECLARED
+    words: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        parts = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        if len(parts) < 2 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
+            words.update(parts)
+    if words & COMMENT_WORDS:
+        return DECLARED
+    return NAMED if words & NOISE_WORDS or (not in_article and words & HEADER_WORDS) else 0
 
 
 #: What a worker remembers of start tags, (tag, attributes as written, inside an article) and of node paths.
@@ -91,8 +103,8 @@ _KNOWN: dict = {}
 _MOST_KNOWN = 100_000
 
 
-def _known(tag: str, raw: str, inside: bool) -> tuple[str, bool, bool]:
-    """Style, whether it is declared noise, and whether it is a main part."""
+def _known(tag: str, raw: str, inside: bool) -> tuple[str, int, bool]:
+    """Style, whether and how it is declared noise, and whether it is a main part."""
     key = (tag, raw, inside)
     if (found := _KNOWN.get(key)) is None:
         if len(_KNOWN) > _MOST_KNOWN:
@@ -132,13 +144,17 @@ class Page:
         self.removed, self.tree, self.inside = removed, tree, inside
         self.pruned: set[int] = set()  # places that lost a branch inside of articles and main parts
         self.nodes: set[tuple[int, int, int]] = set()  # path, kind (0: presentation, 1: content), feature
-        self.blocks: tuple[list, list, list] = ([], [], [])  # of the body, of main, of articles
+        # of the body; of main and of articles in branches that a class or id names noise; of main, of articles
+        self.blocks: tuple[list, list, list, list, list] = ([], [], [], [], [])
         self.buffer: list[str] = []
-        self.stack = [_Node("", "", 0, False, 0, False)]
+        self.stack = [_Node("", "", 0, 0, 0, False)]
         self._read(source)
 
     def text(self) -> str:
-        return " ".join(next((b for b in self.blocks[::-1] if b), []))
+        body, *named = (" ".join(b) for b in self.blocks[:3])
+        main, article = (" ".join(b) for b in self.blocks[3:])
+        # what such a branch holds may be the page's article or a teaser beside it: the longer text is the page's
+        return article or main or max(body, next((t for t in named[::-1] if t), ""), key=len)
 
     def _break(self) -> None:
         if self.buffer:
@@ -170,13 +186,15 @@ class Page:
         if tag in VOID:
             return
         path = _path(up.path, style) if self.tree or self.removed else 0
-        place = 2 if tag == "article" else max(1, up.place) if main else up.place
-        low = path in self.removed
+        place, skip, low = up.place, max(up.skip, noise), path in self.removed
         own = tag == "article" or main
-        skip = up.skip or noise
-        if low and not skip and not own and tag not in KEPT_TAGS:
-            skip = not place or self._prunable(block, up)
-            if skip and place:
+        if own and skip < DECLARED and not (skip == LOW and place in (2, 4)):  # the wrappers of an article do not take it along
+            kind = 2 if tag == "article" else 1
+            first = 0 if skip == NAMED or 0 < place < 3 else 2
+            place, skip = first + kind if first == 0 else max(first + kind, place), 0
+        elif low and not skip and not own and tag not in KEPT_TAGS and (not place or self._prunable(block, up)):
+            skip = LOW
+            if place:
                 self.pruned.add(place)
         self.stack.append(_Node(tag, style, path, skip, place, up.whole or (own and low)))
 

@@ -437,6 +437,32 @@ def test_repeated_articles_stay(spark):
     assert {r.text for r in got} == {"T one and the same text"}
 
 
+WRAPPED = [
+    *((f"<div {a}><p>menu</p><article><p>story</p></article></div>", "story") for a in (
+        "class='layout has-sidebar'", "class='no-sidebar'", "class='with-comments'", "class='share-enabled'", "id='skip-target'", "class='hasSidebar'",
+        "class='sidebar-layout'", "class='page widget'", "id='banner-page'", "class='x' role='presentation'")),
+    ("<div class='sidebar-layout'><main><p>story</p></main></div><footer>f</footer>", "story"),
+    ("<div class='no-sidebar'><p>story</p></div>", "story"), ("<div class='sidebar'><p>side</p></div><p>story</p>", "story"),
+    ("<article><p>story</p></article><div class='related'><article>teaser</article></div>", "story"),
+    ("<main><p>story</p><div class='related'><article>teaser</article></div></main>", "story"),
+    ("<p>a longer story</p><div class='related'><article>teaser</article></div>", "a longer story"),
+    ("<p>story</p><div class='comments'><article>a comment that is long</article></div>", "story"),
+    ("<p>story</p><aside><article>one more that is long</article></aside>", "story"),
+    ("<article><p>story</p><div class='share'><p>tell</p></div><p>ends</p></article>", "story ends"),
+]
+
+
+@pytest.mark.parametrize("source,want", WRAPPED)
+def test_wrappers_do_not_take_the_article(source, want):
+    assert html_extract.main_text(source) == want
+
+
+def test_repeated_wrappers_do_not_take_the_article(spark):
+    rows = [(i, f"http://h/{i}", "<body><div class='wrap'><article><p>the same</p></article></div></body>") for i in range(9)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"the same"}
+
+
 @pytest.mark.parametrize("part", ["article", "main", "div role='main'"])
 def test_style_tree_removes_what_articles_share(spark, part):
     shell = (
