@@ -2,11 +2,13 @@
 
 The base patterns (e-mail, IP address, payment card, phone) give the seed entities. Then:
 
-1. *Occurrences*: every token that could be an identifier (it has a digit or an ``@``), with its shape
-   and the word before it. A lexical pattern is that word together with the shape.
+1. *Occurrences*: every token that could be an identifier (it has a digit or an ``@``, or spells an address
+   out, ``name at host``). A lexical pattern is the word before it together with its exact shape; or the
+   word before, the word after, or both, for all tokens that could be of a kind whatever their shape.
 2. *Graph*: patterns and instances (token values) are the two sides, a narrow table of distinct edges.
 3. *Rounds*: the confidence of a pattern for a kind is the mean score of its instances, less a margin that
-   fades with support; the score of an instance is the noisy-or of its patterns. Seeds keep score 1.
+   fades with support; the score of an instance is the noisy-or of its patterns. Seeds keep score 1. In a
+   pattern of words alone, instances of other kinds speak against a kind, unknown ones by ``UNKNOWN`` each.
 4. *Discovery*: occurrences outside base spans, in a pattern of high confidence, whose instance scores
    high, become spans of that kind.
 
@@ -35,6 +37,8 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 #: A pattern needs this confidence, an instance this score, to extend what is marked; rounds of scoring.
 CONFIDENT, ACCEPTED, ROUNDS = 0.9, 0.9, 3
+#: What an instance of no known kind counts against a pattern of words: other formats are what these are to find.
+UNKNOWN = 0.1
 #: A token with a digit or an @, and groups of digits that follow it.
 TOKEN = (
     rf"(?<!{WORD})(?=[^0-9@\x20\x09-\x0D]*+[0-9@]){WORD}++"
@@ -42,23 +46,41 @@ TOKEN = (
 )
 _LEFT = "[\"'(\\[<{]"
 _RIGHT = "[.,;:!?\"')\\]>}]"
+#: An address spelled out, with a host of one label or more.
+_AT, _DOT = (rf"(?:\x20(?i:{w})\x20|\x20?[\[(](?i:{w})[\])]\x20?)" for w in ("at", "dot"))
+SPELLED = (
+    rf"(?<![^\x20\x09-\x0D\"'(\[<{{]){_LOCAL}++{_AT}[A-Za-z][A-Za-z0-9-]*+(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+"
+    rf"(?={_RIGHT}*+(?!{WORD}))"
+)
+#: One that says more than "name at host", which is mostly prose: that needs the words on both sides.
+_PLAIN = rf"(?i)[\[(]at[\])]|\x20at\x20.*(?:\.|{_DOT})"
+#: Tokens that could be of a kind, in whatever format, and the digits of the numbers among these.
+LIKE = {
+    "email": rf"^{_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+$",
+    "ip": r"^[0-9]++(?:\.[0-9]++){3}$|^(?=.*::|(?:[^:]*:){7})[0-9A-Fa-f:.]++$",
+    "card": r"^[0-9](?:[\x20./-]*+[0-9])*+$",
+    "phone": r"^\+?\(?[0-9](?:[\x20()./-]*+[0-9])*+$",
+}
+DIGITS = {"card": (12, 19), "phone": (7, 15)}
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches in order as ``array<struct<start, end, value, before>>``; before: up to 64 characters."""
+def located(text: Column, pattern: str, after: bool = False) -> Column:
+    """All matches in order as ``array<struct<start, end, value, before>>``; before (and after): up to 64 characters."""
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(64)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        one = [start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(64)).alias("before")]
+        if after:
+            one.append(F.left(x["next"], F.lit(64)).alias("after"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(*one))).alias("out"))
 
-    kind = "array<struct<start:int,end:int,value:string,before:string>>"
+    kind = f"array<struct<start:int,end:int,value:string,before:string{',after:string' if after else ''}>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(
-        found, F.slice(F.split(text, pattern, -1), F.lit(1), F.greatest(F.size(found), F.lit(1))),
-        lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")),
-    )
+    gaps, n = F.split(text, pattern, -1), F.greatest(F.size(found), F.lit(1))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
+    if after:
+        pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), n), lambda x, gap: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), gap.alias("next")))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
     return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), first, step, lambda acc: acc["out"])
 
@@ -97,36 +119,68 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), one), ",")
 
 
+def _like(kind: str, token: Column) -> Column:
+    """Whether a token could be of a kind, by a class of shapes much coarser than its base pattern."""
+    if kind not in DIGITS:
+        return token.rlike(LIKE[kind])
+    return token.rlike(LIKE[kind]) & F.length(F.regexp_replace(token, "[^0-9]", "")).between(*DIGITS[kind])
+
+
+def _patterns() -> Column:
+    """The patterns of an occurrence as ``array<struct<pattern, of>>``; of: the one kind it can extend, null for all."""
+    shape = F.regexp_replace(F.regexp_replace("token", r"\p{L}+", "a"), "[0-9]", "9")
+    one = lambda when, of, *parts: F.when(when, F.struct(F.concat_ws("\t", *parts).alias("pattern"), of.cast("int").alias("of")))
+    before, after = F.col("left") != "", F.col("right") != ""
+    out = [one(~F.col("spelled"), F.lit(None), F.lit("shape"), F.col("left"), shape)]
+    for i, kind in enumerate(KINDS):
+        like = F.when(F.col("spelled"), F.lit(kind == "email")).otherwise(_like(kind, F.col("token")))
+        alone = like & (~F.col("spelled") | F.col("token").rlike(_PLAIN))
+        out.append(one(alone & before, F.lit(i), F.lit(f"{kind} after"), F.col("left")))
+        out.append(one(alone & after, F.lit(i), F.lit(f"{kind} before"), F.col("right")))
+        out.append(one(like & before & after, F.lit(i), F.lit(f"{kind} between"), F.col("left"), F.col("right")))
+    return F.filter(F.array(*out), lambda p: p.isNotNull())
+
+
 def _occurrences(rows: DataFrame) -> DataFrame:
-    """Tokens outside and inside base spans: ``row, start, end, token, pattern, kind`` (null: no base span)."""
-    some = F.col("text").rlike("[0-9@]")
-    found = rows.filter(some).select("row", "base", F.explode(located(F.col("text"), TOKEN)).alias("t"))
-    lead = F.length(F.regexp_extract(F.col("t")["value"], rf"^{_LEFT}*", 0))
+    """Tokens outside and inside base spans: ``row, start, end, token, patterns, kind`` (null: no base span)."""
+    some, spelled = F.col("text").rlike("[0-9@]"), F.col("text").rlike(rf"[A-Za-z0-9._%+-]{_AT}[A-Za-z]")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    tokens = lambda when, pattern, flag: F.transform(
+        F.when(when, located(F.col("text"), pattern, True)).otherwise(none), lambda t: F.struct(t.alias("t"), F.lit(flag).alias("spelled"))
+    )
+    both = F.concat(tokens(some, TOKEN, False), tokens(spelled, SPELLED, True))
+    found = rows.filter(some | spelled).select("row", "base", F.explode(both).alias("x")).select("row", "base", "x.t", "x.spelled")
+    # a bracket around the first group of a number is part of it
+    lead = F.length(F.regexp_extract(F.col("t")["value"], rf"^(?!\([0-9]+\)[\x20-]?[0-9]){_LEFT}(?:(?!\([0-9]+\)[\x20-]?[0-9]){_LEFT})*", 0))
     tail = F.length(F.regexp_extract(F.col("t")["value"], rf"{_RIGHT}*$", 0))
     found = found.select(
-        "row", "base", F.col("t")["before"].alias("before"), (F.col("t")["start"] + lead).alias("start"),
+        "row", "base", "spelled", F.col("t")["before"].alias("before"), F.col("t")["after"].alias("after"), (F.col("t")["start"] + lead).alias("start"),
         (F.col("t")["end"] - tail).alias("end"),
         F.substring(F.col("t")["value"], lead + 1, F.greatest(F.length(F.col("t")["value"]) - lead - tail, F.lit(0))).alias("token"),
     ).filter("end > start")
     inside = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    shape = F.regexp_replace(F.regexp_replace("token", r"\p{L}+", "a"), "[0-9]", "9")
-    left = F.lower(F.regexp_extract("before", rf"({WORD}+){SPACE_CLASS}*$", 1))
-    left = F.regexp_replace(left, rf"^{_LEFT}+|{_RIGHT}+$", "")
-    return found.select(
-        "row", "start", "end", "token", F.concat_ws("\t", left, shape).alias("pattern"), F.get(inside, F.lit(0))["kind"].alias("kind")
-    )
+    bare = lambda word: F.regexp_replace(F.lower(word), rf"^{_LEFT}+|{_RIGHT}+$", "")
+    left = bare(F.regexp_extract("before", rf"({WORD}+){SPACE_CLASS}*$", 1))
+    right = bare(F.regexp_extract("after", rf"^{_RIGHT}*{SPACE_CLASS}+({WORD}+)", 1))
+    found = found.select("row", "start", "end", "token", "spelled", left.alias("left"), right.alias("right"), F.get(inside, F.lit(0))["kind"].alias("kind"))
+    return found.select("row", "start", "end", "token", _patterns().alias("patterns"), "kind")
 
 
 def induced(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """``patterns(pattern, kind, confidence)`` and ``instances(token, kind, score)`` after all rounds."""
-    edges = persist(occurrences.groupBy("pattern", "token").agg(F.max("kind").alias("seed")), "edges")
+    edges = occurrences.select("token", "kind", F.inline("patterns"))
+    edges = persist(edges.groupBy("pattern", "of", "token").agg(F.max("kind").alias("seed")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
     seeds = edges.filter("seed is not null").groupBy("token").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
     seeds = persist(seeds, "seeds")
     scores, patterns = seeds, None
     for i in range(rounds):
-        hits = edges.join(scores, "token").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
-        patterns = hits.join(sizes, "pattern").select("pattern", "kind", (F.col("support") / (F.col("instances") + 1)).alias("confidence"))
+        hits = edges.join(scores, "token").groupBy("pattern", "of")
+        hits = hits.agg(F.sum("score").alias("all"), *(F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(f"s{k}") for k in range(len(KINDS))))
+        kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"s{k}").alias("support")) for k in range(len(KINDS))))
+        hits = hits.select("pattern", "of", "all", F.inline(kinds)).filter("support is not null and (of is null or of = kind)")
+        against = F.when(F.col("of").isNull(), F.col("instances")).otherwise(F.col("all") + UNKNOWN * F.greatest(F.col("instances") - F.col("all"), F.lit(0)))
+        patterns = hits.join(sizes, "pattern").select("pattern", "kind", (F.col("support") / (against + 1)).alias("confidence"))
         patterns = persist(patterns, f"patterns{i}")
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
         found = edges.join(patterns.filter(F.col("confidence") >= CONFIDENT), "pattern").groupBy("token", "kind").agg((1 - doubt).alias("score"))
@@ -151,7 +205,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     patterns, instances = induced(occurrences)
     sure = patterns.filter(F.col("confidence") >= CONFIDENT).select("pattern", F.col("kind").alias("found"))
     known = instances.filter(F.col("score") >= ACCEPTED).select("token", F.col("kind").alias("found"))
-    new = occurrences.filter("kind is null").join(sure, "pattern").join(known, ["token", "found"], "left_semi")
+    new = occurrences.filter("kind is null").select("row", "start", "end", "token", F.inline("patterns")).join(sure, "pattern").join(known, ["token", "found"], "left_semi")
     # one kind for each place: the first, if several claim it
     new = new.groupBy("row", "start", "end").agg(F.min("found").alias("kind"))
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))

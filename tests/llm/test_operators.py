@@ -334,6 +334,29 @@ def test_context_finds_what_patterns_miss(spark):
     assert all(got[i] == "card:13:29" for i in range(40))
 
 
+def test_context_finds_other_formats(spark):
+    rows = [(i, f"please ring +1 (555) 123-{4000 + i} for details") for i in range(20)]
+    rows += [(100 + i, f"please write to user{i}@mail.example.com with questions") for i in range(20)]
+    rows += [(200 + i, f"blocked host 10.0.{i}.7 since monday") for i in range(20)]
+    new = {
+        300: ("please ring (555) 123-4567 for details", "phone"), 301: ("please ring 0044 20 7946 0958 for details", "phone"), 302: ("please ring 555-123-9999 today", "phone"),
+        303: ("please write to root@localhost with questions", "email"), 304: ("please write to name at host with questions", "email"),
+        305: ("please write to ann (at) example dot org today", "email"), 306: ("blocked host 2001:db8::17 since monday", "ip"),
+    }
+    want = {300: "(555) 123-4567", 301: "0044 20 7946 0958", 302: "555-123-9999", 303: "root@localhost", 304: "name at host", 305: "ann (at) example dot org", 306: "2001:db8::17"}
+    not_any = {400: "parcel 5551234567 arrived", 401: "we meet at noon", 402: "please ring 12 times", 403: "please write to him at noon today", 404: "gate 12:30:45 since monday"}
+    rows += [(k, t) for k, (t, _) in new.items()] + list(not_any.items())
+    got = {r.doc_id: r.spans for r in pii.find(docs(spark, rows)).collect()}
+    for k, (t, kind) in new.items():
+        assert got[k] == f"{kind}:{t.index(want[k])}:{t.index(want[k]) + len(want[k])}", (k, got[k])
+    assert all(got[k] == "" for k in not_any)
+
+
+def test_words_that_more_kinds_follow_find_nothing(spark):
+    rows = [(i, f"see +1 (555) 123-{4000 + i} now") for i in range(20)] + [(50 + i, f"see {5550001000 + i} now") for i in range(60)]
+    assert all(r.spans == "" for r in pii.find(docs(spark, rows)).collect() if r.doc_id >= 50)
+
+
 def test_archives(spark, tmp_path):
     import base64
 
