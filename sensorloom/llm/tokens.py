@@ -3,6 +3,7 @@
 A text is cut before runs of white space and after runs of Latin letters. No pre-token of such a vocabulary
 crosses these cuts, so the ids of the text are those of its pieces. Pieces repeat; each worker keeps the ids
 of the pieces it met last (a bounded table of two generations), and only new ones go through the library.
+A text that contains the string of an added token, such as an end mark, goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)) if added else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -70,13 +72,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and then ``END_ID``, as little-endian integers of ``width`` bytes."""
-        pieces = [_PIECE.findall(t) for t in texts]
+        marked = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False) if marked else []
+        whole = {i: self._bytes(e.ids) for i, e in zip(marked, found)}
+        pieces = [[] if i in whole else _PIECE.findall(t) for i, t in enumerate(texts)]
         extra = self._learn(pieces)
         if extra:
             of = lambda p: self.known[p] if p in self.known else extra[p]
         else:
             of = self.known.__getitem__
-        return [b"".join(map(of, p)) + self.end for p in pieces]
+        return [(whole[i] if i in whole else b"".join(map(of, p))) + self.end for i, p in enumerate(pieces)]
 
 
 def encoder(name: str = VOCABULARY) -> Encoder:

@@ -230,6 +230,27 @@ def ids_of(text):
     return np.array(tokens.encoder().tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
+def test_added_tokens_equal_a_fresh_library(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.vocabulary_path(tokens.VOCABULARY))
+    rng = random.Random(3)
+    alphabet = list(" \n\tabcDEé漢1½.,'<|>\x1c") + ["<|endoftext|>", "<|endoftext", "endoftext|>", " foo", "'s", "  "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|>", "a<|endoftext|>b", "one <|endoftext|>\ntwo"]
+    want = [e.ids + [0] for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in tokens.encoder().encode(texts)] == want
+    assert want[-2] == [64, 50256, 65, 0]
+    rows = list(enumerate(texts[-3:]))
+    at = 0
+    for r in sorted(token_output.token_output(docs(spark, rows)).collect(), key=lambda r: r.start):
+        ids = np.array(want[r.doc_id - 3], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(docs(spark, rows)).collect()} == {
+        d: zlib.crc32(np.array(want[d - 3], "<u4").tobytes()) for d, _ in rows
+    }
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_perfect_hash(n):
     keys = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
