@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, by_key, persist, small_batches, with_small
+from .common import ASCII_LOWER, by_key, persist, row_key, small_batches, stable, with_small
 from .components import connected_components
 
 _SEED = 20240229
@@ -301,6 +301,11 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     component without any id has none, and its first row is kept. Rows that repeat an id share its
     verdict. Only the two named columns are read. An empty table gives an empty result.
     """
+    return _grouped(df, id_col, text_col, near).drop("_group")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
+    """The rows of :func:`near_groups`, with ``_group``: the same for all rows of a component, null without shingles."""
     spark = df.sparkSession
     small_batches(spark)
     signed = _signed(df, id_col, text_col, near)
@@ -361,14 +366,23 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     same = F.when(component.isNull(), F.col("row") == F.coalesce("first_row", "row")).otherwise(
         F.coalesce(F.col("id") == component, F.lit(False))
     )
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), same.alias("kept"), F.col("row").alias("_row"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), same.alias("kept"), F.col("row").alias("_row"),
+        F.col("first_row").alias("_group"),
+    )
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
     """The rows of ``df`` that stay, one of each group, with all their columns.
 
-    Rows that repeat the id of the row that stays are the same document to this operator and stay too.
+    Of a group the row with the smallest id stays, of several the first; rows without an id come last. Rows
+    without shingles stay.
     """
-    gone = near_groups(df, id_col, text_col, near).filter("not kept").select(F.col(id_col).alias("_gone")).filter("_gone is not null").distinct()
-    rows = df.select(F.struct("*").alias("_all"), F.col(id_col).alias("_gone"))
-    return with_small(rows, persist(gone, "gone"), "_gone", "left_anti").select("_all.*")
+    df = stable(df)
+    groups = persist(_grouped(df, id_col, text_col, near).filter("_group is not null").select(F.col(id_col).alias("_id"), "_row", "_group"), "groups")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    firsts = groups.groupBy("_group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = persist(firsts.select("_group", F.col("first")["row"].alias("first")), "firsts")
+    gone = with_small(groups, firsts, "_group").filter("_row <> first").select("_row")
+    rows = df.select(F.struct("*").alias("_all"), row_key().alias("_row"))
+    return with_small(rows, persist(gone, "gone"), "_row", "left_anti").select("_all.*")

@@ -118,6 +118,15 @@ def test_near_groups(spark, near):
     assert left.filter("doc_id is not null").select("doc_id").distinct().count() == len({c for _, _, c in brute_components(rows, near.words, near.percent) if c is not None})
 
 
+def test_near_dedup_goes_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (None, a), (None, c), (None, c + " more"), (7, c[::-1]), (7, c[::-1]), (8, ""), (8, ""), (None, None)]
+    for df in (docs(spark, rows), docs(spark, rows).repartition(3)):
+        left = sorted((str(r.doc_id), r.text or "") for r in minhash.near_dedup(df).collect())
+        assert [x for x in left if x[1] not in (c, c + " more")] == sorted([("1", a), ("2", b), ("7", c[::-1]), ("8", ""), ("8", ""), ("None", "")])
+        assert sum(x[1] in (c, c + " more") for x in left) == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
