@@ -1,15 +1,17 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document of a source has the same expected number of copies, target / size of the source. Its
-whole part is taken at once; the fractions are rounded dependently: two documents of a source exchange
-expected words, in a random direction that keeps both expectations, until one of them is settled (0 or
-1 copy more); the other goes on to the next. The words of the source are thereby kept exactly, and what
-remains of a group is at most one unsettled document a source.
-
-Groups are leaves of about ``LEAF`` documents by a hash of the document; their remainders meet by
-source in groups of ``LEAF`` leaves, level by level, up to one document a source, which is drawn. A
-source of any size is spread over all leaves. Randomness comes from hashes of the documents, so reruns
-agree, whatever the files, partitions and executors.
+whole part is taken at once; the fractions are rounded dependently: the longest document and all shorter
+ones of its group, which still share one fraction, exchange expected words, in a random direction that
+keeps all expectations, until either side is settled (0 or 1 copy more); then the next. The words of the
+source are thereby kept exactly, and what remains of a group is one document, the shortest unless a single
+one outweighs what the others can give. Documents of unequal fractions are paired two by two.
+
+A source of more than ``LEAF`` documents is dealt to leaves of about that many by a hash of the document;
+the remainders of its leaves meet in groups of ``LEAF``, level by level, up to one document, which is
+drawn. Smaller sources are settled whole, several in a group. Randomness comes from hashes of the
+documents, so reruns agree, whatever the partitions and executors; only rows that repeat one id and one
+text more than ``REPEATS`` times are dealt by their place in the files.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import partition_offsets, persist, row_key, small_batches, stable, with_small, word_count
 
-LEAF = 1024
+LEAF, REPEATS = 1024, 128
 WEIGHTS = (5, 2, 1)
 PERCENT, MOST = 150, 2
 _GONE = (1 << 64) - 1
@@ -70,6 +72,32 @@ def settle(shares: list[float], sizes: list[int], marks: list[int], seed: int =
     return out
 
 
+def settle_equal(share: float, sizes: list[int], marks: list[int], seed: int = 0) -> list[float]:
+    """Pivotal rounding of one share that all documents have: all but at most one end as 0.0 or 1.0.
+
+    ``sizes`` descend. Each document is paired with all after it, taken as one: these gain or lose alike, so
+    each keeps its expectation, and the words of all stay what they were.
+    """
+    out, rest, b = [0.0] * len(sizes), sum(sizes), share
+    for i, s in enumerate(sizes):
+        rest -= s
+        if b <= 1e-12 or b >= 1 - 1e-12:
+            out[i:] = [float(round(b))] * (len(sizes) - i)
+            break
+        if not rest:
+            out[i] = b if s else 0.0
+            break
+        up, down = min((1 - b) * s, b * rest), min(b * s, (1 - b) * rest)
+        gains = _unit(seed, marks[i]) * (up + down) < down
+        if s * ((1 - b) if gains else b) <= rest * (b if gains else 1 - b):
+            out[i], b = float(gains), b - up / rest if gains else b + down / rest
+        else:  # the others are settled first, this one stays open
+            out[i] = b + up / s if gains else b - down / s
+            out[i + 1 :] = [0.0 if gains else 1.0] * (len(sizes) - i - 1)
+            break
+    return out
+
+
 def _by_code_point(sources: DataFrame) -> DataFrame:
     """``place``: how many sources come before, by code point, null last; without one task for all."""
     order = F.col("source").asc_nulls_last()
@@ -112,7 +140,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     source is a source. Null or repeated ids are rows like others. An empty table gives an empty result.
     """
     df = stable(df)
-    small_batches(df.sparkSession, 10_000)
+    small_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = persist(
         df.select(
@@ -120,41 +148,47 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.xxhash64(F.col(id_col), text).alias("mark"), row_key().alias("row"),
         ), "sizes",
     )
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    goals = persist(goals.select(_source_key(F.col("source")).alias("key"), "source_size", "target"), "targets")
-    leaves = max(1, math.ceil(rows.count() / leaf))
+    sums = persist(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "sums")
+    goals = targets(sums)
+    goals = persist(goals.select(_source_key(F.col("source")).alias("key"), "source_size", "docs", "target"), "targets")
+    total = sums.agg(F.sum("docs")).first()[0] or 0
+    repeated = persist(rows.groupBy("mark").count().filter(F.col("count") > REPEATS).select("mark", F.lit(True).alias("often")), "repeated")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shared = with_small(rows.withColumn("key", _source_key(F.col("source"))).drop("source"), goals, "key")
+    shared = with_small(shared, repeated, "mark", "left").withColumn("spot", F.when(F.col("often"), F.col("row"))).drop("often")
     shared = shared.withColumn("whole", F.floor(rate)).withColumn("share", rate - F.col("whole"))
-    shared = shared.withColumn("leaf", F.pmod(F.xxhash64("mark", F.lit(7)), F.lit(leaves)))
+    # a source of several leaves has groups of its own, the others share them
+    shared = shared.withColumn("leaves", F.ceil(F.col("docs") / leaf)).drop("docs")
+    several = F.pmod(F.xxhash64("mark", "spot", F.lit(7)), "leaves")
+    shared = shared.withColumn("group", F.when(F.col("leaves") > 1, F.xxhash64("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, math.ceil(total / leaf))))))
+    shared = shared.withColumn("leaf", F.when(F.col("leaves") > 1, several).otherwise(F.lit(-1).cast("long"))).drop("spot")
     schema = shared.schema
 
-    def pivot(seed: int, last: bool):
+    def pivot(seed: int):
         def run(pdf):
-            # long documents first: what stays unsettled is then more often short
-            pdf = pdf.sort_values(["key", "size", "mark"], ascending=[True, False, True], kind="stable")
+            pdf = pdf.sort_values(["key", "size", "mark"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
             share = pdf["share"].to_numpy(copy=True)
-            for at in pdf.reset_index(drop=True).groupby("key", sort=False).indices.values():
-                marks = pdf["mark"].to_numpy()[at].tolist()
-                got = settle(share[at].tolist(), pdf["size"].to_numpy()[at].tolist(), marks, seed)
-                if last:
-                    got = [g if g in (0.0, 1.0) else float(_unit(seed, m) < g) for g, m in zip(got, marks)]
+            marks, sizes, leaves = (pdf[c].to_numpy() for c in ("mark", "size", "leaves"))
+            for at in pdf.groupby("key", sort=False).indices.values():
+                m, s = marks[at].tolist(), sizes[at].tolist()
+                got = settle(share[at].tolist(), s, m, seed) if seed else settle_equal(float(share[at[0]]), s, m)
+                if leaves[at[0]] == 1:
+                    got = [g if g in (0.0, 1.0) else float(_unit(seed, x) < g) for g, x in zip(got, m)]
                 share[at] = got
             return pdf.assign(share=share)
 
         return run
 
-    unsettled = (F.col("share") > 0) & (F.col("share") < 1)
     done, now, level = [], shared, 0
+    most = goals.agg(F.max(F.ceil(F.col("docs") / leaf))).first()[0] or 1
     while True:
-        last = leaves == 1
-        by = ["leaf"] if level == 0 else ["leaf", "key"]
-        now = persist(now.groupBy(*by).applyInPandas(pivot(level, last), schema), f"level{level}")
+        now = persist(now.groupBy("group", "leaf").applyInPandas(pivot(level), schema), f"level{level}")
+        unsettled = (F.col("share") > 0) & (F.col("share") < 1)
         done.append(now.filter(~unsettled))
-        if last:
+        if most == 1:
             break
-        leaves, level = math.ceil(leaves / leaf), level + 1
-        now = now.filter(unsettled).withColumn("leaf", F.floor(F.col("leaf") / leaf))
+        most, level = math.ceil(most / leaf), level + 1
+        now = now.filter(unsettled).withColumns({"leaf": F.floor(F.col("leaf") / leaf), "leaves": F.ceil(F.col("leaves") / leaf)})
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
