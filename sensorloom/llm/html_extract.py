@@ -36,6 +36,8 @@ LEAST_PAGES, THRESHOLD, ATTENUATION = 8, 0.2, 0.9
 # Tags by their part in a page, and words of class, id and role that name such parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
+#: Of these, those that nest, and that a slash closes in their own start tag.
+NESTING = frozenset("template svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
@@ -52,6 +54,9 @@ NOISE_WORDS = frozenset(
     "replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations pagination pager copyright toolbar skip".split()
 )
+#: Of these, words that also name parts of an article: no noise on a tag that holds a text of it.
+WEAK_WORDS = frozenset("related reply skip head rail alert".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table b i em strong mark code".split())
 #: First and last words of compound class names that say how a part is laid out, not what it is: has-sidebar, share-enabled.
 STATE_FIRST = frozenset("no not non has have with without".split())
 STATE_LAST = frozenset("enabled disabled target active inactive".split())
@@ -70,6 +75,8 @@ _TOKEN = re.compile(
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^<>]*)>?",
     re.S,
 )
+#: Tags of these elements, in the letters of the source itself: lower-casing could move places.
+_END_OF = {tag: re.compile(rf"<(/?){tag}(?![^\s/>])[^>]*(?:>|\Z)", re.I | re.A) for tag in RAW}
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?![\w-])", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -93,6 +100,8 @@ def _declared_noise(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         parts = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
         if len(parts) < 2 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
             words.update(parts)
+    if in_article and tag in TEXT_TAGS:
+        words -= WEAK_WORDS
     if words & COMMENT_WORDS:
         return DECLARED
     return NAMED if words & NOISE_WORDS or (not in_article and words & HEADER_WORDS) else 0
@@ -240,8 +249,20 @@ class Page:
             if (inline or tag == "p") and self.stack[i].tag in _SCOPES:
                 return  # misnested: an inline end tag does not end the blocks it stands in
 
+    def _skip(self, source: str, tag: str, at: int) -> int:
+        """Where an element whose content is no text ends: at its end tag, or with the page."""
+        depth = 1
+        for m in _END_OF[tag].finditer(source, at):
+            if m[1]:
+                depth -= 1
+            elif tag in NESTING and not m[0].endswith("/>"):
+                depth += 1
+            if not depth:
+                return m.end()
+        return len(source)
+
     def _read(self, source: str) -> None:
-        at, size, lower = 0, len(source), None
+        at, size = 0, len(source)
         while at < size:
             cut = source.find("<", at)
             if cut < 0:
@@ -263,11 +284,8 @@ class Page:
                 continue
             raw = m["attrs"] if m["start"] else m["rest"]
             if tag in RAW:  # what they hold is no text of the page
-                if not raw.endswith("/"):
-                    lower = lower if lower is not None else source.lower()
-                    stop = lower.find(f"</{tag}", at)
-                    stop = size if stop < 0 else stop
-                    at = size if (close := source.find(">", stop)) < 0 else close + 1
+                if tag not in NESTING or not raw.endswith("/"):
+                    at = self._skip(source, tag, at)
                 continue
             self._open(tag, raw)
         while len(self.stack) > 1:
@@ -326,7 +344,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """
     import pyarrow as pa
 
-    small_batches(df.sparkSession, 200)
+    small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
     trees = persist(unimportant(pages.select("host", "html")), "style-trees")
