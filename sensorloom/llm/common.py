@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +25,14 @@ ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, a single machine) is a local folder set.
+    Where the session does not name one, a local folder is set on a single machine (``local`` masters: tests,
+    benchmarks); a cluster without one is an error, as its machines do not see each other's folders.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master!r} is no single machine")
         path = "file://" + tempfile.mkdtemp(prefix="sensorloom-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -53,10 +58,13 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what one Arrow batch holds, as single texts may be very long; workers get this package."""
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, as single texts may be very long; workers get this package.
+
+    The values are the same for every operator: lazy plans read them when they run, in whatever order.
+    """
     ensure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
@@ -94,17 +102,18 @@ def row_key() -> Column:
     return F.monotonically_increasing_id()
 
 
-_NARROW = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Scan", "RelationV2"}
+_NARROW = {"Project", "Filter", "Relation", "LocalRelation"}
 
 
 def stable(df: DataFrame) -> DataFrame:
     """``df`` such that each scan of it, with whatever columns, deals the same rows to the same partitions.
 
-    Files are; whatever has been shuffled, sorted, sampled or joined is written once.
+    Files are, and rows the plan itself holds; whatever has been shuffled, sorted, sampled or joined, comes
+    from an RDD or has columns that are not deterministic is written once.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
-    return df if nodes <= _NARROW else persist(df, "pinned")
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip()}
+    return df if nodes <= _NARROW and plan.deterministic() else persist(df, "pinned")
 
 
 def by_key(batches: Iterator, keys: list[str]):
