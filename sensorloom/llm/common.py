@@ -88,6 +88,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(x: Column) -> Column:
+    """Running sums of an ``array<bigint>``, by doubling steps: n log n for n elements.
+
+    An aggregate that appends to its own array would copy it at every step.
+    """
+
+    def add(acc: Column, by: Column) -> Column:
+        more = F.transform(acc, lambda v, i: v + F.when(i >= by, F.get(acc, i - by)).otherwise(F.lit(0).cast("bigint")))
+        return F.when(F.size(acc) > by, more).otherwise(acc)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(31))), x, add)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

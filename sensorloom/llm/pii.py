@@ -18,10 +18,10 @@ the lengths of matches and of the texts between them, in code points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD, let, persist, row_key, stable, with_small
+from .common import SPACE_CLASS, WORD, let, persist, row_key, running, stable, with_small
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. The guards before them only spare searches that must fail: a match may start inside
@@ -67,22 +67,22 @@ DIGITS = {"card": (12, 19), "phone": (7, 15)}
 def located(text: Column, pattern: str, after: bool = False) -> Column:
     """All matches in order as ``array<struct<start, end, value, before>>``; before (and after): up to 64 characters."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = [start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(64)).alias("before")]
-        if after:
-            one.append(F.left(x["next"], F.lit(64)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(*one))).alias("out"))
+    def placed(x: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            end = F.get(x["ends"], i).cast("int")
+            parts = [(end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), F.right(F.get(x["gaps"], i), F.lit(64)).alias("before")]
+            if after:
+                parts.append(F.left(F.get(x["gaps"], i + 1), F.lit(64)).alias("after"))
+            return F.struct(*parts)
+
+        return F.transform(x["found"], one)
+
+    def measured(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda value, i: (F.length(value) + F.length(F.get(x["gaps"], i))).cast("bigint"))
+        return let(F.struct(x["found"].alias("found"), x["gaps"].alias("gaps"), running(steps).alias("ends")), placed)
 
-    kind = f"array<struct<start:int,end:int,value:string,before:string{',after:string' if after else ''}>>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps, n = F.split(text, pattern, -1), F.greatest(F.size(found), F.lit(1))
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
-    if after:
-        pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), n), lambda x, gap: F.struct(x["value"].alias("value"), x["gap"].alias("gap"), gap.alias("next")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), first, step, lambda acc: acc["out"])
+    return let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), measured)
 
 
 def _luhn(digits: Column) -> Column:
@@ -141,31 +141,50 @@ def _patterns() -> Column:
     return F.filter(F.array(*out), lambda p: p.isNotNull())
 
 
-def _occurrences(rows: DataFrame) -> DataFrame:
-    """Tokens outside and inside base spans: ``row, start, end, token, patterns, kind`` (null: no base span)."""
+def _tokens(rows: DataFrame) -> DataFrame:
+    """Tokens that could be identifiers: ``row, start, end, token, spelled, left, right``. ``rows(row, text)``."""
     some, spelled = F.col("text").rlike("[0-9@]"), F.col("text").rlike(rf"[A-Za-z0-9._%+-]{_AT}[A-Za-z]")
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
     tokens = lambda when, pattern, flag: F.transform(
         F.when(when, located(F.col("text"), pattern, True)).otherwise(none), lambda t: F.struct(t.alias("t"), F.lit(flag).alias("spelled"))
     )
     both = F.concat(tokens(some, TOKEN, False), tokens(spelled, SPELLED, True))
-    found = rows.filter(some | spelled).select("row", "base", F.explode(both).alias("x")).select("row", "base", "x.t", "x.spelled")
+    found = rows.filter(some | spelled).select("row", F.explode(both).alias("x")).select("row", "x.t", "x.spelled")
     # a bracket around the first group of a number is part of it
     lead = F.length(F.regexp_extract(F.col("t")["value"], rf"^(?!\([0-9]+\)[\x20-]?[0-9]){_LEFT}(?:(?!\([0-9]+\)[\x20-]?[0-9]){_LEFT})*", 0))
     tail = F.length(F.regexp_extract(F.col("t")["value"], rf"{_RIGHT}*$", 0))
     found = found.select(
-        "row", "base", "spelled", F.col("t")["before"].alias("before"), F.col("t")["after"].alias("after"), (F.col("t")["start"] + lead).alias("start"),
+        "row", "spelled", F.col("t")["before"].alias("before"), F.col("t")["after"].alias("after"), (F.col("t")["start"] + lead).alias("start"),
         (F.col("t")["end"] - tail).alias("end"),
         F.substring(F.col("t")["value"], lead + 1, F.greatest(F.length(F.col("t")["value"]) - lead - tail, F.lit(0))).alias("token"),
     ).filter("end > start")
-    inside = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
     bare = lambda word: F.regexp_replace(F.lower(word), rf"^{_LEFT}+|{_RIGHT}+$", "")
     left = bare(F.regexp_extract("before", rf"({WORD}+){SPACE_CLASS}*$", 1))
     right = bare(F.regexp_extract("after", rf"^{_RIGHT}*{SPACE_CLASS}+({WORD}+)", 1))
-    found = found.select("row", "start", "end", "token", "spelled", left.alias("left"), right.alias("right"), F.get(inside, F.lit(0))["kind"].alias("kind"))
+    return found.select("row", "start", "end", "token", "spelled", left.alias("left"), right.alias("right"))
+
+
+def _occurrences(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """The tokens with ``patterns`` and ``kind``, the first kind of which a base span overlaps them (null: none).
+
+    A token meets a span of a kind if, of those that begin before its end, the furthest ends after its start:
+    one pass over the tokens and spans of a text in order.
+    """
+    base = spans.select("row", F.inline("base"))
+    mark = base.select("row", F.col("start").alias("at"), F.lit(0).alias("late"), F.col("kind").alias("of"), F.col("end").alias("until"), F.lit(None).cast(_token_type()).alias("t"))
+    held = F.struct("start", "end", "token", "spelled", "left", "right").cast(_token_type())
+    seen = tokens.select("row", (F.col("end") - 1).alias("at"), F.lit(1).alias("late"), F.lit(None).cast("int").alias("of"), F.lit(None).cast("int").alias("until"), held.alias("t"))
+    w = Window.partitionBy("row").orderBy("at", "late").rowsBetween(Window.unboundedPreceding, 0)
+    met = mark.unionByName(seen).select("row", "t", *(F.max(F.when(F.col("of") == k, F.col("until"))).over(w).alias(f"u{k}") for k in range(len(KINDS))))
+    kind = F.coalesce(*(F.when(F.col(f"u{k}") > F.col("t")["start"], F.lit(k)) for k in range(len(KINDS))))
+    found = met.filter("t is not null").select("row", "t.*", kind.alias("kind"))
     return found.select("row", "start", "end", "token", _patterns().alias("patterns"), "kind")
 
 
+def _token_type() -> str:
+    return "struct<start:int,end:int,token:string,spelled:boolean,left:string,right:string>"
+
+
 def induced(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """``patterns(pattern, kind, confidence)`` and ``instances(token, kind, score)`` after all rounds."""
     edges = occurrences.select("token", "kind", F.inline("patterns"))
@@ -197,11 +216,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     df = stable(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), row_key().alias("row"), text.alias("text"))
-    rows = rows.withColumns({k: _spans(F.col("text"), k) for k in KINDS})
-    rows = rows.select("id", "row", "text", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS), F.concat(*KINDS).alias("base"))
-    occurrences = _occurrences(rows)
-    narrow = persist(rows.drop("text"), "base-spans")
-    occurrences = persist(occurrences, "occurrences")
+    spans = rows.withColumns({k: _spans(F.col("text"), k) for k in KINDS})
+    spans = spans.select("id", "row", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS), F.concat(*KINDS).alias("base"))
+    narrow = persist(spans, "base-spans")
+    occurrences = persist(_occurrences(_tokens(rows.drop("id")), narrow.select("row", "base")), "occurrences")
     patterns, instances = induced(occurrences)
     sure = patterns.filter(F.col("confidence") >= CONFIDENT).select("pattern", F.col("kind").alias("found"))
     known = instances.filter(F.col("score") >= ACCEPTED).select("token", F.col("kind").alias("found"))
