@@ -1,11 +1,14 @@
 """A minimal perfect hash over 64-bit keys: levels of bit arrays, ranked by counts of set bits.
 
 Keys that are alone in their place of a level are settled there; the others go on to the next level. A key's
-slot is the number of bits set before its own. Building and probing are NumPy passes over all keys.
+slot is the number of bits set before its own. Building and probing many keys are NumPy passes over all keys;
+:func:`probe` finds one key in a stored table with a few reads of fixed size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 LEVELS = 48
@@ -58,3 +61,28 @@ class PerfectHash:
             out[open_[there]] = (self.ranks[bit >> 6] + below)[there]
             open_ = open_[~there]
         return out
+
+    def block_ranks(self) -> np.ndarray:
+        """Bits set before each block of ``BLOCK`` words, as stored for :func:`probe`."""
+        return self.ranks[:-1:BLOCK].astype("<u8")
+
+
+#: Words of a block, whose rank is stored.
+BLOCK = 8
+
+
+def probe(key: int, sizes: np.ndarray, words: Callable[[int], np.ndarray], rank: Callable[[int], int]) -> int:
+    """The slot of one key, -1 if no level has its bit.
+
+    ``words(b)`` reads block ``b`` of the bit arrays and ``rank(b)`` its rank: two short reads for each level.
+    """
+    start = 0
+    for level, size in enumerate(sizes.tolist()):
+        bit = start + int(mix(np.array([key], np.uint64), level)[0]) % size
+        block = words(bit // (64 * BLOCK))
+        word, shift = bit // 64 % BLOCK, bit % 64
+        if int(block[word]) >> shift & 1:
+            below = int(np.bitwise_count(block[:word]).sum()) + (int(block[word]) & ((1 << shift) - 1)).bit_count()
+            return rank(bit // (64 * BLOCK)) + below
+        start += size
+    return -1
