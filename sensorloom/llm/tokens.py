@@ -42,8 +42,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name))
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(added)) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -55,11 +54,10 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _learn(self, pieces: list[list[str]]) -> dict[str, bytes]:
-        """Make ``known`` hold all pieces; returns those too long to be remembered."""
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Make ``known`` hold these pieces; returns those too long to be remembered."""
         if len(self.known) > _REMEMBERED:
             self.known, self.before = {}, self.known
-        new = set().union(*pieces) - self.known.keys()
         again = new & self.before.keys()
         self.known.update((p, self.before[p]) for p in again)
         extra: dict[str, bytes] = {}
@@ -72,16 +70,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and then ``END_ID``, as little-endian integers of ``width`` bytes."""
-        marked = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        marked = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         found = self.tokenizer.encode_batch_fast([texts[i] for i in marked], add_special_tokens=False) if marked else []
         whole = {i: self._bytes(e.ids) for i, e in zip(marked, found)}
         pieces = [[] if i in whole else _PIECE.findall(t) for i, t in enumerate(texts)]
-        extra = self._learn(pieces)
-        if extra:
-            of = lambda p: self.known[p] if p in self.known else extra[p]
-        else:
-            of = self.known.__getitem__
-        return [(whole[i] if i in whole else b"".join(map(of, p))) + self.end for i, p in enumerate(pieces)]
+        ids = [list(map(self.known.get, p)) for p in pieces]
+        open_ = [i for i, x in enumerate(ids) if None in x]
+        if open_:
+            extra = self._learn({p for i in open_ for p, x in zip(pieces[i], ids[i]) if x is None})
+            both = (self.known, self.before, extra)
+            for i in open_:
+                ids[i] = [x if x is not None else next(d[p] for d in both if p in d) for p, x in zip(pieces[i], ids[i])]
+        return [(whole[i] if i in whole else b"".join(x)) + self.end for i, x in enumerate(ids)]
 
 
 def encoder(name: str = VOCABULARY) -> Encoder:
