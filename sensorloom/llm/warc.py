@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, persist, row_key, small_batches, stable
+from .common import new_path, persist, row_key, small_batches, stable, with_small
 from .files import attempt_path, opened
 
 FRAME = 256 << 10
@@ -162,11 +162,12 @@ def write_bundles(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
     pages = pages.withColumn("digest", F.unhex(F.sha2("html", 256)))
     # which rows repeat a payload is settled on digests alone; only then do pages move, or not at all
     narrow = pages.select("id", "row", "digest", F.octet_length("html").alias("bytes")).filter(F.col("bytes") >= least_bytes)
-    groups = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    member = narrow.join(groups, "digest")
-    leads = member.filter(F.col("id").eqNullSafe(F.col("first"))).groupBy("digest").agg(F.min("row").alias("lead"))
-    repeats = member.join(leads, "digest").filter("row <> lead").select(F.col("row"), F.col("first"), F.lit(True).alias("again"))
-    marked = pages.drop("digest").join(persist(repeats, "revisits"), "row", "left")
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("lead")
+    groups = persist(narrow.groupBy("digest").agg(lead, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "groups")
+    # one join in its stage: Spark can split a digest that a third of all pages have
+    repeats = with_small(narrow, groups, "digest").filter("row <> lead.row")
+    repeats = persist(repeats.select("row", F.col("lead.id").alias("first"), F.lit(True).alias("again")), "revisits")
+    marked = with_small(pages.drop("digest"), repeats, "row", "left")
 
     def write(batches):
         writer, done = None, 0
