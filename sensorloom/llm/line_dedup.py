@@ -11,7 +11,9 @@ many words is covered by the windows inside it.
    Windows are compared by content, and each with its first occurrence only, so a passage that a third of
    all documents share gives as many matches as it has occurrences. Matched windows overlap within a
    longer match, so their union is the whole common run.
-4. *Delete*: the lines of every window whose content stands earlier, by document id and then by line.
+4. *Delete*: the lines of every window whose content stands earlier, by document id and then by line. The
+   first occurrence stays: where a later one overlaps it, in a text that repeats one line over and over, only
+   the lines past the first go.
 
 Lines are compared as written. Column expressions only; texts are read twice and moved once, and not at
 all where few documents change.
@@ -29,38 +31,61 @@ LEAST = 50
 _FEW = 500_000  # windows, of 8 bytes, that may be broadcast
 
 
+def _part(x: Column, start: Column, n: Column) -> Column:
+    """``n`` elements (1 or more) from place ``start``: a slice that does not copy the whole array first."""
+    return F.transform(F.sequence(start, start + n - 1), lambda i: F.get(x, i))
+
+
+def _code(start: Column, lines: Column, offset: Column, least: int) -> Column:
+    """A window as one number: arrays of numbers are told apart by hashing, arrays of structs pair by pair."""
+    return ((start.cast("bigint") * (least + 1) + lines) * (least + 1) + offset).cast("bigint")
+
+
+def _decoded(code: Column, least: int) -> tuple[Column, Column, Column]:
+    """(start, lines, place of the least hash)."""
+    start = F.floor(code / (least + 1) ** 2).cast("int")
+    return start, (F.floor(code / (least + 1)) % (least + 1)).cast("int"), (start + code % (least + 1)).cast("int")
+
+
 def _windows(words: Column, hashes: Column, least: int) -> Column:
-    """Distinct windows as (start, len, place of the least hash). Every line has a word: none exceeds ``least`` lines."""
+    """Distinct windows as :func:`_code`. Every line has a word: none exceeds ``least`` lines."""
     none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
 
-    def reach(part: Column) -> Column:
-        def step(acc: Column, w: Column) -> Column:
-            more = F.struct((acc["words"] + w).alias("words"), (acc["lines"] + 1).alias("lines"))
+    def reach(places: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            more = F.struct((acc["words"] + F.get(words, i)).alias("words"), (acc["lines"] + 1).alias("lines"))
             return F.when(acc["words"] >= least, acc).otherwise(more)
 
-        return F.aggregate(part, none, step)
+        return F.aggregate(places, none, step)
 
     def window(start: Column, lines: Column) -> Column:
-        part = F.slice(hashes, start + 1, lines)
-        place = let(part, lambda x: F.array_position(x, F.array_min(x)).cast("int"))
-        return F.struct(start.alias("start"), lines.alias("len"), (start + place - 1).alias("place"))
+        offset = let(_part(hashes, start, lines), lambda x: F.array_position(x, F.array_min(x)) - 1)
+        return _code(start, lines, offset, least)
 
     def forward(i: Column) -> Column:
-        return let(reach(F.slice(words, i + 1, F.lit(least))), lambda r: F.when(r["words"] >= least, window(i, r["lines"])))
+        places = F.sequence(i, F.least(i + (least - 1), F.size(words) - 1))
+        return let(reach(places), lambda r: F.when(r["words"] >= least, window(i, r["lines"])))
 
     def backward(i: Column) -> Column:
-        low = F.greatest(i - (least - 1), F.lit(0))
-        part = F.reverse(F.slice(words, low + 1, i - low + 1))
-        return let(reach(part), lambda r: F.when(r["words"] >= least, window(i - r["lines"] + 1, r["lines"])))
+        places = F.sequence(i, F.greatest(i - (least - 1), F.lit(0)))
+        return let(reach(places), lambda r: F.when(r["words"] >= least, window(i - r["lines"] + 1, r["lines"])))
 
     places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
     both = F.concat(F.transform(places, forward), F.transform(places, backward))
     found = F.array_distinct(F.filter(both, lambda w: w.isNotNull()))
-    return F.when(F.size(words) > 0, found).otherwise(F.filter(F.transform(F.array(F.lit(0)), forward), lambda w: F.lit(False)))
+    return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def _flags(places: Column) -> Column:
+    """1 at each of the ``places`` (distinct), 0 elsewhere, up to the last of them."""
+    one = lambda sorted_: F.flatten(
+        F.transform(sorted_, lambda p, i: F.concat(F.array_repeat(F.lit(0), p - F.coalesce(F.get(sorted_, i - 1), F.lit(-1)) - 1), F.array(F.lit(1))))
+    )
+    return let(F.sort_array(places), one)
 
 
 def _later(df: DataFrame, least: int) -> DataFrame:
-    """``(row, gone)``: windows, as (start, len) in non-blank lines, whose content stands earlier."""
+    """``(row, gone)``: runs of lines to delete, as (start, len) in non-blank lines."""
     lines = df.select("_id", "_row", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     hashed = lines.select(
         "_id", "_row",
@@ -72,31 +97,36 @@ def _later(df: DataFrame, least: int) -> DataFrame:
     # no filter here: pushed below, it would compute hashes and word counts anew for every window
     hashed = persist(hashed, "lines")
 
-    places = F.array_distinct(F.transform("windows", lambda w: w["place"]))
-    prints = hashed.select("_row", "h", F.explode(places).alias("place")).select("_row", "place", F.get("h", F.col("place")).alias("print"))
+    places = F.array_distinct(F.transform("windows", lambda w: _decoded(w, least)[2]))
+    prints = hashed.select("_row", F.inline(F.transform(places, lambda p: F.struct(p.alias("place"), F.get("h", p).alias("print")))))
     # written, so that the joins below stand alone in their stage and Spark can split hot keys
     shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
     met = prints.join(shared, "print").groupBy("_row").agg(F.collect_set("place").alias("places"))
 
     # extend each met position to its windows, and name these by their content
-    extended = hashed.join(met, "_row").select(
-        "_id", "_row", "h", "g", F.explode(F.filter("windows", lambda w: F.array_contains("places", w["place"]))).alias("w")
-    )
-    part = lambda c: F.slice(c, F.col("w")["start"] + 1, F.col("w")["len"])
-    spot = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("w")["start"].alias("start"))
-    found = extended.select(
-        "_row", F.col("w")["start"].alias("start"), F.col("w")["len"].alias("len"), spot.alias("spot"),
-        F.xxhash64(part("h")).alias("c1"), F.xxhash64(part("g")).alias("c2"),
-    )
-    found = persist(found, "windows")
+    def extended(flags: Column) -> Column:
+        def named(w: Column) -> Column:
+            start, n, _ = _decoded(w, least)
+            return F.struct(start.alias("start"), n.alias("len"), F.xxhash64(_part(F.col("h"), start, n)).alias("c1"), F.xxhash64(_part(F.col("g"), start, n)).alias("c2"))
+
+        return F.transform(F.filter("windows", lambda w: F.coalesce(F.get(flags, _decoded(w, least)[2]), F.lit(0)) == 1), named)
+
+    found = hashed.join(met, "_row").select("_id", "_row", F.inline(let(_flags(F.col("places")), extended)))
+    spot = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start"))
+    found = persist(found.select("_row", "start", "len", spot.alias("spot"), "c1", "c2"), "windows")
     first = found.groupBy("c1", "c2").agg(F.min("spot").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(persist(first.drop("n"), "first"), ["c1", "c2"]).filter("spot > first")
-    return persist(later.groupBy("_row").agg(F.collect_set(F.struct("start", "len")).alias("gone")), "later")
+    # the first occurrence stays whole: a later one that overlaps it goes from where the first ends
+    same = (F.col("_row") == F.col("first.row")) & (F.col("start") < F.col("first.start") + F.col("len"))
+    begin = F.when(same, F.col("first.start") + F.col("len")).otherwise(F.col("start"))
+    cut = F.struct(begin.alias("start"), (F.col("start") + F.col("len") - begin).alias("len"))
+    return persist(later.groupBy("_row").agg(F.collect_set(cut).alias("gone")), "later")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """The rows of ``df`` with later repeated runs deleted from ``text_col``, and ``n_lines``, ``n_removed``
-    (non-blank lines) added as ``_n_lines``, ``_n_removed``.
+    (non-blank lines) added as ``_n_lines``, ``_n_removed``, with more leading underscores while ``df`` has
+    such a column itself.
 
     Blank lines stay. A null text stays null and has no lines. Null ids come first in the order; rows that
     repeat an id are ordered by their place in the input. Texts of fewer than ``least`` words never change.
@@ -110,13 +140,15 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     split = both.withColumn("_lines", F.split("_text", "\n")).withColumn(
         "_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
     )
-    cut = F.array_distinct(F.flatten(F.transform("gone", lambda w: F.slice("_at", w["start"] + 1, w["len"]))))
+    cut = F.array_distinct(F.flatten(F.transform("gone", lambda w: _part(F.col("_at"), w["start"], w["len"]))))
     split = split.withColumn("_cut", F.when(F.col("gone").isNotNull(), cut))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
     left = let(keep, lambda k: F.array_join(F.transform(k, lambda i: F.get("_lines", i)), "\n"))
     changed = F.when(F.col("_cut").isNull(), F.col(f"_all.`{text_col}`")).otherwise(left)
     columns = [changed.alias(c) if c == text_col else F.col(f"_all.`{c}`") for c in df.columns]
+    n_lines, n_removed = "_n_lines", "_n_removed"
+    while {n_lines, n_removed} & set(df.columns):
+        n_lines, n_removed = "_" + n_lines, "_" + n_removed
     return split.select(
-        *columns, F.size("_at").cast("bigint").alias("_n_lines"),
-        F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias("_n_removed"),
+        *columns, F.size("_at").cast("bigint").alias(n_lines), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias(n_removed)
     )

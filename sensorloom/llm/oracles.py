@@ -116,9 +116,11 @@ WITH all_lines AS (
   FROM (SELECT doc_id, lo, hi FROM ends UNION SELECT doc_id, lo, hi FROM starts) r
   JOIN lines l ON l.doc_id = r.doc_id AND l.k BETWEEN lo AND hi GROUP BY 1, 2, 3
 ), later AS (
-  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, lo) AS nth FROM runs
+  SELECT *, row_number() OVER c AS nth, first_value(doc_id) OVER c AS first_id, first_value(hi) OVER c AS first_hi
+  FROM runs WINDOW c AS (PARTITION BY content ORDER BY doc_id, lo)
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.i FROM later r JOIN lines l ON l.doc_id = r.doc_id AND l.k BETWEEN lo AND hi WHERE nth > 1
+  SELECT DISTINCT l.doc_id, l.i FROM later r JOIN lines l ON l.doc_id = r.doc_id AND l.k <= hi
+   AND l.k >= CASE WHEN first_id = r.doc_id THEN greatest(lo, first_hi + 1) ELSE lo END WHERE nth > 1
 ), marked AS (
   SELECT a.*, g.i IS NOT NULL AS cut FROM all_lines a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i
 )
