@@ -25,13 +25,18 @@ def main(args: list[str] | None = None) -> int:
     sub.add_parser("matrix", help="list all experiments")
     c = sub.add_parser("count", help="count the samples of a cache by subject and label")
     c.add_argument("--cache", required=True)
+    c.add_argument("--out", help="a folder for CSV files; printed row by row without it")
     a = p.parse_args(args)
     if a.command == "matrix":
         print("\n".join(e.name for e in experiment.matrix()))
         return 0
     spark = SparkSession.builder.getOrCreate()
     if a.command == "count":
-        metrics.label_distribution(store.load(spark, a.cache), "label", ["subject"]).orderBy("subject", "label").show(1000, False)
+        counts = metrics.label_distribution(store.load(spark, a.cache), "label", ["subject"]).orderBy("subject", "label")
+        if a.out:
+            counts.write.mode("overwrite").option("header", True).csv(a.out)
+        for row in [] if a.out else counts.toLocalIterator():
+            print("\t".join(map(str, row)))
         return 0
     call = Client(a.base_url, a.model) if a.base_url else MockScorer()
     for config in experiment.expanded(experiment.load_config(a.config)):

@@ -1,10 +1,13 @@
 """Features of a window held as ``array<double>``: higher-order functions, no Python on the rows.
 
-Standard deviations are population ones; NaN never enters (see :func:`clean`).
+Standard deviations are population ones; NaN never enters (see :func:`clean`). Functions that use their
+window more than once bind it first: an argument that is an expression would otherwise be written out at each
+use, and inside a lambda be evaluated for each element.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -18,6 +21,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(feature: Callable[..., Column]) -> Callable[..., Column]:
+    """``feature`` with its first argument evaluated once a row."""
+
+    @functools.wraps(feature)
+    def run(x: Column, *more, **named) -> Column:
+        return let(x, lambda v: feature(v, *more, **named))
+
+    return run
+
+
 def clean(x: Column) -> Column:
     """Finite values as doubles."""
     return F.filter(F.transform(x, lambda v: v.cast("double")), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -31,6 +44,7 @@ def mean(x: Column) -> Column:
     return F.when(F.size(x) > 0, total(x) / F.size(x))
 
 
+@bound
 def variance(x: Column) -> Column:
     return let(mean(x), lambda m: mean(F.transform(x, lambda v: (v - m) * (v - m))))
 
@@ -51,6 +65,7 @@ def quantile(x: Column, q: float) -> Column:
     return let(F.array_sort(x), of)
 
 
+@bound
 def zscore(x: Column, zeros: bool = False) -> Column:
     """Standardised; of a constant window the deviations, or zeros if asked for."""
     stats = F.struct(mean(x).alias("m"), std(x).alias("s"))
@@ -62,6 +77,7 @@ def zscore(x: Column, zeros: bool = False) -> Column:
     return F.when(F.size(x) > 0, let(stats, one)).otherwise(x)
 
 
+@bound
 def downsampled(x: Column, length: int) -> Column:
     """``length`` values at evenly spread places, truncated to integers; shorter windows stay."""
     n = F.size(x)
@@ -70,6 +86,7 @@ def downsampled(x: Column, length: int) -> Column:
     return F.when(n > length, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.get(x, place(i)))).otherwise(x)
 
 
+@bound
 def differences(x: Column) -> Column:
     return F.when(F.size(x) > 1, F.zip_with(F.slice(x, F.lit(2), F.size(x) - 1), F.slice(x, F.lit(1), F.size(x) - 1), lambda b, a: b - a)).otherwise(F.slice(x, 1, 0))
 
@@ -78,6 +95,7 @@ def magnitude(x: Column, y: Column, z: Column) -> Column:
     return F.transform(F.arrays_zip(x.alias("x"), y.alias("y"), z.alias("z")), lambda v: F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]))
 
 
+@bound
 def slope(x: Column, rate: float = 1.0) -> Column:
     """Least-squares slope against index / rate; null for fewer than two values."""
     n = F.size(x).cast("double")
@@ -86,16 +104,19 @@ def slope(x: Column, rate: float = 1.0) -> Column:
     return F.when(F.size(x) > 1, dot / (n * (n * n - 1) / 12) * rate)
 
 
+@bound
 def correlation_with_time(x: Column) -> Column:
     n = F.size(x).cast("double")
     sd = std(x)
     return F.when((F.size(x) > 1) & (sd > 0), slope(x) * F.sqrt((n * n - 1) / 12) / sd)
 
 
+@bound
 def rmssd(x: Column) -> Column:
     return F.when(F.size(x) > 1, F.sqrt(mean(F.transform(differences(x), lambda d: d * d))))
 
 
+@bound
 def peak_count(x: Column) -> Column:
     """Strict local maxima above mean + std."""
 
@@ -106,12 +127,14 @@ def peak_count(x: Column) -> Column:
     return F.when(F.size(x) > 2, let(mean(x) + std(x), of)).otherwise(F.lit(0))
 
 
+@bound
 def absolute_integral(x: Column, rate: float) -> Column:
     """Trapezoids of the absolute values."""
     a = F.transform(x, F.abs)
     return F.when(F.size(x) > 0, (total(a) - (F.get(a, F.lit(0)) + F.get(a, F.size(a) - 1)) / 2) / rate)
 
 
+@bound
 def moving_average(x: Column, width: int) -> Column:
     """Centred, zero-padded: always divided by the full (odd) width."""
     h = width // 2
@@ -119,6 +142,7 @@ def moving_average(x: Column, width: int) -> Column:
     return F.transform(x, lambda _, i: total(part(i)) / width)
 
 
+@bound
 def centre_crop(x: Column, length: int) -> Column:
     return F.when(F.size(x) > length, F.slice(x, F.floor((F.size(x) - length) / 2).cast("int") + 1, F.lit(length))).otherwise(x)
 
@@ -129,6 +153,7 @@ def endpoint_trend(x: Column) -> Column:
     return F.when(F.size(x) == 0, "empty").when(far & (d > 0), "increasing").when(far, "decreasing").otherwise("relatively stable")
 
 
+@bound
 def described(x: Column) -> Column:
     """mean, std, min, max, p25, p75 and trend."""
     return F.struct(
@@ -137,6 +162,7 @@ def described(x: Column) -> Column:
     )
 
 
+@bound
 def edge_trend(x: Column, limit: float = 0.25) -> Column:
     """Mean of the last fifth against that of the first."""
 
@@ -148,6 +174,7 @@ def edge_trend(x: Column, limit: float = 0.25) -> Column:
     return F.when(flat, "stable").when(d > limit, "increasing").when(d < -limit, "decreasing").otherwise("stable")
 
 
+@bound
 def segments(x: Column, parts: int = 4) -> Column:
     """Consecutive parts; the first ``n % parts`` are one longer."""
     n, k = F.size(x), F.least(F.lit(parts), F.size(x))
@@ -157,15 +184,18 @@ def segments(x: Column, parts: int = 4) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), k - 1), cut)).otherwise(F.slice(F.array(x), 1, 0))
 
 
+@bound
 def segment_trends(x: Column, parts: int = 4) -> Column:
     return F.transform(segments(x, parts), lambda part: edge_trend(part))
 
 
+@bound
 def fluctuation(x: Column, low: float = 0.08, high: float = 0.35) -> Column:
     s = std(differences(x))
     return F.when(F.size(x) < 3, "unclear").when(s < low, "low").when(s > high, "high").otherwise("moderate")
 
 
+@bound
 def event_counts(x: Column, limit: float = 2.5) -> Column:
     """Peaks and valleys beyond ``limit``, and steps whose z-score is beyond it."""
 
@@ -181,6 +211,7 @@ def event_counts(x: Column, limit: float = 2.5) -> Column:
     return F.struct(peaks.alias("peaks"), jumps.alias("changes"))
 
 
+@bound
 def periodicity(x: Column, strong: float = 0.60, some: float = 0.35) -> Column:
     """By the largest autocorrelation of the detrended window at lags from 2 up to half its length."""
     n = F.size(x)
@@ -199,6 +230,7 @@ def periodicity(x: Column, strong: float = 0.60, some: float = 0.35) -> Column:
     return F.when(score >= strong, "strong").when(score >= some, "moderate").otherwise("weak or unclear")
 
 
+@bound
 def movement(x: Column) -> Column:
     """Steps beyond median + std of all steps: their number, and the share of steps that are not."""
     steps = F.transform(differences(x), F.abs)

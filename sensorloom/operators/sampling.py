@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import natural_key, stable_hash
+from ..shared import partition_offsets, persist
 
 
 class Shortage(ValueError):
@@ -18,13 +19,30 @@ class Shortage(ValueError):
 
 
 def ranked(df: DataFrame, by: list[str], order: Column, tie: str, out: str = "rn") -> DataFrame:
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order, tie)
-    return df.withColumn(out, F.row_number().over(w))
+    """``out``: the place of each row in its group, from 1. Without groups, of all rows, by range and not in one task."""
+    if not by:
+        return placed(df, [order, F.col(tie)], out)
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(order, tie)))
+
+
+def placed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``out``: the place of each row in the order of the whole table, from 1.
+
+    Rows are dealt by ranges of the order, numbered in each range, and ranges get their start from the sizes
+    of those before: no task sees all rows. Ranges are written, so numbers and sizes are of the same ones.
+    """
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = persist(dealt.select("*", F.spark_partition_id().alias("_part"), local.alias("_local")), "ranges")
+    first = partition_offsets(dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")), "_part", "_rows")
+    return dealt.join(first, "_part").withColumn(out, F.col("first") + F.col("_local") + 1).drop("_part", "_local", "first")
 
 
 def top_per_group(df: DataFrame, by: list[str], n: int, seed: int, tag: str, key: str) -> DataFrame:
     """The first ``n`` rows of each group by hash of (seed, tag, group, key)."""
     order = stable_hash(seed, tag, *(F.col(c) for c in by), F.col(key))
+    if not by:
+        return df.orderBy(order, key).limit(n)
     return ranked(df, by, order, key).filter(F.col("rn") <= n).drop("rn")
 
 
@@ -92,11 +110,22 @@ def examples(candidates: DataFrame, samples: DataFrame, subject: str, label: str
 
 
 def digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """SHA-256 over the sorted row keys. Keys are first hashed and folded by prefix, so no list of all rows exists."""
+    """SHA-256 over the sorted row keys, ``digest, rows``.
+
+    Row keys are hashed, the hashes joined in order by a prefix of three digits, and the digests of the prefixes
+    joined again. From 16 million rows on a longer prefix comes first, a digit more for every factor of 16, so no
+    list grows with the table.
+    """
     row = F.sha2(F.concat_ws(":", *(F.col(k).cast("string") for k in keys)), 256).alias("h")
-    hashed = df.select(row).withColumn("p", F.substring("h", 1, 3))
-    parts = hashed.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ","), 256).alias("digest"), F.sum("n").alias("rows"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), ","), 256)
+    depth, n = 3, df.count()
+    while n > 16 ** (3 + depth):
+        depth += 1
+    parts = df.select(row).select(F.substring("h", 1, depth).alias("p"), F.struct("h").alias("s"))
+    parts = parts.groupBy("p").agg(joined("s").alias("h"), F.count(F.lit(1)).alias("n"))
+    for k in range(depth - 1, 2, -1):
+        parts = parts.groupBy(F.substring("p", 1, k).alias("p")).agg(joined(F.struct("p", "h")).alias("h"), F.sum("n").alias("n"))
+    return parts.agg(joined(F.struct("p", "h")).alias("digest"), F.sum("n").alias("rows"))
 
 
 def assert_balanced(df: DataFrame, label: str, labels: list[int], n: int) -> None:

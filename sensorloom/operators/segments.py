@@ -11,12 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Seconds of a chunk of a recording, in gaps: chunks are the unit of work, so one long recording is many tasks.
+CHUNK = 1 << 14
+
+
 def gap_segments(df: DataFrame, by: list[str], time: str, gap: float, out: str = "segment_id") -> DataFrame:
-    """``out``: segments from 0 in order of time; a step longer than ``gap`` begins a new one. Null times go."""
-    w = Window.partitionBy(*by).orderBy(time)
+    """``out``: segments from 0 in order of time; a step longer than ``gap`` begins a new one. Null times go.
+
+    Breaks are counted inside chunks of time; what chunks begin with comes from a table of one row a chunk.
+    """
+    rows = df.filter(F.col(time).isNotNull()).withColumn("_chunk", F.floor(F.col(time) / (gap * CHUNK)))
+    w = Window.partitionBy(*by, "_chunk").orderBy(time)
     step = F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0.0))
-    rows = df.filter(F.col(time).isNotNull())
-    return rows.withColumn(out, F.sum((step > gap).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    rows = rows.withColumn("_breaks", F.sum((step > gap).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    chunks = rows.groupBy(*by, "_chunk").agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"), F.max("_breaks").alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_chunk")
+    new = F.coalesce((F.col("_lo") - F.lag("_hi").over(order) > gap).cast("bigint"), F.lit(0).cast("bigint"))
+    total = F.sum(F.col("_new") + F.col("_n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = chunks.withColumn("_new", new).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_chunk"])), (total - F.col("_n")).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*by, "_chunk"])]
+    return rows.join(first, same).select(*df.columns, (F.col("_first") + F.col("_breaks")).alias(out))
 
 
 def label_islands(df: DataFrame, by: list[str], index: str, label: str) -> DataFrame:
@@ -53,13 +67,20 @@ def slots_of(t: Column, start: Column, last: Column, window: float, stride: floa
     return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
+def _spanned(df: DataFrame, by: list[str], time: str) -> DataFrame:
+    """``df`` with the first and last time of its group, ``_t0`` and ``_t1``: an aggregate, not a window that holds the group."""
+    span = df.groupBy(*by).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
+    span = span.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), "_t0", "_t1")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return df.join(span, same).select(*df.columns, "_t0", "_t1")
+
+
 def anchored_windows(df: DataFrame, by: list[str], time: str, window: float, stride: float, slack: float = 0.0) -> DataFrame:
     """Rows of ``df`` once for each sliding window they are in, with ``window_id``, ``window_start``, ``window_end``.
 
     Windows start at the first row of the group and must end by its last; slots count whether kept or not.
     """
-    w = Window.partitionBy(*by)
-    spans = df.withColumns({"_t0": F.min(time).over(w), "_t1": F.max(time).over(w)})
+    spans = _spanned(df, by, time)
     slots = slots_of(F.col(time), F.col("_t0"), F.col("_t1"), window, stride, slack)
     out = spans.select("*", F.explode(slots).alias("window_id"))
     start = F.col("_t0") + F.col("window_id") * stride
@@ -68,8 +89,7 @@ def anchored_windows(df: DataFrame, by: list[str], time: str, window: float, str
 
 def downsampled_bins(df: DataFrame, by: list[str], time: str, rate: float, means: list[str], firsts: list[str]) -> DataFrame:
     """One row per time bin of 1/rate from the group's first time: means, first values, ``time`` on the grid."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_t0", F.min(time).over(w)).withColumn("bin", F.floor((F.col(time) - F.col("_t0")) * rate))
+    rows = _spanned(df, by, time).withColumn("bin", F.floor((F.col(time) - F.col("_t0")) * rate))
     aggs = [F.avg(c).alias(c) for c in means] + [F.min_by(c, time).alias(c) for c in firsts]
     out = rows.groupBy(*by, "_t0", "bin").agg(*aggs)
     return out.withColumn(time, F.col("_t0") + F.col("bin") / rate).drop("_t0")
