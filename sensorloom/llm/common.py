@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path, partition_offsets, persist, shared_dir  # noqa: F401
 from ..ship import ensure
 
 #: Word separators of every contract: space and U+0009 to U+000D.
@@ -22,42 +20,6 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session does not name one, a local folder is set on a single machine (``local`` masters: tests,
-    benchmarks); a cluster without one is an error, as its machines do not see each other's folders.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master!r} is no single machine")
-        path = "file://" + tempfile.mkdtemp(prefix="sensorloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder name below the shared folder, removed when the application ends."""
-    name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return name
-
-
-def persist(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there.
-
-    Lost executors then cost the later stages nothing that was written before.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, as single texts may be very long; workers get this package.
 
@@ -153,17 +115,6 @@ def by_key(batches: Iterator, keys: list[str]):
         yield held_key, pa.Table.from_batches(held)
 
 
-def partition_offsets(totals: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key, first)``: the sum of ``value`` over all smaller keys.
-
-    ``totals`` has one row per partition of a job, so it is counted in partitions, not rows.
-    """
-    from pyspark.sql import Window
-
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(key, F.coalesce(F.sum(value).over(w), F.lit(0)).alias("first"))
-
-
 def with_small(
     df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 200_000, weight: Column | None = None
 ) -> DataFrame:
