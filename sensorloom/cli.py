@@ -1,4 +1,4 @@
-"""Command line: run experiments over a cache, list the matrix, count samples."""
+"""Command line: make caches from recordings, texts from caches and subsets; run experiments, list the matrix, count samples."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 
 from .operators import metrics
-from .plans import experiment
+from .plans import experiment, materialise
 from .plans.scorer import Client, MockScorer
 from .sources import store
 
@@ -26,6 +26,24 @@ def main(args: list[str] | None = None) -> int:
     c = sub.add_parser("count", help="count the samples of a cache by subject and label")
     c.add_argument("--cache", required=True)
     c.add_argument("--out", help="a folder for CSV files; printed row by row without it")
+    w = sub.add_parser("windows", help="recordings to a cache of windows, and of texts for each input named")
+    w.add_argument("--dataset", required=True)
+    w.add_argument("--root", required=True)
+    w.add_argument("--input", nargs="*", default=[])
+    w.add_argument("--settings", default="{}", help="JSON: window lengths, rates, strides")
+    t = sub.add_parser("texts", help="caches of windows to one cache of texts")
+    t.add_argument("--input", required=True)
+    t.add_argument("--knowledge-file")
+    t.add_argument("--knowledge-text", default="")
+    t.add_argument("--knowledge-mode", choices=("default", "append", "replace"))
+    b = sub.add_parser("subset", help="a reproducible subset of one or more caches")
+    b.add_argument("--level", required=True, choices=tuple(experiment.SUBSETS))
+    b.add_argument("--seed", type=int, default=42)
+    for x in (t, b):
+        x.add_argument("--cache", nargs="+", required=True)
+    for x in (w, t, b):
+        x.add_argument("--out", required=True)
+        x.add_argument("--overwrite", action="store_true")
     a = p.parse_args(args)
     if a.command == "matrix":
         print("\n".join(e.name for e in experiment.matrix()))
@@ -38,6 +56,17 @@ def main(args: list[str] | None = None) -> int:
         for row in [] if a.out else counts.toLocalIterator():
             print("\t".join(map(str, row)))
         return 0
+    if a.command == "windows":
+        made = materialise.from_raw(spark, a.dataset, a.root, a.out, a.input, a.overwrite, **json.loads(a.settings))
+        print(json.dumps({k: m.sample_count for k, m in made.items()}))
+        return 0
+    if a.command == "texts":
+        extra = {"text": a.knowledge_text, "path": a.knowledge_file, "mode": a.knowledge_mode} if a.knowledge_text or a.knowledge_file or a.knowledge_mode else {}
+        print(json.dumps({"samples": materialise.from_caches(spark, a.cache, a.input, a.out, a.overwrite, **extra).sample_count}))
+        return 0
+    if a.command == "subset":
+        print(json.dumps({"samples": materialise.save_subset(spark, a.cache, a.level, a.out, a.seed, a.overwrite).sample_count}))
+        return 0
     call = Client(a.base_url, a.model) if a.base_url else MockScorer()
     for config in experiment.expanded(experiment.load_config(a.config)):
         e = experiment.Experiment(**config)

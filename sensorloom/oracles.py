@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import prompts
+from .plans import knowledge, prompts
 
 _IMU = """imu AS (SELECT event_id, user_id AS subject, epoch_us(ts) / 1e6 AS t, event_type AS activity, value FROM events)"""
 _CUST = """cust AS (SELECT c_custkey AS sample_id, c_nationkey AS subject, CAST(c_acctbal > 4500 AS INT) AS label FROM customer)"""
@@ -73,6 +73,16 @@ def _pstd(x: str) -> str:
 
 _DIFF = "list_transform(generate_series(2, len({x})), lambda i: {x}[i] - {x}[i - 1])"
 
+def _feature_line(name: str, x: str) -> str:
+    """``- name: mean=…`` of a list, as a string expression."""
+    at = lambda q: f"(list_sort({x})[1 + CAST(floor({q} * (len({x}) - 1)) AS INT)] * (1 - ({q} * (len({x}) - 1) - floor({q} * (len({x}) - 1)))) + list_sort({x})[least(len({x}), 2 + CAST(floor({q} * (len({x}) - 1)) AS INT))] * ({q} * (len({x}) - 1) - floor({q} * (len({x}) - 1))))"
+    values = {"mean": f"list_avg({x})", "std": _pstd(x), "min": f"list_min({x})", "max": f"list_max({x})", "p25": at(0.25), "p75": at(0.75)}
+    shown = ", ', ', ".join(f"'{k}=', printf('%.3f', CAST({v} AS DOUBLE))" for k, v in values.items())
+    step, far = f"({x}[len({x})] - {x}[1])", f"greatest({_pstd(x)} * 0.25, 1e-6)"
+    trend = f"CASE WHEN {step} > {far} THEN 'increasing' WHEN {step} < -{far} THEN 'decreasing' ELSE 'relatively stable' END"
+    return f"concat('- {name}: ', {shown}, ', trend=', {trend})"
+
+
 ORACLES = {
     "q_label_distribution": f"WITH {_IMU} SELECT activity, count(*) AS n FROM imu GROUP BY 1",
     "q_subject_label_pivot": f"WITH {_IMU} SELECT subject, " + ", ".join(f"count(*) FILTER (activity = '{k}') AS n_{k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM imu GROUP BY 1",
@@ -203,4 +213,20 @@ SELECT round(a, 6) AS estimated_input_cost, round(b, 6) AS estimated_output_cost
 SELECT source, count(v) AS n, round(avg(v), 6) AS avg, round(max(v), 6) AS max FROM v GROUP BY 1""",
     "q_revenue_by_nation": """SELECT n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
+    "q_render_features": f"WITH {_X} SELECT vec_id, {_feature_line('acc', 'x')} AS line FROM w",
+    "q_feature_text": f"""WITH {_X}, s AS (SELECT vec_id, x[1:20] AS a, x[21:40] AS b, x[41:60] AS c, x[61:64] AS g,
+  list_transform(generate_series(1, 20), lambda i: sqrt(x[i] * x[i] + x[i + 20] * x[i + 20] + x[i + 40] * x[i + 40])) AS m FROM w)
+SELECT vec_id, concat_ws(chr(10), 'Input feature description for HHAR:', '', 'Accelerometer:', {_feature_line('acc_x', 'a')}, {_feature_line('acc_y', 'b')}, {_feature_line('acc_z', 'c')},
+  {_feature_line('acc_magnitude', 'm')}, '', 'Gyroscope:', {_feature_line('gyro_mag', 'g')}) AS input_text FROM s""",
+    "q_psd_peak": f"""WITH {_X}, u AS (SELECT vec_id, unnest(list_transform(x, lambda v: v - list_avg(x))) AS v, unnest(generate_series(0, 63)) AS n FROM w),
+h AS (SELECT vec_id, n, v * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS v FROM u),
+f AS (SELECT vec_id, k, (pow(sum(v * cos(2 * pi() * k * n / 64)), 2) + pow(sum(v * sin(2 * pi() * k * n / 64)), 2)) * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM h, generate_series(0, 32) g(k) GROUP BY 1, 2)
+SELECT vec_id, CAST(arg_max(k, p) AS DOUBLE) AS peak_hz FROM f GROUP BY 1""",
+    "q_channel_metadata": """WITH m(i, name, channel, sensor, place, rate) AS (VALUES (0, 'Chest_EDA', 'EDA', 'electrodermal activity', 'chest', NULL), (1, 'skin temp', 'TEMP', 'skin temperature', 'wrist', 64.0e0),
+  (2, 'ACC-X', 'ACC_X', 'accelerometer', 'wrist', 64.0e0), (3, 'wrist_foo_x', 'ACC_X', 'accelerometer', 'wrist', NULL), (4, 'gyro_y', 'GYRO_Y', 'gyroscope', 'unknown', NULL),
+  (5, 'hr', 'HR', 'heart rate', 'wrist', 64.0e0), (6, 'bvp filt', 'BVP', 'filtered blood volume pulse', 'wrist', 64.0e0), (7, 'nothing', NULL, NULL, NULL, NULL))
+SELECT s_suppkey, name, channel, sensor, place, rate FROM supplier JOIN m ON s_suppkey % 8 = i""",
+    "q_fingerprint": f"""WITH {_CUST} SELECT sample_id AS id, concat('{{"dataset": "a \\"b\\""', CASE WHEN label = 1 THEN concat(', "epoch_id": ', sample_id) END, ', "label": ', label, ', "sample_id": ', sample_id,
+  ', "subject": "', subject, '", "window_start_sec": ', sample_id * 30, '.0}}') AS fingerprint FROM cust""",
+    "q_knowledge_text": f"SELECT doc_id, sha256(concat({_quoted(knowledge.HEAD)}, regexp_replace(text, '^\\s+|\\s+$', '', 'g'), {_quoted(knowledge.sections('HHAR', 'More is known.'))})) AS sha256 FROM documents WHERE text IS NOT NULL",
 }

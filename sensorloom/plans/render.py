@@ -104,9 +104,24 @@ def _other_text(signals) -> str:
     return "\n".join(["Input raw sequences:", *(lines or ["No numeric raw sensor channel was available."])])
 
 
-def encoded_channel(name: str, sensor: str, place: str, rate: float | None, x: Column) -> Column:
-    """The tagged block of temporal patterns of one channel; ``x`` is a column, not an expression."""
-    tag = f"{place}_{name}".upper().replace("-", "_").replace(" ", "_")
+def _text(value: Column | str) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
+
+
+def channel_tag(name: Column, place: Column) -> Column:
+    """``CHEST_EDA`` of a channel at a place, the channel alone where the place is unknown."""
+    key = lambda c: F.upper(F.trim(F.translate(c, "- ", "__")))
+    return F.when(key(place).isin("", "UNKNOWN"), key(name)).otherwise(F.concat_ws("_", key(place), key(name)))
+
+
+def encoded_channel(name: Column | str, sensor: Column | str, place: Column | str, rate: Column | float | None, x: Column) -> Column:
+    """The tagged block of temporal patterns of one channel; ``x`` is a column, not an expression. ``rate``: Hz, null if unknown."""
+    name, sensor, place = map(_text, (name, sensor, place))
+    tag = channel_tag(name, place)
+    rate = rate if isinstance(rate, Column) else F.lit(rate).cast("double")
+    whole = rate.cast("bigint")
+    shown = F.when(rate == whole, whole.cast("string")).otherwise(rate.cast("string"))
+    hz = F.coalesce(F.concat(shown, F.lit(" Hz")), F.lit("unknown"))
     good = A.clean(x)
 
     def block(z: Column) -> Column:
@@ -127,10 +142,9 @@ def encoded_channel(name: str, sensor: str, place: str, rate: float | None, x: C
         )
         named = F.array_join(F.transform(parts, lambda t, i: F.concat(F.lit("segment "), (i + 1).cast("string"), F.lit(" is "), t)), ", ")
         article = F.when(trend == "increasing", "an").otherwise("a")
-        hz = "unknown" if rate is None else f"{rate:g} Hz"
         lines = [
-            F.lit(f"<{tag}>\nChannel: {name}\nSensor type: {sensor}\nBody location: {place}\nSampling rate: {hz}\n\n"),
-            F.lit("Question: What is the temporal pattern of this sensor signal?\nAnswer:\nThe signal shows "), article, F.lit(" "), trend,
+            F.lit("<"), tag, F.lit(">\nChannel: "), name, F.lit("\nSensor type: "), sensor, F.lit("\nBody location: "), place,
+            F.lit("\nSampling rate: "), hz, F.lit("\n\nQuestion: What is the temporal pattern of this sensor signal?\nAnswer:\nThe signal shows "), article, F.lit(" "), trend,
             F.lit(" temporal pattern. Across temporal segments, "), named, F.lit(". The fluctuation level is "), level,
             F.lit(", periodicity is "), period, F.lit(", and "), seen, F.lit(".\n\nEncoded temporal pattern:\n- Global trend: "), trend,
             F.lit("\n- Segment-level trend: "), named, F.lit("\n- Fluctuation level: "), level, F.lit("\n- Periodicity: "), period,
@@ -139,7 +153,7 @@ def encoded_channel(name: str, sensor: str, place: str, rate: float | None, x: C
         return F.concat(*lines)
 
     head = A.let(A.zscore(A.downsampled(good, 256), zeros=True), block)
-    return F.concat(head, _supporting(x), F.lit(f"\n</{tag}>"))
+    return F.concat(head, _supporting(x), F.lit("\n</"), tag, F.lit(">"))
 
 
 def _supporting(x: Column) -> Column:

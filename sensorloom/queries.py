@@ -335,11 +335,44 @@ def q_psd_peak(spark, sf):
 def q_render_features(spark, sf):
     from .plans import render
 
-    rows = windows1(spark, sf).select("vec_id", F.transform("x", lambda v: F.round(v * 8) / 8).alias("x"))
-    rows = rows.select("vec_id", A.described(F.col("x")).alias("stats"))
+    rows = windows1(spark, sf).select("vec_id", A.described(F.col("x")).alias("stats"))
     return rows.select("vec_id", render.feature_line("acc", F.col("stats")).alias("line"))
 
 
+def q_feature_text(spark, sf):
+    from .plans import features
+
+    part = lambda a: F.slice("x", a, 20)
+    acc = F.struct(F.lit("acc").alias("name"), part(1).alias("x"), part(21).alias("y"), part(41).alias("z"))
+    none = F.lit(None).cast("array<double>")
+    other = lambda name, a: F.struct(F.lit(name).alias("name"), F.slice("x", a, 4).alias("x"), none.alias("y"), none.alias("z"))
+    rows = windows1(spark, sf).select("vec_id", F.array(other("gyro_mag", 61), acc, other("light", 1)).cast(features.SIGNALS).alias("signals"))
+    return rows.select("vec_id", features.feature_text(F.col("signals"), "HHAR").alias("input_text"))
+
+
+def q_channel_metadata(spark, sf):
+    from .plans import channels
+
+    names = ("Chest_EDA", "skin temp", "ACC-X", "wrist_foo_x", "gyro_y", "hr", "bvp filt", "nothing")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("s_suppkey") % 8 + 1).cast("int"))
+    rows = read(spark, sf, "supplier").select("s_suppkey", name.alias("name")).select("s_suppkey", "name", channels.described(channels.channel_key(F.col("name")), "DREAMT").alias("m"))
+    return rows.select("s_suppkey", "name", F.col("m.channel").alias("channel"), F.col("m.sensor").alias("sensor"), F.col("m.place").alias("place"), F.col("m.rate").alias("rate"))
+
+
+def q_fingerprint(spark, sf):
+    from .operators import fingerprints
+
+    c = customers(spark, sf).withColumns({"dataset": F.lit('a "b"'), "window_start_sec": F.col("sample_id") * 30.0, "epoch_id": F.when(F.col("label") == 1, F.col("sample_id"))})
+    return c.select(F.col("sample_id").alias("id"), fingerprints.fingerprint(c).alias("fingerprint"))
+
+
+def q_knowledge_text(spark, sf):
+    from .plans import knowledge
+
+    text = knowledge.knowledge_text(F.col("text"), "HHAR", "More is known.")
+    return read(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2(text, 256).alias("sha256"))
+
+
 def q_prompt_direct(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", F.col("text").alias("input_text"))
     text = prompts.direct("HHAR", [0, 1], "raw_data", F.col("input_text"))

@@ -24,6 +24,9 @@ OVERNIGHT = {
     "timestamp": ["^timestamp$", "time"], "bvp": ["^bvp$", "bvp"], "ibi": ["^ibi$"], "eda": ["^eda$", "eda"], "temp": ["^temp$", "temp"],
     "hr": ["^hr$", "heart_rate"], "acc_x": ["^acc_x$"], "acc_y": ["^acc_y$"], "acc_z": ["^acc_z$"], "stage": ["sleep_stage", "stage", "label"],
 }
+OVERNIGHT_CHANNELS = (
+    "bvp", "bvp_filt", "ibi", "eda", "eda_lowpass", "temp", "skin_temp", "hr", "acc_x", "acc_y", "acc_z", "acc_x_filt", "acc_y_filt", "acc_z_filt", "actigraphy",
+)
 
 
 def _field(rows: str, name: str) -> Column:
@@ -107,26 +110,80 @@ def read_overnight(spark: SparkSession, paths: list[str], rate: float = 64.0) ->
     columns = {k: C.number(F.col(c)) for k, c in found.items() if c and k not in ("timestamp", "stage")}
     out = df.select("subject", time.alias("t"), C.sleep_wake(F.col(found["stage"])).alias("label"), *(v.alias(k) for k, v in columns.items()))
     if "temp" in columns:
-        out = out.withColumn("temp", C.clipped(F.col("temp"), 31.0, 40.0)).withColumnRenamed("temp", "skin_temp")
+        out = out.withColumn("skin_temp", C.clipped(F.col("temp"), 31.0, 40.0))
+    if {"acc_x", "acc_y", "acc_z"} <= columns.keys():
+        out = out.withColumn("actigraphy", F.sqrt(sum((F.col(f"acc_{a}") ** 2 for a in "yz"), F.col("acc_x") ** 2)))
     out = out.filter("t is not null and label is not null")
     return out.withColumn("t", C.rebased(F.col("t") / (C.seconds_divisor(out, "t") if found["timestamp"] else 1.0), "subject"))
 
 
+def filtered(df: DataFrame, rate: float = 64.0) -> DataFrame:
+    """Overnight recordings with band-passed axes ``acc_*_filt``, pulse ``bvp_filt`` and low-passed ``eda_lowpass``.
+
+    A filter without phase runs over a whole night both ways, so a night is one task: 8 hours at 64 Hz are 2 million
+    rows. Rows are taken in order of time.
+    """
+    from ..ship import ensure
+
+    ensure()
+    axes = [f"acc_{a}" for a in "xyz" if f"acc_{a}" in df.columns]
+    made = [*(f"{a}_filt" for a in axes), *(n for c, n in (("bvp", "bvp_filt"), ("eda", "eda_lowpass")) if c in df.columns)]
+    if not made:
+        return df
+
+    def run(night):
+        from ..functions import dsp
+
+        night = night.sort_values("t", kind="stable")
+        for a in axes:
+            night[f"{a}_filt"] = dsp.butter_band(night[a].to_numpy(float), rate, 3.0, 11.0, 5)
+        if "bvp" in night:
+            night["bvp_filt"] = dsp.cheby2_band(night["bvp"].to_numpy(float), rate, 0.5, 20.0)
+        if "eda" in night:
+            night["eda_lowpass"] = dsp.butter_low(night["eda"].to_numpy(float), rate, 1.0)
+        return night
+
+    schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"`{n}` double" for n in made])
+    return df.groupBy("subject").applyInPandas(run, schema)
+
+
 def overnight_windows(df: DataFrame, rate: float = 64.0, seconds: float = 30.0, stride: float | None = None, share: float = 0.8) -> DataFrame:
     """Epochs with enough rows: mode label, channel arrays in order of time, artifact flag inputs."""
     wide = segments.anchored_windows(df, ["subject"], "t", seconds, stride or seconds, 1e-9)
     keys = ["subject", "window_id", "window_start", "window_end"]
-    channels = [c for c in ("bvp", "ibi", "eda", "skin_temp", "hr", "acc_x", "acc_y", "acc_z") if c in df.columns]
+    channels = [c for c in OVERNIGHT_CHANNELS if c in df.columns]
     listed = F.array_sort(F.collect_list(F.struct("t", *channels)))
     out = wide.groupBy(*keys).agg(listed.alias("rows"), F.mode("label", True).alias("label")).filter(F.size("rows") >= max(1, int(rate * seconds * share)))
-    return out.withColumns({c: _field("rows", c) for c in channels}).drop("rows")
+    out = out.withColumns({c: _field("rows", c) for c in channels}).drop("rows")
+    none = F.array().cast("array<double>")
+    x = lambda c: F.col(c) if c in channels else none
+    return out.withColumn("artifact", F.coalesce(artifact(x("bvp"), x("actigraphy"), snr(x("bvp"), rate)), F.lit(False)))
+
+
+def snr(x: Column, rate: float) -> Column:
+    """Signal-to-noise ratio of each window in dB; NaN for less than 5 s. ``x`` is a column, not an expression."""
+    from ..ship import ensure
+
+    ensure()
+
+    @F.pandas_udf("double")
+    def run(windows):
+        import numpy as np
+        import pandas as pd
+
+        from ..functions import dsp
+
+        return pd.Series([dsp.snr_db(np.asarray([] if w is None else w, float), rate) for w in windows], dtype=float)
+
+    return run(x)
 
 
 def artifact(bvp: Column, movement: Column, snr_db: Column) -> Column:
     """Movement variance over 0.4125, a pulse sample beyond 500, or a known signal-to-noise ratio below 10 dB."""
     from ..functions.arrays import variance
 
-    return (variance(movement) > 0.4125) | F.exists(bvp, lambda v: F.abs(v) > 500) | F.coalesce((snr_db < 10) & ~F.isnan(snr_db), F.lit(False))
+    moved = F.coalesce(variance(movement) > 0.4125, F.lit(False))
+    return moved | F.coalesce(F.exists(bvp, lambda v: F.abs(v) > 500), F.lit(False)) | F.coalesce((snr_db < 10) & ~F.isnan(snr_db), F.lit(False))
 
 
 def read_stress(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
