@@ -129,4 +129,34 @@ SELECT m.doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n
 FROM marked m JOIN documents d ON d.doc_id = m.doc_id GROUP BY m.doc_id
 """
 
-ORACLES = {"op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9, "op10_line_dedup": OP10}
+OP6 = r"""
+WITH pages_ AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), digests AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, min(page_id) OVER (PARTITION BY payload) AS first,
+    array_to_string(list_transform(string_split(sha1(payload), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', c) - 3, 4)), '') AS bits
+  FROM pages_
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(
+    list_transform(generate_series(0, 4), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INT) * CAST(pow(2, 4 - j) AS INT))) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digests
+"""
+
+# the level of words a weight at which all targets sum to the total: full sources are those of the least size a weight
+MIXING_TARGETS = r"""
+WITH sizes AS (
+  SELECT source, sum(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS size FROM documents GROUP BY source
+), weighed AS (
+  SELECT source, size, 2.0 * size AS cap, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM sizes
+), filled AS (
+  SELECT *, coalesce(sum(cap) OVER w, 0) AS taken, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest, 1.5 * sum(size) OVER () AS total, cap / weight AS own
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT min((total - taken) / rest) FILTER (WHERE (total - taken) / rest <= own) AS level FROM filled
+)
+SELECT source, CAST(size AS BIGINT) AS source_size, round(least(cap, weight * coalesce(level, 1e300)), 6) AS target FROM weighed, level
+"""
+
+ORACLES = {"mixing_targets": MIXING_TARGETS, "op6_warc": OP6, "op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9, "op10_line_dedup": OP10}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import persist, table, word_count
 from .exact_dedup import exact_groups
 from .html_extract import extract
 from .line_dedup import dedup_lines
 from .minhash import Near, near_groups
-from .mixing import mix
+from .mixing import mix, targets
 from .packing import pack
 from .pii import find
 from .quality import scored
@@ -26,6 +26,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies", "_row")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op2, which SQL can express; the words taken are random."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(word_count(F.col("text"))).alias("source_size"))
+    return targets(persist(sizes, "sums")).select("source", "source_size", F.round("target", 6).alias("target"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scored(table(spark, sf_dir, "documents")).drop("_row")
     return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
@@ -64,6 +70,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_mixing, op3_quality, op4_token_output, op5_pii, op6_warc, op7_packing, op8_exact_dedup, op9_minhash,
-        op10_line_dedup,
+        op10_line_dedup, mixing_targets,
     )
 }
