@@ -151,10 +151,10 @@ WITH sizes AS (
 ), weighed AS (
   SELECT source, size, 2.0 * size AS cap, CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM sizes
 ), filled AS (
-  SELECT *, coalesce(sum(cap) OVER w, 0) AS taken, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest, 1.5 * sum(size) OVER () AS total, cap / weight AS own
+  SELECT *, coalesce(sum(cap) OVER w, 0) AS taken, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest, 1.5 * sum(size) OVER () AS total, cap / weight AS own, row_number() OVER (ORDER BY cap / weight, source) AS place
   FROM weighed WINDOW w AS (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT min((total - taken) / rest) FILTER (WHERE (total - taken) / rest <= own) AS level FROM filled
+  SELECT arg_min((total - taken) / rest, place) FILTER (WHERE (total - taken) / rest <= own) AS level FROM filled
 )
 SELECT source, CAST(size AS BIGINT) AS source_size, round(least(cap, weight * coalesce(level, 1e300)), 6) AS target FROM weighed, level
 """
