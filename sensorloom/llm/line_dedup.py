@@ -17,14 +17,20 @@ many words is covered by the windows inside it.
 
 Lines are compared as written. Column expressions only; texts are read twice and moved once, and not at
 all where few documents change.
+
+A run that repeats inside longer lines, or with other line breaks, shares no whole line. :func:`dedup_runs`
+winnows what is left once more with words for lines: of each window of ``least`` words the smallest hash of
+``least`` / 2 neighbouring words is the fingerprint, and the other steps are the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, let, persist, row_key, stable, with_small
+from .common import SPACE_CLASS, SPACES, WORD, let, persist, row_key, stable, with_small, words_of
 
 #: Least words of a run that is worth deleting.
 LEAST = 50
@@ -123,19 +129,13 @@ def _later(df: DataFrame, least: int) -> DataFrame:
     return persist(later.groupBy("_row").agg(F.collect_set(cut).alias("gone")), "later")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """The rows of ``df`` with later repeated runs deleted from ``text_col``, and ``n_lines``, ``n_removed``
-    (non-blank lines) added as ``_n_lines``, ``_n_removed``, with more leading underscores while ``df`` has
-    such a column itself.
-
-    Blank lines stay. A null text stays null and has no lines. Null ids come first in the order; rows that
-    repeat an id are ordered by their place in the input. Texts of fewer than ``least`` words never change.
-    Other columns are kept as they are. An empty table gives an empty result.
-    """
+def _cut_lines(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """``_all`` (the other columns of ``df``), ``_text`` (without the runs), ``_row``, ``_lines``, ``_removed``."""
     df = stable(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = _later(df.select(F.col(id_col).alias("_id"), text.alias("_text"), row_key().alias("_row")), least)
-    rows = df.select(F.struct("*").alias("_all"), text.alias("_text"), row_key().alias("_row"))
+    others = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col))
+    rows = df.select(others.alias("_all"), F.col(text_col).alias("_old"), text.alias("_text"), row_key().alias("_row"))
     both = with_small(rows, gone, "_row", "left", _FEW, 1 + F.size("gone"))
     split = both.withColumn("_lines", F.split("_text", "\n")).withColumn(
         "_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
@@ -144,11 +144,115 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     split = split.withColumn("_cut", F.when(F.col("gone").isNotNull(), cut))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
     left = let(keep, lambda k: F.array_join(F.transform(k, lambda i: F.get("_lines", i)), "\n"))
-    changed = F.when(F.col("_cut").isNull(), F.col(f"_all.`{text_col}`")).otherwise(left)
-    columns = [changed.alias(c) if c == text_col else F.col(f"_all.`{c}`") for c in df.columns]
-    n_lines, n_removed = "_n_lines", "_n_removed"
-    while {n_lines, n_removed} & set(df.columns):
-        n_lines, n_removed = "_" + n_lines, "_" + n_removed
-    return split.select(
-        *columns, F.size("_at").cast("bigint").alias(n_lines), F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint").alias(n_removed)
-    )
+    changed = F.when(F.col("_cut").isNull(), F.col("_old")).otherwise(left)
+    removed = F.coalesce(F.size("_cut"), F.lit(0)).cast("bigint")
+    return split.select("_all", changed.alias("_text"), "_row", F.size("_at").cast("bigint").alias("_lines"), removed.alias("_removed"))
+
+
+def _with_counts(cut: DataFrame, columns: list[str], text_col: str, counts: dict[str, str]) -> DataFrame:
+    """The columns in their order, and counts named with as many leading underscores as keep them apart."""
+    lead = ""
+    while {lead + name for name in counts} & set(columns):
+        lead += "_"
+    kept = [F.col("_text").alias(c) if c == text_col else F.col(f"_all.`{c}`") for c in columns]
+    return cut.select(*kept, *(F.col(held).alias(lead + name) for name, held in counts.items()))
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """The rows of ``df`` with later repeated runs deleted from ``text_col``, and ``n_lines``, ``n_removed``
+    (non-blank lines) added as ``_n_lines``, ``_n_removed``, with more leading underscores while ``df`` has
+    such a column itself.
+
+    Blank lines stay. A null text stays null and has no lines. Null ids come first in the order; rows that
+    repeat an id are ordered by their place in the input. Texts of fewer than ``least`` words never change.
+    Other columns are kept as they are. An empty table gives an empty result.
+    """
+    cut = _cut_lines(df, id_col, text_col, least)
+    return _with_counts(cut, df.columns, text_col, {"_n_lines": "_lines", "_n_removed": "_removed"})
+
+
+def _over(x: Column, n: int, join: Callable[[Column, Column], Column]) -> Column:
+    """At each place the join of ``n`` elements from there, by doubling; of no use where fewer than ``n`` are left."""
+    step = lambda by: lambda a: F.transform(a, lambda v, i: join(v, F.get(a, i + by)))
+    reach = 1
+    while 2 * reach <= n:
+        x, reach = let(x, step(reach)), 2 * reach
+    return let(x, step(n - reach)) if reach < n else x
+
+
+def _word_prints(words: Column, least: int) -> Column:
+    """Fingerprints as ``array<struct<first, last, print>>``, with the windows (by first word) that have each."""
+    none = F.array().cast("array<struct<first:int,last:int,print:bigint>>")
+    gram = max(least // 2, 1)
+
+    def runs(x: Column) -> Column:
+        # a fingerprint is a place, the leftmost of equal hashes: it changes with the least hash, or when it is left behind
+        new = lambda i: (i == 0) | (F.get(x["least"], i) != F.get(x["least"], i - 1)) | (F.get(x["grams"], i - 1) == F.get(x["least"], i - 1))
+        at = F.filter(F.sequence(F.lit(0), x["n"] - least), new)
+        last = lambda a, j: F.coalesce(F.get(a, j + 1) - 1, x["n"] - least)
+        return let(at, lambda a: F.transform(a, lambda i, j: F.struct(i.alias("first"), last(a, j).alias("last"), F.get(x["least"], i).alias("print"))))
+
+    def prints(w: Column) -> Column:
+        grams = _over(F.transform(w, lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
+        minima = lambda g: F.struct(F.size(w).alias("n"), g.alias("grams"), _over(g, least - gram + 1, lambda a, b: F.least(a, b)).alias("least"))
+        return F.when(F.size(w) >= least, let(let(grams, minima), runs)).otherwise(none)
+
+    return let(words, prints)
+
+
+def _later_words(rows: DataFrame, least: int) -> DataFrame:
+    """``(row, gone)``: runs of words to delete, as (start, end), in order and apart. ``rows(_id, _row, _text)``."""
+    rows = rows.filter(F.length("_text") >= 2 * least - 1)
+    prints = persist(rows.select("_row", F.inline(_word_prints(words_of(F.col("_text")), least))), "word-prints")
+    shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
+    met = prints.join(shared, "print").groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("met"))
+
+    def named(w: Column) -> Column:
+        hashed = lambda *seed: _over(F.transform(w, lambda x: F.xxhash64(*seed, x)), least, lambda a, b: F.xxhash64(a, b))
+        return F.struct(hashed().alias("c1"), hashed(F.lit(least)).alias("c2"))
+
+    def extended(c: Column) -> Column:
+        one = lambda i: F.struct(i.alias("start"), F.get(c["c1"], i).alias("c1"), F.get(c["c2"], i).alias("c2"))
+        return F.flatten(F.transform("met", lambda r: F.transform(F.sequence(r["first"], r["last"]), one)))
+
+    close = with_small(rows, persist(met, "met"), "_row", "inner", _FEW, F.size("met"))
+    windows = let(let(words_of(F.col("_text")), named), extended)
+    found = persist(close.select("_id", "_row", F.inline(windows)), "word-windows")
+    spot = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start"))
+    first = found.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = found.join(persist(first.drop("n"), "first"), ["c1", "c2"]).filter(spot > F.col("first"))
+    # the first occurrence stays whole, as with lines
+    same = (F.col("_row") == F.col("first.row")) & (F.col("start") < F.col("first.start") + least)
+    begin = F.when(same, F.col("first.start") + least).otherwise(F.col("start"))
+    later = later.select("_row", begin.alias("start"), (F.col("start") + least).alias("end"))
+    # overlapping windows become one run
+    w = Window.partitionBy("_row").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = later.groupBy("_row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return persist(runs.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")), "later-words")
+
+
+def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """:func:`dedup_lines`, then the same for runs of ``least`` words or more wherever their lines break.
+
+    A deleted word goes with the white space after it; that before the first word stays. ``_n_words`` is added,
+    the words deleted by the second step. Nulls, ties, repeated rows and clashing names are as in
+    :func:`dedup_lines`.
+    """
+    cut = persist(_cut_lines(df, id_col, text_col, least), "cut-lines")
+    gone = _later_words(cut.select(F.col(f"_all.`{id_col}`").alias("_id"), "_row", "_text"), least)
+    both = with_small(cut, gone, "_row", "left", _FEW, 1 + F.size("gone"))
+
+    def left(words: Column) -> Column:
+        bounds = F.sequence(F.lit(0), F.size("gone"))
+        start = lambda j: F.coalesce(F.get("gone", j - 1)["end"], F.lit(0))
+        end = lambda j: F.coalesce(F.get("gone", j)["start"], F.size(words))
+        piece = lambda j: F.when(end(j) > start(j), F.array_join(_part(words, start(j), end(j) - start(j)), "")).otherwise("")
+        return F.array_join(F.transform(bounds, piece), "")
+
+    words = F.regexp_extract_all("_text", F.lit(f"{WORD}++{SPACE_CLASS}*+"), F.lit(0))
+    rest = F.concat(F.regexp_extract("_text", f"^{SPACE_CLASS}*+", 0), let(words, left))
+    n = F.aggregate(F.transform("gone", lambda r: (r["end"] - r["start"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    both = both.select("_all", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(rest).alias("_text"), "_lines", "_removed", F.coalesce(n, F.lit(0)).alias("_words"))
+    return _with_counts(both, df.columns, text_col, {"_n_lines": "_lines", "_n_removed": "_removed", "_n_words": "_words"})

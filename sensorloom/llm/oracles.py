@@ -123,10 +123,29 @@ WITH all_lines AS (
    AND l.k >= CASE WHEN first_id = r.doc_id THEN greatest(lo, first_hi + 1) ELSE lo END WHERE nth > 1
 ), marked AS (
   SELECT a.*, g.i IS NOT NULL AS cut FROM all_lines a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.i = a.i
+), base AS (
+  SELECT m.doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n_removed,
+    CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '') END AS text
+  FROM marked m JOIN documents d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+), words AS (
+  SELECT doc_id, k, list_transform(tok, lambda t: regexp_replace(t, '[\x20\x09-\x0D]+$', '')) AS w, tok
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS tok FROM base) t, (SELECT 50 AS k)
+), places AS (
+  SELECT doc_id, unnest(range(len(w) - 49)) AS i, unnest(list_transform(range(len(w) - 49), lambda i: md5(array_to_string(w[i + 1:i + k], ' ')))) AS content
+  FROM words WHERE len(w) >= k
+), met AS (
+  SELECT *, first_value(doc_id) OVER c AS first_id, first_value(i) OVER c AS first_i, row_number() OVER c AS nth
+  FROM places WINDOW c AS (PARTITION BY content ORDER BY doc_id, i)
+), gone_words AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_id = doc_id THEN greatest(i, first_i + 50) ELSE i END, i + 50)) AS i FROM met WHERE nth > 1
+), kept_words AS (
+  SELECT t.doc_id, count(*) FILTER (g.i IS NOT NULL) AS n_words, coalesce(string_agg(t.t, '' ORDER BY t.i) FILTER (g.i IS NULL), '') AS text
+  FROM (SELECT doc_id, unnest(tok) AS t, unnest(range(len(tok))) AS i FROM words WHERE doc_id IN (SELECT doc_id FROM gone_words)) t
+  LEFT JOIN gone_words g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
 )
-SELECT m.doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (cut) AS n_removed,
-  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT cut), '') END AS text
-FROM marked m JOIN documents d ON d.doc_id = m.doc_id GROUP BY m.doc_id
+SELECT b.doc_id, n_lines, n_removed, coalesce(n_words, 0) AS n_words,
+  CASE WHEN n_words IS NULL THEN b.text ELSE regexp_extract(b.text, '^[\x20\x09-\x0D]*') || k.text END AS text
+FROM base b LEFT JOIN kept_words k ON k.doc_id = b.doc_id
 """
 
 OP6 = r"""

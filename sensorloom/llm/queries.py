@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import persist, table, word_count
 from .exact_dedup import exact_groups
 from .html_extract import extract
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_runs
 from .minhash import Near, near_groups
 from .mixing import mix, targets
 from .packing import pack
@@ -62,8 +62,9 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    out = dedup_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.col(f"_{c}").alias(c) for c in ("n_lines", "n_removed", "n_words"))
+    return out.select("doc_id", *counts, "text")
 
 
 QUERIES = {

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -158,6 +159,55 @@ def test_line_dedup_of_long_texts_and_clashing_names(spark):
     assert texts[1] == ("\n".join(lines), 7, 8000) and texts[2] == ("own\nend", 8, 6902)
 
 
+def brute_words(rows, least):
+    """Texts without the words of every ``least``-word window that stands earlier; a first occurrence stays whole."""
+    seen, out = {}, {}
+    for d, t in sorted(rows):
+        tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)
+        words, gone = [x.strip(" \t\n\x0b\x0c\r") for x in tokens], set()
+        for i in range(len(words) - least + 1):
+            at, begin = seen.setdefault(tuple(words[i : i + least]), (d, i)), i
+            if at != (d, i):
+                gone |= set(range(max(begin, at[1] + least) if at[0] == d else begin, i + least))
+        lead = re.match(r"[\x20\x09-\x0D]*", t)[0]
+        out[d] = (lead + "".join(x for i, x in enumerate(tokens) if i not in gone), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 7, 12])
+def test_runs_of_words_equal_brute_force(spark, least):
+    rng = random.Random(least)
+    shared = [[f"s{i}_{j}" for j in range(rng.randint(6, 20))] for i in range(8)] + [["r"] * 15, ["a", "b"] * 12]
+    rows = []
+    for d in range(80):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += [f"o{d}_{rng.randrange(99)}" for _ in range(rng.randint(0, 9))] + rng.choice(shared)
+        # one line, so that no whole line repeats by chance
+        rows.append((d, rng.choice(["", " ", "\t"]) + f"own{d}" + "".join(rng.choice(" \t") * rng.randint(1, 2) + w for w in words)))
+    got = {r.doc_id: (r.text, r._n_words) for r in line_dedup.dedup_runs(docs(spark, rows).repartition(3), least=least).collect()}
+    assert got == brute_words(rows, least)
+
+
+def test_passages_inside_lines(spark):
+    passage = ["p%d" % i for i in range(51)]
+    long = " ".join("q%d" % i for i in range(60_000))
+    rows = [
+        (1, "own start " + " ".join(passage) + " own end"), (2, "another\nline " + "\n".join(passage) + "\nand more"), (3, " ".join(passage[:49]) + " other"), (3, None),
+        (None, "before " + " ".join(passage)), (4, long), (5, "x " + long + " y"), (6, ""), (7, "z " * 20_000),
+    ]
+    got = line_dedup.dedup_runs(docs(spark, rows))
+    assert got.columns == docs(spark, rows).columns + ["_n_lines", "_n_removed", "_n_words"]
+    got = sorted(((r.doc_id or 0, r.text, r._n_words) for r in got.collect()), key=lambda r: (r[0], r[1] or ""))
+    texts = {d: (t, n) for d, t, n in got if t is not None}
+    assert texts[0] == (rows[4][1], 0) and texts[1] == ("own start own end", 51) and texts[2] == ("another\nline and more", 51)
+    assert texts[3] == (rows[2][1], 0) and (3, None, 0) in got and texts[4] == (long, 0) and texts[5] == ("x y", 60_000)
+    assert texts[6] == ("", 0) and texts[7] == ("z " * 50, 19_950)
+    clash = spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, text string, _n_words int, _row int")
+    assert line_dedup.dedup_runs(clash).columns == ["doc_id", "text", "_n_words", "_row", "__n_lines", "__n_removed", "__n_words"]
+    assert line_dedup.dedup_runs(clash.limit(0)).count() == 0
+
+
 def test_rows_are_pinned_unless_a_plan_holds_them(spark, sf):
     nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     table = spark.read.parquet(f"{sf}/labels.parquet")
