@@ -36,13 +36,13 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return name
 
 
-def persist(df: DataFrame, tag: str) -> DataFrame:
+def persist(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there.
 
     Lost executors then cost the later stages nothing that was written before.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
