@@ -20,23 +20,30 @@ all where few documents change.
 
 A run that repeats inside longer lines, or with other line breaks, shares no whole line. :func:`dedup_runs`
 winnows what is left once more with words for lines: of each window of ``least`` words the smallest hash of
-``least`` / 2 neighbouring words is the fingerprint, and the other steps are the same.
+``least`` / 4 neighbouring words is the fingerprint, and the other steps are the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, WORD, let, persist, row_key, stable, with_small, words_of
+from . import common
+from .common import SPACE_CLASS, SPACES, WORD, let, row_key, stable, with_small, words_of
 
 #: Least words of a run that is worth deleting.
 LEAST = 50
 _FEW = 500_000  # windows, of 8 bytes, that may be broadcast
 
 
+def persist(df: DataFrame, tag: str) -> DataFrame:
+    """Hashes and texts of the whole corpus are written in between: packed more tightly than others."""
+    return common.persist(df, tag, compression="zstd")
+
+
 def _part(x: Column, start: Column, n: Column) -> Column:
     """``n`` elements (1 or more) from place ``start``: a slice that does not copy the whole array first."""
     return F.transform(F.sequence(start, start + n - 1), lambda i: F.get(x, i))
@@ -171,19 +178,30 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return _with_counts(cut, df.columns, text_col, {"_n_lines": "_lines", "_n_removed": "_removed"})
 
 
-def _over(x: Column, n: int, join: Callable[[Column, Column], Column]) -> Column:
-    """At each place the join of ``n`` elements from there, by doubling; of no use where fewer than ``n`` are left."""
-    step = lambda by: lambda a: F.transform(a, lambda v, i: join(v, F.get(a, i + by)))
-    reach = 1
-    while 2 * reach <= n:
-        x, reach = let(x, step(reach)), 2 * reach
-    return let(x, step(n - reach)) if reach < n else x
+def _offsets(n: int, held: int) -> list[int]:
+    """Where joins of ``held`` elements start that together cover ``n``."""
+    return [*range(0, n - held, held), n - held]
+
+
+def _at(x: Column, i: Column, offsets: list[int], join: Callable[..., Column]) -> Column:
+    parts = [F.get(x, i + by if by else i) for by in offsets]
+    return join(*parts) if len(parts) > 1 else parts[0]
+
+
+def _over(x: Column, n: int, join: Callable[..., Column]) -> Column:
+    """At each place the join of ``n`` elements from there, in two passes; of no use where fewer than ``n`` are left."""
+    half = math.isqrt(n - 1) + 1
+    step = lambda offsets: lambda a: F.transform(a, lambda v, i: _at(a, i, offsets, join))
+    for size, held in ((half, 1), (n, half)):
+        if size > held:
+            x = let(x, step(_offsets(size, held)))
+    return x
 
 
 def _word_prints(words: Column, least: int) -> Column:
     """Fingerprints as ``array<struct<first, last, print>>``, with the windows (by first word) that have each."""
     none = F.array().cast("array<struct<first:int,last:int,print:bigint>>")
-    gram = max(least // 2, 1)
+    gram = max(least // 4, 1)
 
     def runs(x: Column) -> Column:
         # a fingerprint is a place, the leftmost of equal hashes: it changes with the least hash, or when it is left behind
@@ -193,8 +211,8 @@ def _word_prints(words: Column, least: int) -> Column:
         return let(at, lambda a: F.transform(a, lambda i, j: F.struct(i.alias("first"), last(a, j).alias("last"), F.get(x["least"], i).alias("print"))))
 
     def prints(w: Column) -> Column:
-        grams = _over(F.transform(w, lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
-        minima = lambda g: F.struct(F.size(w).alias("n"), g.alias("grams"), _over(g, least - gram + 1, lambda a, b: F.least(a, b)).alias("least"))
+        grams = _over(F.transform(w, lambda x: F.xxhash64(x)), gram, F.xxhash64)
+        minima = lambda g: F.struct(F.size(w).alias("n"), g.alias("grams"), _over(g, least - gram + 1, F.least).alias("least"))
         return F.when(F.size(w) >= least, let(let(grams, minima), runs)).otherwise(none)
 
     return let(words, prints)
@@ -205,14 +223,16 @@ def _later_words(rows: DataFrame, least: int) -> DataFrame:
     rows = rows.filter(F.length("_text") >= 2 * least - 1)
     prints = persist(rows.select("_row", F.inline(_word_prints(words_of(F.col("_text")), least))), "word-prints")
     shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
-    met = prints.join(shared, "print").groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("met"))
+    met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("met"))
+    half = math.isqrt(least - 1) + 1
 
     def named(w: Column) -> Column:
-        hashed = lambda *seed: _over(F.transform(w, lambda x: F.xxhash64(*seed, x)), least, lambda a, b: F.xxhash64(a, b))
+        hashed = lambda *seed: _over(F.transform(w, lambda x: F.xxhash64(*seed, x)), half, F.xxhash64)
         return F.struct(hashed().alias("c1"), hashed(F.lit(least)).alias("c2"))
 
     def extended(c: Column) -> Column:
-        one = lambda i: F.struct(i.alias("start"), F.get(c["c1"], i).alias("c1"), F.get(c["c2"], i).alias("c2"))
+        whole = lambda x, i: _at(x, i, _offsets(least, half), F.xxhash64)
+        one = lambda i: F.struct(i.alias("start"), whole(c["c1"], i).alias("c1"), whole(c["c2"], i).alias("c2"))
         return F.flatten(F.transform("met", lambda r: F.transform(F.sequence(r["first"], r["last"]), one)))
 
     close = with_small(rows, persist(met, "met"), "_row", "inner", _FEW, F.size("met"))
