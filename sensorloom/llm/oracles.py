@@ -178,4 +178,98 @@ WITH sizes AS (
 SELECT source, CAST(size AS BIGINT) AS source_size, round(least(cap, weight * coalesce(level, 1e300)), 6) AS target FROM weighed, level
 """
 
-ORACLES = {"mixing_targets": MIXING_TARGETS, "op6_warc": OP6, "op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9, "op10_line_dedup": OP10}
+
+def _vector_codes() -> str:
+    from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
+
+    nearest = lambda k, of: f"""
+a{k} AS MATERIALIZED (
+  SELECT row, part, x, struct_extract(min(struct_pack(d := d, entry := entry)), 'entry') AS entry, min(d) AS d FROM (
+    SELECT p.row, p.part, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN {of} c ON p.part = c.part) GROUP BY row, part, x
+)"""
+    moved = lambda k, of: f"""
+c{k} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM {of} c LEFT JOIN (
+    SELECT part, entry, list(s ORDER BY i) AS x FROM (
+      SELECT part, entry, i, CAST(sum(v) // count(*) - CASE WHEN sum(v) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS s
+      FROM (SELECT part, entry, unnest(range(len(x))) AS i, unnest(x) AS v FROM a{k}) GROUP BY part, entry, i) GROUP BY part, entry
+  ) m ON m.part = c.part AND m.entry = c.entry
+)"""
+    steps = [f"{nearest(k, f'c{k - 1}')}, {moved(k, f'c{k - 1}')}" for k in range(1, ROUNDS + 1)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row,
+    list_transform(embedding, lambda v: CAST(floor({SCALE}.0::DOUBLE * v::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), parts AS MATERIALIZED (
+  SELECT row, part, x[part * (len(x) // {PARTS}) + 1:(part + 1) * (len(x) // {PARTS})] AS x FROM kept, (SELECT unnest(range({PARTS})) AS part)
+), c0 AS MATERIALIZED (SELECT part, row AS entry, x FROM parts WHERE row < {ENTRIES}),
+{", ".join(steps)}, {nearest("_", f"c{ROUNDS}")},
+coded AS (
+  SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a_ GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
+OP11 = _vector_codes()
+
+_PLAIN = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format(_LOWER)} AS w FROM documents),
+b AS (SELECT item_id, {_PLAIN.format(_LOWER)} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, CAST(least(10, len(w)) AS BIGINT) AS n, unnest(list_transform(generate_series(1, greatest(1, len(w) - 9)), lambda i: array_to_string(w[i:i + 9], ' '))) AS content
+  FROM b WHERE len(w) > 0
+), places AS (
+  SELECT doc_id, n, unnest(generate_series(1, len(w) - n + 1)) AS i, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS content
+  FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), met AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN windows v ON p.content = v.content AND p.n = v.n),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS i FROM (SELECT DISTINCT doc_id, i, n FROM met)) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# crc32 by its bits; a run of a period is a whole stretch of words that equal the one a period before
+OP12 = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda s, c: list_reduce(list_prepend(xor(s, c), list_transform(range(8), lambda k: k::BIGINT)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))))) AS h
+  FROM documents
+), planned AS (
+  SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a, 1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p FROM d
+), planted AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w
+  FROM planned
+), words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM planted WHERE n >= 6),
+equal AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 1 + q AS e
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal) GROUP BY doc_id, q, island
+), runs AS MATERIALIZED (
+  SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM islands WHERE e - s >= greatest(6, 4 * q) GROUP BY 1, 2, 3
+), best AS (
+  SELECT doc_id, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1
+), digests AS (
+  SELECT doc_id, count(*) AS n_runs, sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS runs_sha256 FROM runs GROUP BY 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, sha256(string_agg(w, ' ' ORDER BY i)) AS collapsed_sha256 FROM (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS w FROM planted)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY 1
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM planted LEFT JOIN best USING (doc_id) LEFT JOIN digests USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"mixing_targets": MIXING_TARGETS, "op6_warc": OP6, "op3_quality": OP3, "op8_exact_dedup": OP8, "op9_minhash": OP9, "op10_line_dedup": OP10, "op11_vector_codes": OP11, "op12_periodic_runs": OP12, "op13_decontamination": OP13}
