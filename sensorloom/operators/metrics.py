@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import persist
+from .order_stats import percentiles
+
 
 def confusion(df: DataFrame, truth: str, pred: str, labels: list[int]) -> DataFrame:
     """Counts for every (true, predicted) pair of ``labels``, zeros included."""
@@ -101,11 +104,12 @@ def majority(votes: DataFrame, sample: str, vote: str, labels: list[int]) -> Dat
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("requests"), F.avg(value).alias("latency_mean"),
-        *(F.percentile(value, q).alias(f"latency_p{round(100 * q)}") for q in (0.5, 0.9, 0.99)),
-    )
+    """Requests, mean and exact percentiles with linear interpolation; groups of any size (see :mod:`order_stats`)."""
+    means = persist(df.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), F.avg(value).alias("latency_mean")), "latency")
+    found = percentiles(df, by, value, {f"latency_p{round(100 * q)}": q for q in (0.5, 0.9, 0.99)})
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in by), *found.columns[len(by):])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True)
+    return means.join(found, same).drop(*(f"_{c}" for c in by))
 
 
 def label_distribution(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import natural_key, stable_hash
-from ..shared import partition_offsets, persist
+from ..shared import partition_offsets, persist, with_small
+
+#: Subjects of a block of the leave-one-out pool, and lists merged at a time.
+BLOCK = 1024
 
 
 class Shortage(ValueError):
@@ -90,16 +93,29 @@ def subject_label_balanced(df: DataFrame, subject: str, label: str, n: int, seed
     return top_per_group(df, [subject, label], n, seed, "subject-label-balanced", key)
 
 
-def other_subjects(subjects: DataFrame, pool: DataFrame, subject: str, k: int, seed: int) -> DataFrame:
+def other_subjects(subjects: DataFrame, pool: DataFrame, subject: str, k: int, seed: int, block: int = BLOCK) -> DataFrame:
     """Leave one out: ``eval_subject, subject, subject_rank`` of the ``k`` pool subjects by hash for each.
 
-    ``subjects`` and ``pool`` are distinct lists of subjects. Every pair has a hash of its own, so the pairs
-    number their product; samples only meet the ``k`` that are left.
+    ``subjects`` and ``pool`` are distinct lists of subjects; nulls are passed by. The hash is of the pair, so each
+    subject meets the pool, in blocks of about ``block``: a row holds a block, ranks it and keeps ``k``. The best of
+    the blocks meet in rounds of ``block`` lists, so no list grows with the pool, and no pair leaves its row.
     """
-    left = subjects.select(F.col(subject).alias("eval_subject"))
-    pairs = left.join(pool.select(subject), F.col("eval_subject") != F.col(subject))
-    order = stable_hash(seed, "few-shot-subject", F.col("eval_subject"), F.col(subject))
-    return ranked(pairs, ["eval_subject"], order, subject, "subject_rank").filter(F.col("subject_rank") <= k)
+    pool = pool.select(F.col(subject).alias("_s")).filter("_s is not null")
+    n = max(1, -(-pool.count() // block))
+    blocks = pool.groupBy(F.pmod(F.xxhash64("_s"), F.lit(n)).alias("_block")).agg(F.collect_list("_s").alias("_pool"))
+    blocks = persist(blocks, "pool-blocks")
+    left = subjects.select(F.col(subject).alias("eval_subject")).filter("eval_subject is not null")
+    met = with_small(left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))), blocks, "_block", weight=F.size("_pool"))
+    least = lambda pairs: F.slice(F.array_sort(pairs), 1, k)
+    hashed = lambda s: F.struct(stable_hash(seed, "few-shot-subject", F.col("eval_subject"), s).alias("h"), s.alias("s"))
+    best = met.select("eval_subject", "_block", least(F.transform(F.filter("_pool", lambda s: s != F.col("eval_subject")), hashed)).alias("_best"))
+    while True:
+        n = -(-n // block)
+        best = best.groupBy("eval_subject", F.floor(F.col("_block") / block).alias("_block")).agg(least(F.flatten(F.collect_list("_best"))).alias("_best"))
+        if n == 1:
+            break
+    out = best.select("eval_subject", F.posexplode("_best").alias("_at", "_b"))
+    return out.select("eval_subject", F.col("_b.s").alias(subject), (F.col("_at") + 1).alias("subject_rank"))
 
 
 def examples(candidates: DataFrame, samples: DataFrame, subject: str, label: str, key: str, n: int, seed: int) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import persist, with_small
+
 
 #: Seconds of a chunk of a recording, in gaps: chunks are the unit of work, so one long recording is many tasks.
 CHUNK = 1 << 14
@@ -33,16 +35,53 @@ def gap_segments(df: DataFrame, by: list[str], time: str, gap: float, out: str =
     return rows.join(first, same).select(*df.columns, (F.col("_first") + F.col("_breaks")).alias(out))
 
 
-def label_islands(df: DataFrame, by: list[str], index: str, label: str) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], time: str, tie: str, out: str, width: float) -> DataFrame:
+    """``out``: the place of each row in its group by (``time``, ``tie``), from 0. Null times go.
+
+    Rows are numbered inside chunks of ``width``; chunks start where those before end, from a table of one row
+    a chunk.
+    """
+    rows = df.filter(F.col(time).isNotNull()).withColumn("_chunk", F.floor(F.col(time) / width))
+    sizes = rows.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*by, "_chunk"]
+    first = persist(sizes.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), F.coalesce(before, F.lit(0)).alias("_first")), "chunks")
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie)) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return with_small(rows.withColumn("_local", local), first, same).select(*df.columns, (F.col("_first") + F.col("_local")).alias(out))
+
+
+#: Index units of a chunk of labelled rows.
+ROWS = 1 << 16
+
+
+def label_islands(df: DataFrame, by: list[str], index: str, label: str, rows: int = ROWS) -> DataFrame:
     """Runs of equal non-null labels over consecutive rows: ``label, start, end`` (exclusive), ``rows``.
 
-    A null label breaks a run and belongs to none.
+    A null label breaks a run and belongs to none. Runs are found inside chunks of ``rows`` units of the index;
+    a chunk whose first run goes on from the chunk before passes it to where that one began, by a table of one row
+    a chunk. So a long recording is many tasks, and what is merged are runs, not rows.
     """
-    w = Window.partitionBy(*by).orderBy(index)
-    new = (~F.col(label).eqNullSafe(F.lag(label).over(w))).cast("int")
-    runs = df.withColumn("_run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.filter(F.col(label).isNotNull()).groupBy(*by, "_run", label)
-    return out.agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end"), F.count(F.lit(1)).alias("rows")).drop("_run")
+    cut = df.select(*by, F.col(index).alias("_i"), F.col(label).alias("_l")).withColumn("_chunk", F.floor(F.col("_i") / rows))
+    w = Window.partitionBy(*by, "_chunk").orderBy("_i")
+    new = (F.row_number().over(w) == 1) | ~F.col("_l").eqNullSafe(F.lag("_l").over(w))
+    cut = cut.withColumn("_run", F.sum(new.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut.groupBy(*by, "_chunk", "_run", "_l").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    runs = persist(runs, "runs")
+
+    ends = F.max("_run").alias("_runs"), F.min_by(F.struct("_l"), "_run").alias("_first"), F.max_by(F.struct("_l"), "_run").alias("_last")
+    order = Window.partitionBy(*by).orderBy("_chunk")
+    chunks = runs.groupBy(*by, "_chunk").agg(*ends).withColumn("_goes_on", F.coalesce(F.col("_first") == F.lag("_last").over(order), F.lit(False)))
+    # where the last run of each chunk began: in it, unless it is one run that goes on
+    began = F.when((F.col("_runs") > 1) | ~F.col("_goes_on"), F.struct(F.col("_chunk"), F.col("_runs").alias("_run")))
+    head = F.last(began, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = chunks.withColumn("_head", head).filter("_goes_on").select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_chunk"])), F.lit(1).alias("_k"), "_head")
+    keys = [*by, "_chunk", "_run"]
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}" if i < len(keys) - 1 else "_k")) for i, c in enumerate(keys)]
+    own = F.coalesce("_head", F.struct(F.col("_chunk"), F.col("_run")))
+    merged = with_small(runs.filter("_l is not null"), persist(heads, "heads"), same, "left").withColumn("_own", own)
+    out = merged.groupBy(*by, "_own", "_l").agg(F.min("_lo").alias("start"), (F.max("_hi") + 1).alias("end"), F.sum("_n").alias("rows"))
+    return out.select(*by, F.col("_l").alias(label), "start", "end", "rows")
 
 
 def centred_windows(islands: DataFrame, half: int, step: int) -> DataFrame:

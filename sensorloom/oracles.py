@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .plans import knowledge, prompts
-
 _IMU = """imu AS (SELECT event_id, user_id AS subject, epoch_us(ts) / 1e6 AS t, event_type AS activity, value FROM events)"""
 _CUST = """cust AS (SELECT c_custkey AS sample_id, c_nationkey AS subject, CAST(c_acctbal > 4500 AS INT) AS label FROM customer)"""
 _IDX = _IMU + """, idx AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY t, event_id) - 1 AS idx FROM imu)"""
@@ -57,12 +55,87 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The texts that a direct prompt and a text with knowledge must be, with {} for the sample's.
+_DIRECT = """You are given one time-series sample for classification.
+
+Task:
+Classify the state of this sample using the selected input representation: raw_data.
+
+Labels:
+- 0 = walking downstairs
+- 1 = walking upstairs
+
+Dataset-specific label rules:
+- Label 0 is walking downstairs.
+- Label 1 is walking upstairs.
+- Use temporal acceleration and gyroscope patterns rather than a single large magnitude value.
+- Do not treat downstairs as the default stair label; compare upstairs and downstairs motion evidence symmetrically.
+- Choose label 0 when the temporal motion pattern is more consistent with downstairs than upstairs.
+
+Decision calibration:
+- Treat all allowed labels symmetrically; neither label 0 nor label 1 is a default or safer answer.
+- Compare the strongest evidence for label 0 against the strongest evidence for label 1 before deciding.
+- Do not predict either label from one isolated extreme value alone.
+- Choose label 1 only when label 1 support clearly outweighs label 0 support in the provided input.
+- Choose label 0 when label 0 support clearly outweighs label 1 support, or when apparent label 1 cues are isolated or better explained by artifacts, movement, noise, or subject variation.
+- If evidence is mixed, choose the label with the stronger overall support in the provided input.
+- For upstairs vs downstairs, focus on directional and temporal motion structure rather than a generic activity intensity.
+- Predict label 1 only when the motion pattern better matches upstairs than downstairs; do not require unusually large magnitudes.
+
+Important constraints:
+- Use only the information provided in this prompt.
+- Do not use knowledge outside the provided prompt.
+- Apply the dataset-specific label rules exactly.
+- Consider evidence for both labels before choosing the final label.
+- Do not add extra explanation outside JSON.
+- Process this sample independently.
+
+{}
+
+Output format:
+Return STRICT JSON only.
+
+{
+  "predicted_state": 0 or 1
+}"""
+_KNOWN = """[Current Sample Feature Description]
+{}
+
+[Dataset Context]
+This dataset contains wearable or smartphone motion time-series for human activity recognition.
+
+[Dataset / Channel Knowledge]
+- Accelerometer channels describe linear acceleration and motion intensity.
+- Gyroscope channels describe rotational movement.
+- Activity patterns should be inferred from temporal movement patterns, not from a single timestamp.
+- Device placement, user differences, and orientation may affect signal magnitude.
+
+[External Knowledge]
+More is known.
+
+[Decision Guidance]
+- Use the current sample features as the primary evidence.
+- Use the dataset knowledge only as supporting context.
+- Interpret multiple channels jointly.
+- Do not infer the label from one isolated feature.
+- Predict only one label from the allowed label set provided by the main prompt.
+- Motion intensity alone may not uniquely identify the activity.
+- Interpret accelerometer and gyroscope information jointly.
+- Prefer temporal pattern evidence over isolated values.
+- Consider user and device variation when interpreting signal magnitude."""
+
+
 def _direct() -> str:
-    head, tail = prompts.direct_parts("HHAR", [0, 1], "raw_data")
-    text = f"concat({_quoted(head)}, text, {_quoted(tail)})"
+    head, tail = map(_quoted, _DIRECT.split("{}"))
+    text = f"concat({head}, text, {tail})"
     return f"SELECT doc_id, sha256({text}) AS prompt_sha256, length({text}) AS chars FROM documents"
 
 
+def _known() -> str:
+    head, tail = map(_quoted, _KNOWN.split("{}"))
+    return f"SELECT doc_id, sha256(concat({head}, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), {tail})) AS sha256 FROM documents"
+
+
 _STAT = "SELECT vec_id, x, len(x) AS n, list_avg(x) AS m, sqrt(list_avg(list_transform(x, lambda v: (v - list_avg(x)) * (v - list_avg(x))))) AS s FROM w"
 _Z = f"z AS (SELECT vec_id, x, CASE WHEN s < 1e-8 THEN list_transform(x, lambda v: 0.0) ELSE list_transform(x, lambda v: (v - m) / s) END AS z FROM ({_STAT}))"
 
@@ -102,6 +175,11 @@ SELECT max(CASE WHEN unit = 'ms' THEN f END) AS divisor_ms, max(CASE WHEN unit =
     "q_rebase_clip": f"WITH {_IMU} SELECT event_id, round(t - min(t) OVER (PARTITION BY subject), 6) AS t_rel, round(greatest(31.0, least(40.0, value)), 6) AS clipped FROM imu",
     "q_gap_segments": f"WITH {_IMU}, {_SEG.format(src='imu', gap=20000)} SELECT subject, CAST(segment_id AS BIGINT) AS segment_id, count(*) AS n, min(t) AS t_first, max(t) AS t_last FROM segs GROUP BY 1, 2",
     "q_session_window": f"WITH {_IMU}, {_SEG.format(src='imu', gap=20000)} SELECT subject AS user_id, count(*) AS n, round(sum(value), 6) AS total FROM segs GROUP BY subject, segment_id",
+    "q_overnight_columns": f"""WITH {_IMU}, r AS (SELECT format('S{{:03d}}', subject % 16) AS subject, CASE activity WHEN 'click' THEN 0 WHEN 'error' THEN NULL ELSE 1 END AS label,
+  CASE WHEN subject % 2 = 0 THEN t ELSE t * 1e9 END AS t, value, event_id % 40 AS temp FROM imu),
+d AS (SELECT subject, t - lag(t) OVER (PARTITION BY subject ORDER BY t) AS d FROM r), u AS (SELECT subject, median(d) AS m FROM d WHERE d > 0 GROUP BY 1),
+s AS (SELECT r.*, (t - min(t) OVER (PARTITION BY subject)) / CASE WHEN m > 1e6 THEN 1e9 WHEN m > 1 THEN 1e3 ELSE 1 END AS sec FROM r JOIN u USING (subject))
+SELECT subject, label, count(*) AS n, round(max(sec), 3) AS t, round(sum(value), 3) AS bvp, CAST(sum(temp) AS DOUBLE) AS temp, CAST(max(greatest(31, least(40, temp))) AS DOUBLE) AS skin_temp FROM s GROUP BY 1, 2""",
     "q_label_islands": f"""WITH {_IDX}, g AS (SELECT *, idx - row_number() OVER (PARTITION BY subject, activity ORDER BY idx) AS g FROM idx)
 SELECT subject, activity, min(idx) AS start, max(idx) + 1 AS "end", count(*) AS rows FROM g GROUP BY subject, activity, g""",
     "q_centred_windows": f"""WITH {_IDX}, runs AS (SELECT subject, idx // 80 AS half, idx // 40 AS part, min(idx) AS start, max(idx) + 1 AS "end" FROM idx WHERE idx % 40 <> 39 GROUP BY 1, 2, 3),
@@ -129,17 +207,17 @@ k AS (SELECT *, unnest(generate_series(0, CAST(floor((t1 - t0 - 288000) / 144000
 f AS (SELECT DISTINCT k.subject, window_id, t0 FROM k JOIN imu e ON e.subject = k.subject AND e.activity = 'click' AND e.t >= t0 + window_id * 144000 AND e.t < t0 + window_id * 144000 + 288000)
 SELECT f.subject, window_id, count(v.t) AS n, CASE WHEN count(v.t) >= 2 THEN round(avg(v.value), 6) END AS mean FROM f LEFT JOIN imu v ON v.subject = f.subject AND v.activity = 'view'
   AND v.t >= t0 + window_id * 144000 AND v.t < t0 + window_id * 144000 + 288000 GROUP BY 1, 2""",
-    "q_ordinal_segment_join": f"""WITH {_IMU}, a0 AS (SELECT *, t - lag(t) OVER (PARTITION BY subject ORDER BY t) AS d FROM imu WHERE activity = 'click'),
+    "q_ordinal_segment_join": f"""WITH {_IMU}, v AS (SELECT CASE WHEN subject % 5 = 0 THEN -1 - subject ELSE subject END AS subject, t FROM imu WHERE activity = 'view'), a0 AS (SELECT *, t - lag(t) OVER (PARTITION BY subject ORDER BY t) AS d FROM imu WHERE activity = 'click'),
 a AS (SELECT DISTINCT subject, CAST(sum(CASE WHEN d > 160000 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY t) AS BIGINT) AS segment_id FROM a0),
-b0 AS (SELECT *, t - lag(t) OVER (PARTITION BY subject ORDER BY t) AS d FROM imu WHERE activity = 'view' AND subject % 5 <> 0),
+b0 AS (SELECT *, t - lag(t) OVER (PARTITION BY subject ORDER BY t) AS d FROM v),
 b AS (SELECT DISTINCT subject, CAST(sum(CASE WHEN d > 160000 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY t) AS BIGINT) AS segment_id FROM b0)
 SELECT a.subject, a.segment_id, CASE WHEN b.segment_id IS NOT NULL THEN b.segment_id WHEN a.subject IN (SELECT subject FROM b) THEN -1 END AS right_segment FROM a LEFT JOIN b USING (subject, segment_id)""",
     "q_multi_rate_gather": f"""WITH {_IDX}, c AS (SELECT subject, idx AS centre FROM idx WHERE idx % 20 = 10), r AS (SELECT unnest([1, 2, 4]) AS rate, unnest([4, 8, 16]) AS half),
 s AS (SELECT subject, rate, idx * rate + k AS i, value FROM idx, r, generate_series(0, 3) g(k) WHERE k < rate)
 SELECT c.subject, c.centre, r.rate, CAST(count(*) AS INT) AS n, round(avg(value), 6) AS mean, round(arg_min(value, i), 6) AS v0 FROM c, r JOIN s ON s.rate = r.rate
 WHERE s.subject = c.subject AND i >= centre * r.rate - half AND i < centre * r.rate + half GROUP BY 1, 2, 3""",
-    "q_view_alignment": """SELECT doc_id AS position, CASE WHEN doc_id % 3 <> 0 THEN concat('a', doc_id) END AS view_a, CASE WHEN doc_id % 3 <> 1 THEN concat('b', doc_id) END AS view_b,
-  CAST(CAST(doc_id % 3 = 0 AS INT) + CAST(doc_id % 3 = 1 AS INT) AS BIGINT) AS missing FROM documents""",
+    "q_view_alignment": """SELECT doc_id AS position, CASE WHEN lang IN ('en', 'es') THEN concat('a', doc_id) END AS view_a, CASE WHEN lang <> 'es' OR lang IS NULL THEN concat('b', doc_id) END AS view_b,
+  CAST(CAST(lang IS NULL OR lang NOT IN ('en', 'es') AS INT) + CAST(coalesce(lang = 'es', FALSE) AS INT) AS BIGINT) AS missing FROM documents""",
     "q_train_test_anti": f"WITH {_CUST} SELECT subject, count(*) AS n FROM cust WHERE subject NOT IN (SELECT subject FROM cust WHERE subject < 5) GROUP BY 1",
     "q_train_test_intersect": f"WITH {_CUST} SELECT subject FROM cust WHERE label = 1 INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0",
     "q_train_test_except": f"WITH {_CUST} SELECT subject FROM cust EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal < 0",
@@ -156,6 +234,9 @@ SELECT sample_id, subject, label FROM c ORDER BY h, sample_id LIMIT 60""",
     "q_natural_sort": "SELECT concat('S', s_suppkey) AS name, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier",
     "q_reproducibility_digest": """WITH h AS (SELECT sha256(concat_ws(':', doc_id, quality, toxic)) AS h FROM labels), p AS (SELECT h[1:3] AS p, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1)
 SELECT sha256(string_agg(d, ',' ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p""",
+    "q_question_files": f"""WITH {_X}, q AS (SELECT vec_id, label % 2 AS label, x FROM w)
+SELECT vec_id, label, 'chest_eda,wrist_acc,odd' AS channels, round(list_sum(x[1:20]), 4) AS first_total, round(list_sum(list_transform(generate_series(0, 5), lambda i: x[22 + 3 * i])), 4) AS y_total, '' AS question FROM q WHERE vec_id % 2 = 0
+UNION ALL SELECT vec_id, label, 'bvp,temp', round(list_sum(x[1:32]), 4), NULL, concat('of ', vec_id) FROM q WHERE vec_id % 2 = 1""",
     "q_array_zscore_stats": f"""WITH {_X}, s AS ({_STAT}), o AS (SELECT *, list_sort(x) AS o, x[n] - x[1] AS d, list_transform(x, lambda v: CASE WHEN s < 1e-8 THEN v - m ELSE (v - m) / s END) AS z FROM s)
 SELECT vec_id, round(m, 6) AS mean, round(s, 6) AS std, round(o[1], 6) AS min, round(o[n], 6) AS max,
   round(o[1 + CAST(floor(0.25 * (n - 1)) AS INT)] + (o[2 + CAST(floor(0.25 * (n - 1)) AS INT)] - o[1 + CAST(floor(0.25 * (n - 1)) AS INT)]) * (0.25 * (n - 1) - floor(0.25 * (n - 1))), 6) AS p25,
@@ -228,5 +309,5 @@ SELECT vec_id, CAST(arg_max(k, p) AS DOUBLE) AS peak_hz FROM f GROUP BY 1""",
 SELECT s_suppkey, name, channel, sensor, place, rate FROM supplier JOIN m ON s_suppkey % 8 = i""",
     "q_fingerprint": f"""WITH {_CUST} SELECT sample_id AS id, concat('{{"dataset": "a \\"b\\""', CASE WHEN label = 1 THEN concat(', "epoch_id": ', sample_id) END, ', "label": ', label, ', "sample_id": ', sample_id,
   ', "subject": "', subject, '", "window_start_sec": ', sample_id * 30, '.0}}') AS fingerprint FROM cust""",
-    "q_knowledge_text": f"SELECT doc_id, sha256(concat({_quoted(knowledge.HEAD)}, regexp_replace(text, '^\\s+|\\s+$', '', 'g'), {_quoted(knowledge.sections('HHAR', 'More is known.'))})) AS sha256 FROM documents WHERE text IS NOT NULL",
+    "q_knowledge_text": _known(),
 }

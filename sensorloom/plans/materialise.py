@@ -32,11 +32,18 @@ def _present(*signals: Column) -> Column:
     return F.filter(F.array(*signals), lambda s: F.size(s["x"]) > 0).cast(features.SIGNALS)
 
 
-def motion_samples(spark: SparkSession, root: str, **settings) -> DataFrame:
-    """Windows of a motion log below ``root`` (accelerometer, and gyroscope if there): signals acc, acc_mag, gyro, gyro_mag."""
-    acc = recordings.read_motion(spark, discovery.find_file(spark, root, "Phones_accelerometer.csv"))
+ACCELEROMETER, GYROSCOPE = "Phones_accelerometer.csv", "Phones_gyroscope.csv"
+
+
+def motion_samples(spark: SparkSession, root: str, subjects: list[str] | None = None, **settings) -> DataFrame:
+    """Windows of a motion log below ``root`` (accelerometer, and gyroscope if there): signals acc, acc_mag, gyro, gyro_mag.
+
+    Units of time are those of the whole log, whichever subjects are asked for.
+    """
+    own = lambda df: df.filter(F.col("user_id").isin(subjects)) if subjects else df
+    acc = own(recordings.read_motion(spark, discovery.find_file(spark, root, ACCELEROMETER)))
     try:
-        gyro = recordings.read_motion(spark, discovery.find_file(spark, root, "Phones_gyroscope.csv"))
+        gyro = own(recordings.read_motion(spark, discovery.find_file(spark, root, GYROSCOPE)))
     except FileNotFoundError:
         gyro = None
     w = recordings.motion_windows(acc, gyro, **settings)
@@ -53,7 +60,8 @@ def motion_samples(spark: SparkSession, root: str, **settings) -> DataFrame:
 
 def sleep_samples(spark: SparkSession, root: str, rate: int = 64, subjects: list[str] | None = None, skip_artifacts: bool = False, **settings) -> DataFrame:
     """Epochs of overnight recordings below ``root``: filtered and clipped channels, acc where its axes are of one length."""
-    files = list(discovery.select_files(discovery.overnight_files(spark, root, rate), subjects).values())
+    chosen = discovery.select_files(spark, discovery.overnight_files(spark, root, rate), subjects)
+    files = [f for found in chosen.values() for f in found]
     if not files:
         raise FileNotFoundError(f"no overnight recordings below {root}")
     w = recordings.overnight_windows(recordings.filtered(recordings.read_overnight(spark, files, rate), rate), rate, **settings)
@@ -72,9 +80,9 @@ def sleep_samples(spark: SparkSession, root: str, rate: int = 64, subjects: list
     ).filter(F.size("signals") > 0)
 
 
-def stress_samples(spark: SparkSession, root: str, **settings) -> DataFrame:
-    """Windows of stress recordings below ``root``. The unpickled long form is written once, by channel."""
-    signals, labels = recordings.read_stress(spark, root)
+def stress_samples(spark: SparkSession, root: str, subjects: list[str] | None = None, **settings) -> DataFrame:
+    """Windows of stress recordings below ``root``. The unpickled long form is written once."""
+    signals, labels = recordings.read_stress(spark, root, subjects)
     w = recordings.stress_windows(persist(signals, "stress-signals"), persist(labels, "stress-labels"), **settings)
     axis = lambda a: F.first(F.when(F.coalesce("axis", F.lit("x")) == a, F.col("values")), True).alias(a)
     by = w.groupBy("subject", "label", "centre", "channel").agg(*(axis(a) for a in "xyz"))
@@ -127,10 +135,31 @@ def views(samples: DataFrame, dataset: str, input_types: list[str], **extra) ->
     return out.withColumn("input_views", F.create_map(*pairs)).drop("signals", *(f"_{k}" for k in kinds))
 
 
-def from_raw(spark: SparkSession, dataset: str, root: str, out: str, input_types: list[str] = (), overwrite: bool = False, **settings) -> dict[str, store.Manifest]:
-    """Recordings to a cache of windows, ``<out>/windows``, and from it one of texts for each way, ``<out>/<input>``."""
+def subjects_of(spark: SparkSession, dataset: str, root: str, rate: int = 64) -> list[str]:
+    """The subjects that have recordings below ``root``."""
+    if dataset == "WESAD":
+        return discovery.stress_subjects(spark, root)
+    if dataset == "DREAMT":
+        return list(discovery.select_files(spark, discovery.overnight_files(spark, root, rate)))
+    return [r[0] for r in discovery.motion_subjects(spark, discovery.find_file(spark, root, ACCELEROMETER)).collect()]
+
+
+def from_raw(
+    spark: SparkSession, dataset: str, root: str, out: str, input_types: list[str] = (), overwrite: bool = False, shards: bool = False, group: int = store.GROUP, **settings
+) -> dict[str, store.Manifest]:
+    """Recordings to a cache of windows, ``<out>/windows``, and from it one of texts for each way, ``<out>/<input>``.
+
+    ``shards``: windows are built by subject, ``group`` at a time, and a build that stopped goes on (:func:`store.build`).
+    """
     name = experiment.prompts.normal_dataset(dataset)
-    made = {"windows": store.save(SAMPLES[name](spark, root, **settings), f"{out}/windows", store.Manifest(name, loader_kwargs=settings), overwrite)}
+    manifest = store.Manifest(name, loader_kwargs=settings)
+    if shards:
+        asked = settings.get("subjects") or subjects_of(spark, name, root, settings.get("rate", 64))
+        rest = {k: v for k, v in settings.items() if k != "subjects"}
+        manifest.loader_kwargs = rest
+        made = {"windows": store.build(spark, f"{out}/windows", manifest, asked, lambda part: SAMPLES[name](spark, root, subjects=part, **rest), overwrite, group)}
+    else:
+        made = {"windows": store.save(SAMPLES[name](spark, root, **settings), f"{out}/windows", manifest, overwrite)}
     for kind in input_types:
         made[kind] = from_caches(spark, [f"{out}/windows"], kind, f"{out}/{kind}", overwrite)
     return made

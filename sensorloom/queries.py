@@ -16,6 +16,7 @@ from .plans import prompts
 from .ship import ensure
 
 GAP, WINDOW, STRIDE = 20_000.0, 72_000.0, 36_000.0
+DAY = 86_400.0
 TYPES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
 
@@ -84,6 +85,24 @@ def q_rebase_clip(spark, sf):
     return r6(rows)
 
 
+def q_overnight_columns(spark, sf):
+    """Two sets of overnight recordings whose columns differ in order, names and unit of time, read together."""
+    from .shared import new_path
+    from .sources import recordings
+
+    e = imu(spark, sf).withColumn("recording", F.format_string("S%03d", F.col("subject") % 16))
+    stage = F.when(F.col("activity") == "click", "W").when(F.col("activity") == "view", "N2").when(F.col("activity") == "error", "?").otherwise("REM")
+    first = e.filter("subject % 2 = 0").select("recording", F.col("t").alias("TIMESTAMP"), F.col("value").alias("BVP"), (F.col("event_id") % 40).alias("TEMP"), stage.alias("Sleep_Stage"))
+    other = e.filter("subject % 2 = 1").select("recording", stage.alias("Sleep - _Stage"), (F.col("event_id") % 40).alias("skin temp"), (F.col("t") * 1e9).alias("time"), F.col("value").alias("Blood Volume"))
+    paths = []
+    for part in (first, other):
+        paths.append(new_path(spark, "overnight"))
+        part.write.partitionBy("recording").option("header", True).csv(paths[-1])
+    rows = recordings.read_overnight(spark, paths)
+    out = rows.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t"), F.sum("bvp").alias("bvp"), F.sum("temp").alias("temp"), F.max("skin_temp").alias("skin_temp"))
+    return out.select("subject", "label", "n", *(F.round(c, 3).alias(c) for c in ("t", "bvp", "temp", "skin_temp")))
+
+
 def q_gap_segments(spark, sf):
     return segments.gap_segments(imu(spark, sf), ["subject"], "t", GAP).groupBy("subject", "segment_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
 
@@ -101,8 +120,7 @@ def q_label_islands(spark, sf):
 
 
 def _indexed(spark, sf):
-    w = Window.partitionBy("subject").orderBy("t", "event_id")
-    return imu(spark, sf).withColumn("idx", F.row_number().over(w).cast("bigint") - 1)
+    return segments.numbered(imu(spark, sf), ["subject"], "t", "event_id", "idx", DAY)
 
 
 def _halves(spark, sf):
@@ -175,7 +193,8 @@ def q_two_stream_range_left_join(spark, sf):
 def q_ordinal_segment_join(spark, sf):
     e = imu(spark, sf)
     a = segments.gap_segments(e.filter("activity = 'click'"), ["subject"], "t", GAP * 8)
-    b = segments.gap_segments(e.filter("activity = 'view' and subject % 5 <> 0"), ["subject"], "t", GAP * 8)
+    other = F.when(F.col("subject") % 5 == 0, -1 - F.col("subject")).otherwise(F.col("subject"))  # groups that the left side lacks
+    b = segments.gap_segments(e.filter("activity = 'view'").withColumn("subject", other), ["subject"], "t", GAP * 8)
     return segments.matched_segments(a, b, ["subject"], "segment_id")
 
 
@@ -195,7 +214,8 @@ def q_multi_rate_gather(spark, sf):
 def q_view_alignment(spark, sf):
     d = read(spark, sf, "documents")
     base = d.select(F.lit("D").alias("dataset"), F.col("source").alias("subject"), (F.col("doc_id") % 2).alias("label"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("s"), F.col("doc_id"))).alias("sample_id"), F.col("doc_id").alias("position"), "lang")
-    text = lambda tag: base.filter(F.col("position") % 3 != (0 if tag == "a" else 1)).withColumn("input_text", F.concat(F.lit(tag), F.col("position")))
+    has = {"a": F.col("lang").isin("en", "es"), "b": F.coalesce(F.col("lang") != "es", F.lit(True))}
+    text = lambda tag: base.filter(has[tag]).withColumn("input_text", F.concat(F.lit(tag), F.col("position")))
     out = align.with_views(base.drop("lang"), {"a": text("a").drop("lang"), "b": text("b").drop("lang")})
     return out.select("position", F.try_element_at("input_views", F.lit("a")).alias("view_a"), F.try_element_at("input_views", F.lit("b")).alias("view_b"), F.size("missing_views").cast("bigint").alias("missing"))
 
@@ -350,6 +370,32 @@ def q_feature_text(spark, sf):
     return rows.select("vec_id", features.feature_text(F.col("signals"), "HHAR").alias("input_text"))
 
 
+def q_question_files(spark, sf):
+    """Question files of all vectors: half with nested signals of their own, half with an index into a data file."""
+    from .shared import new_path
+    from .sources import questions
+
+    v = windows1(spark, sf)
+    base = {"subject": F.lit("S1"), "index": F.col("vec_id"), "majority_label": F.col("label") % 2}
+    part = lambda a, n: F.slice("x", a, n)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.slice("x", 21 + 3 * i, 3))
+    wrist = F.struct(rows.alias("ACC"))
+    nested = F.struct(F.struct(F.struct(part(1, 20).alias("EDA")).alias("Chest"), wrist.alias("wrist"), F.struct(part(61, 4).alias("odd")).alias("features")).alias("signal"))
+    with_own = F.struct(*(c.alias(k) for k, c in base.items()), nested.alias("data"))
+    without = F.struct(*(c.alias(k) for k, c in base.items()), F.struct(F.concat(F.lit("of "), F.col("vec_id")).alias("Q"), F.lit("0").alias("A")).alias("qa_pair"))
+    found = F.struct(F.col("vec_id").alias("index"), F.struct(part(1, 32).alias("bvp"), part(33, 32).alias("temp")).alias("signals"))
+    even = F.col("vec_id") % 2 == 0
+    items, data = (f"{new_path(spark, tag)}/{tag}.jsonl" for tag in ("items", "data"))
+    v.select(F.when(even, F.to_json(with_own)).otherwise(F.to_json(without)).alias("value")).write.text(items)
+    v.filter(~even).select(F.to_json(found)).write.text(data)
+    out = questions.question_samples(spark, items, data)
+    s = F.get("signals", F.lit(1))
+    return out.select(
+        F.col("data_index").alias("vec_id"), "label", F.array_join(F.transform("signals", lambda c: c["name"]), ",").alias("channels"),
+        F.round(A.total(F.get("signals", F.lit(0))["x"]), 4).alias("first_total"), F.round(A.total(s["y"]), 4).alias("y_total"), "question",
+    )
+
+
 def q_channel_metadata(spark, sf):
     from .plans import channels
 
@@ -369,8 +415,8 @@ def q_fingerprint(spark, sf):
 def q_knowledge_text(spark, sf):
     from .plans import knowledge
 
-    text = knowledge.knowledge_text(F.col("text"), "HHAR", "More is known.")
-    return read(spark, sf, "documents").filter("text is not null").select("doc_id", F.sha2(text, 256).alias("sha256"))
+    text = knowledge.knowledge_text(F.coalesce("text", F.lit("")), "HHAR", "More is known.")
+    return read(spark, sf, "documents").select("doc_id", F.sha2(text, 256).alias("sha256"))
 
 
 def q_prompt_direct(spark, sf):

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,7 +51,20 @@ def partition_offsets(totals: DataFrame, key: str, value: str) -> DataFrame:
 
     ``totals`` has one row per partition of a job, so it is counted in partitions, not rows.
     """
-    from pyspark.sql import Window
-
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(key, F.coalesce(F.sum(value).over(w), F.lit(0)).alias("first"))
+
+
+def with_small(
+    df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 200_000, weight: Column | None = None
+) -> DataFrame:
+    """Join with a table that was just written; broadcast it only when its count allows.
+
+    ``weight``: what a row counts, such as the length of its list; 1 by default. Beyond ``most`` both sides are
+    shuffled (and hot keys split by Spark).
+    """
+    if weight is None:
+        size = small.limit(most + 1).count()
+    else:
+        size = small.agg(F.sum(weight)).first()[0] or 0
+    return df.join(F.broadcast(small) if size <= most else small, on, how)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from .recordings import latest
 
 # Names of overnight files by sampling rate, and the folders of each rate.
 OVERNIGHT_NAMES = {100: ("*_PSG_df_updated.csv",), 64: ("*_whole_df.csv",)}
@@ -60,15 +59,9 @@ def overnight_files(spark: SparkSession, root: str, rate: int = 64) -> list[str]
     return sorted(found or {p for v in OVERNIGHT_NAMES.values() for n in v for p in _below(spark, root, n)})
 
 
-def subject_of(path: str) -> str:
-    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    found = re.search(r"S\d+", stem, re.I)
-    return found[0].upper() if found else stem
-
-
-def select_files(paths: list[str], subjects: list[str] | None = None) -> dict[str, str]:
-    """The file of each subject, the last by path; unknown subjects are passed by."""
-    last = {subject_of(p): p for p in sorted(paths)}
+def select_files(spark: SparkSession, paths: list[str], subjects: list[str] | None = None) -> dict[str, list[str]]:
+    """The files of each subject's last recording by path, in the order asked for; unknown subjects are passed by."""
+    last = latest(spark, paths)
     return {s: last[s] for s in (subjects or last) if s in last}
 
 

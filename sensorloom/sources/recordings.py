@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..operators import segments
+from ..shared import persist, with_small
+from . import headers
 
 MOTION = "Creation_Time double, x double, y double, z double, User string, Model string, Device string, gt string"
 REQUIRED = ("Creation_Time", "x", "y", "z", "User", "Model", "Device", "gt")
@@ -21,8 +23,16 @@ RATES = {
 STRESS_LONG = "subject string, channel string, axis string, fs int, idx bigint, value double"
 # Header patterns of overnight recordings, in order of preference.
 OVERNIGHT = {
-    "timestamp": ["^timestamp$", "time"], "bvp": ["^bvp$", "bvp"], "ibi": ["^ibi$"], "eda": ["^eda$", "eda"], "temp": ["^temp$", "temp"],
-    "hr": ["^hr$", "heart_rate"], "acc_x": ["^acc_x$"], "acc_y": ["^acc_y$"], "acc_z": ["^acc_z$"], "stage": ["sleep_stage", "stage", "label"],
+    "timestamp": ["^timestamp$", "^time$"],
+    "stage": ["sleep.*stage", "stage", "label", "annotation"],
+    "bvp": ["^bvp$", "blood.*volume"],
+    "ibi": ["^ibi$", "inter.*beat"],
+    "eda": ["^eda$", "electrodermal", "gsr"],
+    "temp": ["^temp$", "temperature", "skin.*temp"],
+    "hr": ["^hr$", "heart.*rate"],
+    "acc_x": ["acc.*x", "^x$"],
+    "acc_y": ["acc.*y", "^y$"],
+    "acc_z": ["acc.*z", "^z$"],
 }
 OVERNIGHT_CHANNELS = (
     "bvp", "bvp_filt", "ibi", "eda", "eda_lowpass", "temp", "skin_temp", "hr", "acc_x", "acc_y", "acc_z", "acc_x_filt", "acc_y_filt", "acc_z_filt", "actigraphy",
@@ -88,33 +98,57 @@ def _tokens(df: DataFrame, rate: float, gap: float) -> DataFrame:
     return out.withColumn("time_sec", F.col("t0") + F.col("bin") / rate)
 
 
-def subject_of(file_name: Column) -> Column:
-    """``S`` and digits in a file name, upper case; else the name without extension."""
-    found = F.upper(F.regexp_extract(file_name, r"(?i)S\d+", 0))
-    return F.when(found != "", found).otherwise(F.regexp_replace(file_name, r"\.[^.]*$", ""))
+def subject_of(path: Column) -> Column:
+    """``S`` and digits in a recording's name, upper case; else the name without extension.
+
+    A recording is a file, or the folder that holds the parts Spark wrote of it.
+    """
+    name = F.regexp_extract(F.regexp_replace(path, r"/part-[^/]*$", ""), r"([^/]*)$", 1)
+    found = F.upper(F.regexp_extract(name, r"(?i)S\d+", 0))
+    return F.when(found != "", found).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+
+
+def latest(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """The files of each subject's recording, of several recordings the last by path."""
+    rows = spark.createDataFrame([(f,) for f in files], "path string")
+    rows = rows.select("path", subject_of(F.col("path")).alias("subject"), F.regexp_replace("path", r"/part-[^/]*$", "").alias("recording"))
+    each = rows.groupBy("subject", "recording").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return {r["subject"]: r["paths"] for r in each.groupBy("subject").agg(F.max_by("paths", "recording").alias("paths")).orderBy("subject").collect()}
 
 
 def read_overnight(spark: SparkSession, paths: list[str], rate: float = 64.0) -> DataFrame:
-    """Overnight recordings with canonical names; one file per subject, the last by path. Null times are dropped."""
-    raw = spark.read.option("header", True).csv(paths)
-    found = {k: C.detect_column(raw.columns, p) for k, p in OVERNIGHT.items()}
-    if found["stage"] is None:
-        raise ValueError(f"no sleep stage column among {raw.columns}")
-    path = F.col("_metadata.file_path")
-    df = raw.select("*", path.alias("_path"), subject_of(F.col("_metadata.file_name")).alias("subject"), F.monotonically_increasing_id().alias("_i"))
-    df = df.withColumn("_last", F.max("_path").over(Window.partitionBy("subject"))).filter("_path = _last")
-    if found["timestamp"]:
-        time = C.number(F.col(found["timestamp"]))
-    else:
-        time = (F.row_number().over(Window.partitionBy("subject").orderBy("_i")) - 1) / rate
-    columns = {k: C.number(F.col(c)) for k, c in found.items() if c and k not in ("timestamp", "stage")}
-    out = df.select("subject", time.alias("t"), C.sleep_wake(F.col(found["stage"])).alias("label"), *(v.alias(k) for k, v in columns.items()))
-    if "temp" in columns:
+    """Overnight recordings with canonical names: ``subject, t`` (seconds from the subject's first), ``label``, channels.
+
+    Each file is read by its own header, so files may order and name their columns differently; a channel some
+    lack is null there. One recording a subject, the last by path. Units of time are found per subject; files
+    without times get the row's number over ``rate``. Rows without time are dropped, rows without a known stage
+    have a null label and stay: their signals belong to the night. A file without a stage column is an error.
+    """
+    files = [f for found in latest(spark, headers.files_of(spark, paths)).values() for f in found]
+    if not files:
+        raise FileNotFoundError(f"no recordings among {paths}")
+    parts = None
+    for found, scan in headers.by_header(spark, files, OVERNIGHT, ("stage",)):
+        if "timestamp" in found:
+            scan = scan.withColumn("t", C.number(F.col("timestamp")))
+        else:
+            scan = headers.line_numbers(scan, "_row").withColumn("t", F.col("_row") / rate)
+        rows = scan.select(
+            subject_of(F.col("_path")).alias("subject"), "t", C.sleep_wake(F.col("stage")).alias("label"), F.lit("timestamp" in found).alias("_timed"),
+            *(C.number(F.col(k)).alias(k) for k in OVERNIGHT if k in found and k not in ("timestamp", "stage")),
+        )
+        parts = rows if parts is None else parts.unionByName(rows, allowMissingColumns=True)
+    out = parts.filter("t is not null")
+    channels = [k for k in OVERNIGHT if k in out.columns]
+    units = persist(C.time_units(out, "t", ["subject"]), "units")
+    divisor = F.when(F.col("_timed"), F.col("divisor")).otherwise(F.lit(1.0))
+    seconds = F.col("t") / divisor - F.col("first") / divisor
+    out = with_small(out, units, "subject").select("subject", seconds.alias("t"), "label", *channels)
+    if "temp" in channels:
         out = out.withColumn("skin_temp", C.clipped(F.col("temp"), 31.0, 40.0))
-    if {"acc_x", "acc_y", "acc_z"} <= columns.keys():
+    if {"acc_x", "acc_y", "acc_z"} <= set(channels):
         out = out.withColumn("actigraphy", F.sqrt(sum((F.col(f"acc_{a}") ** 2 for a in "yz"), F.col("acc_x") ** 2)))
-    out = out.filter("t is not null and label is not null")
-    return out.withColumn("t", C.rebased(F.col("t") / (C.seconds_divisor(out, "t") if found["timestamp"] else 1.0), "subject"))
+    return out
 
 
 def filtered(df: DataFrame, rate: float = 64.0) -> DataFrame:
@@ -148,12 +182,16 @@ def filtered(df: DataFrame, rate: float = 64.0) -> DataFrame:
 
 
 def overnight_windows(df: DataFrame, rate: float = 64.0, seconds: float = 30.0, stride: float | None = None, share: float = 0.8) -> DataFrame:
-    """Epochs with enough rows: mode label, channel arrays in order of time, artifact flag inputs."""
+    """Epochs with enough rows and a label: mode label, channel arrays in order of time, artifact flag inputs.
+
+    Rows without a label count as rows and keep their signals.
+    """
     wide = segments.anchored_windows(df, ["subject"], "t", seconds, stride or seconds, 1e-9)
     keys = ["subject", "window_id", "window_start", "window_end"]
     channels = [c for c in OVERNIGHT_CHANNELS if c in df.columns]
     listed = F.array_sort(F.collect_list(F.struct("t", *channels)))
-    out = wide.groupBy(*keys).agg(listed.alias("rows"), F.mode("label", True).alias("label")).filter(F.size("rows") >= max(1, int(rate * seconds * share)))
+    out = wide.groupBy(*keys).agg(listed.alias("rows"), F.mode("label", True).alias("label"))
+    out = out.filter((F.size("rows") >= max(1, int(rate * seconds * share))) & F.col("label").isNotNull())
     out = out.withColumns({c: _field("rows", c) for c in channels}).drop("rows")
     none = F.array().cast("array<double>")
     x = lambda c: F.col(c) if c in channels else none
@@ -186,8 +224,12 @@ def artifact(bvp: Column, movement: Column, snr_db: Column) -> Column:
     return moved | F.coalesce(F.exists(bvp, lambda v: F.abs(v) > 500), F.lit(False)) | F.coalesce((snr_db < 10) & ~F.isnan(snr_db), F.lit(False))
 
 
-def read_stress(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Signals in long form and labels of pickled recordings ``<root>/S*/S*.pkl``. Only for trusted files: pickles run code."""
+def read_stress(spark: SparkSession, root: str, subjects: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signals in long form and labels of pickled recordings ``<root>/S2/S2.pkl``, of all subjects or those asked for.
+
+    Only for trusted files: pickles run code.
+    """
+    from .discovery import stress_subjects
 
     def unpack(batches):
         import pickle
@@ -211,7 +253,10 @@ def read_stress(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
                 label = np.asarray(data["label"], float)
                 yield pd.DataFrame({"subject": subject, "channel": "label", "axis": None, "fs": 700, "idx": np.arange(len(label)), "value": label})
 
-    files = spark.read.format("binaryFile").load(f"{root}/S*/S*.pkl").select("path", "content")
+    found = stress_subjects(spark, root, subjects)
+    if not found:
+        raise FileNotFoundError(f"no stress recordings below {root}")
+    files = spark.read.format("binaryFile").load([f"{root}/{s}/{s}.pkl" for s in found]).select("path", "content")
     long = files.mapInPandas(unpack, STRESS_LONG)
     labels = long.filter("channel = 'label'").select("subject", "idx", F.col("value").cast("int").alias("state"))
     return long.filter("channel <> 'label'"), labels.withColumn("label", C.stress(F.col("state")))
