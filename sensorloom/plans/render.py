@@ -109,9 +109,10 @@ def _text(value: Column | str) -> Column:
 
 
 def channel_tag(name: Column, place: Column) -> Column:
-    """``CHEST_EDA`` of a channel at a place, the channel alone where the place is unknown."""
+    """``CHEST_EDA_CHANNEL`` of a channel at a place, ``EDA_CHANNEL`` where the place is unknown."""
     key = lambda c: F.upper(F.trim(F.translate(c, "- ", "__")))
-    return F.when(key(place).isin("", "UNKNOWN"), key(name)).otherwise(F.concat_ws("_", key(place), key(name)))
+    there = F.when(~key(place).isin("", "UNKNOWN"), key(place))
+    return F.concat_ws("_", there, key(name), F.lit("CHANNEL"))
 
 
 def encoded_channel(name: Column | str, sensor: Column | str, place: Column | str, rate: Column | float | None, x: Column) -> Column:
@@ -129,7 +130,7 @@ def encoded_channel(name: Column | str, sensor: Column | str, place: Column | st
         level, period, events = A.fluctuation(z), A.periodicity(z), A.event_counts(z)
         peaks, jumps = events["peaks"], events["changes"]
         seen = (
-            F.when((peaks == 0) & (jumps == 0), F.lit("no strong sudden change detected"))
+            F.when(F.size(z) < 3, F.lit("insufficient evidence")).when((peaks == 0) & (jumps == 0), F.lit("no strong sudden change detected"))
             .when((peaks > 0) & (jumps > 0), F.concat(peaks.cast("string"), F.lit(" prominent peak/valley event(s) with "), jumps.cast("string"), F.lit(" abrupt change point(s)")))
             .when(peaks > 0, F.concat(peaks.cast("string"), F.lit(" prominent peak/valley event(s)")))
             .otherwise(F.concat(jumps.cast("string"), F.lit(" abrupt change point(s)")))

@@ -31,7 +31,7 @@ def test_motion_to_texts(spark, tmp_path, kind):
     assert n > 10 and made[kind].sample_count == n and made[kind].subjects == ["a", "b"]
     rows = store.load(spark, str(tmp_path / "out" / kind)).collect()
     assert {r.input_type for r in rows} == {experiment.INPUTS[kind]} and len({r.sample_id for r in rows}) == n
-    words = {"raw_data": "acc = {", "feature_description": "- acc_magnitude: mean=", "embedding": "<MOBILE_DEVICE_GYRO_X>", "knowledge": "[Decision Guidance]"}
+    words = {"raw_data": "acc = {", "feature_description": "- acc_magnitude: mean=", "embedding": "<MOBILE_DEVICE_GYRO_X_CHANNEL>", "knowledge": "[Decision Guidance]"}
     assert all(words[kind] in r.input_text for r in rows)
 
 

@@ -300,7 +300,7 @@ def test_rendering(spark):
     assert "chest_ecg = []" in df.select(render.raw_block(F.col("s"), F.lit("WESAD"))).first()[0]
     one_channel = spark.createDataFrame([(x,)], "x array<double>")
     block = one_channel.select(render.encoded_channel("EDA", "EDA", "wrist", 4.0, F.col("x")).alias("b")).first().b
-    assert block.startswith("<WRIST_EDA>") and "Sampling rate: 4 Hz" in block and block.endswith("</WRIST_EDA>")
+    assert block.startswith("<WRIST_EDA_CHANNEL>") and "Sampling rate: 4 Hz" in block and block.endswith("</WRIST_EDA_CHANNEL>")
     with pytest.raises(ValueError):
         render.with_knowledge(F.lit("x"), " ")
 
