@@ -31,6 +31,8 @@ def main(args: list[str] | None = None) -> int:
     w.add_argument("--root", required=True)
     w.add_argument("--input", nargs="*", default=[])
     w.add_argument("--settings", default="{}", help="JSON: window lengths, rates, strides")
+    w.add_argument("--shard-by-subject", action="store_true", help="build subject by subject; a build that stopped goes on")
+    w.add_argument("--subjects", nargs="*", help="only these")
     t = sub.add_parser("texts", help="caches of windows to one cache of texts")
     t.add_argument("--input", required=True)
     t.add_argument("--knowledge-file")
@@ -57,7 +59,8 @@ def main(args: list[str] | None = None) -> int:
             print("\t".join(map(str, row)))
         return 0
     if a.command == "windows":
-        made = materialise.from_raw(spark, a.dataset, a.root, a.out, a.input, a.overwrite, **json.loads(a.settings))
+        settings = json.loads(a.settings) | ({"subjects": a.subjects} if a.subjects else {})
+        made = materialise.from_raw(spark, a.dataset, a.root, a.out, a.input, a.overwrite, a.shard_by_subject, **settings)
         print(json.dumps({k: m.sample_count for k, m in made.items()}))
         return 0
     if a.command == "texts":

@@ -68,10 +68,10 @@ def calls(samples: DataFrame, dataset: str, labels: list[int], views: dict[str,
 def run(samples: DataFrame, key: str, dataset: str, labels: list[int], call, root: str, explain: bool = False) -> DataFrame:
     """Agents, majority and judge: ``samples`` with ``majority_vote``, ``trace`` and the judge's answer and usage.
 
-    Each stage is written below ``root``, so a lost executor repeats no earlier call.
+    The answers of each stage are kept below ``root``, so neither a lost executor nor a second run repeats a call.
     """
     stage = calls(samples.select(key, *[c for c in samples.columns if c != key]), dataset, labels)
-    done = scored(stage.select(key, "agent", "temperature", "prompt"), call, f"{root}/agents", temperature="temperature")
+    done = scored(stage.select(key, "agent", "temperature", "prompt"), call, f"{root}/agents", temperature="temperature", by=[key])
     voted = done.withColumn("vote", answers.votes(F.col("response"), labels))
     top = metrics.majority(voted, key, "vote", labels)
     one = F.struct("agent", "vote", "response")
@@ -80,5 +80,5 @@ def run(samples: DataFrame, key: str, dataset: str, labels: list[int], call, roo
     text = F.array_join(F.transform(F.array(*map(F.lit, ALL_VIEWS)), lambda v: F.coalesce(F.concat(F.lit("### "), v, F.lit("\n"), F.try_element_at("input_views", v)), F.lit(""))), "\n\n")
     head = f"You are the final judge in a multi-view multi-agent classification system.\n\nLabels:\n{prompts.label_block(labels, dataset)}\n\nDataset-specific label rules:\n{prompts.rules_block(dataset)}\n\nDecision calibration:\n{prompts.guidance_block(dataset)}\n\nAll available input views:\n"
     prompt = F.concat(F.lit(head), text, F.lit("\n\nIndependent agent outputs:\n"), F.to_json("agent_outputs"), F.lit("\n\nParsed majority vote:\n"), F.coalesce(F.col("majority_vote").cast("string"), F.lit("unknown")), F.lit("\n\n" + prompts.instructions(labels, explain)))
-    judged = scored(joined.select(key, prompt.alias("prompt")), call, f"{root}/judge")
+    judged = scored(joined.select(key, prompt.alias("prompt")), call, f"{root}/judge", by=[key])
     return joined.join(judged.drop("prompt"), key)

@@ -123,7 +123,8 @@ def matrix(**common) -> list[Experiment]:
 def run(e: Experiment, samples: DataFrame, call, root: str, pool: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Predictions and metrics of one experiment. ``samples``: sample_id, subject, label, input_text (and input_views).
 
-    ``pool`` holds few-shot examples, ``samples`` by default. Answers are written below ``root``.
+    ``pool`` holds few-shot examples, ``samples`` by default. Answers are kept below ``root``: a run that failed asks only
+    for what it lacks.
     """
     rows = sampling.balanced_limit(samples, "label", "subject", "sample_id", e.balanced_per_label, e.per_subject_limit, e.limit, e.seed)
     if e.usage == "multi_agent":
