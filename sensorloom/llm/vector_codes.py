@@ -110,10 +110,10 @@ def _components(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda v: F.floor(v.cast("double") * float(scale)).cast("long"))
 
 
-def _in_range(whole: Column) -> Column:
-    """Whether any squared distance of two such vectors stays within 64 bits."""
-    most = F.floor(F.sqrt(F.lit(float(2**62)) / F.size(whole)) / 2).cast("long")
-    return F.forall(whole, lambda v: v.between(-most, most))
+def _in_range(vector: Column, scale: int) -> Column:
+    """Whether any squared distance of two such vectors, in whole numbers, stays within 64 bits."""
+    most = (F.sqrt(F.lit(float(2**62)) / F.size(vector)) / 2 - 1) / float(scale)
+    return F.forall(vector, lambda v: F.abs(v.cast("double")) <= most)
 
 
 def _finite(vector: Column) -> Column:
@@ -237,17 +237,17 @@ def fit_codes(
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("_raw")).filter(_finite(F.col("_raw")))
-    rows = rows.withColumn("_vec", _components(F.col("_raw"), scale)).drop("_raw")
-    fits = (F.size("_vec") > 0) & (F.size("_vec") % parts == 0) & _in_range(F.col("_vec"))
-    common = rows.filter(fits).groupBy(F.size("_vec").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    fits = (F.size("_raw") > 0) & (F.size("_raw") % parts == 0) & _in_range(F.col("_raw"), scale)
+    common = rows.filter(fits).groupBy(F.size("_raw").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
     width = common["width"] if common else -1
-    fits = fits & (F.size("_vec") == width)
-    coded = rows.filter(fits).withColumns({"_vec": F.col("_vec").cast("array<int>"), "_code": F.lit(None).cast("binary"), "_bounds": F.lit(None).cast("binary")})
+    fits = fits & (F.size("_raw") == width)
+    whole = _components(F.col("_raw"), scale).cast("array<int>")
+    coded = rows.filter(fits).select("id", "label", whole.alias("_vec"), F.lit(None).cast("binary").alias("_code"), F.lit(None).cast("binary").alias("_bounds"))
     odd = rows.filter(~fits).select("id", "label", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("long").alias("error"))
     if not common:
         return Codes(odd, [])
 
-    seeds = [r["_vec"] for r in coded.orderBy(F.asc_nulls_last("id"), "_vec").select("_vec").limit(entries).collect()]
+    seeds = [r["_vec"] for r in coded.select("id", "_vec").orderBy(F.asc_nulls_last("id"), "_vec").limit(entries).collect()]
     step = width // parts
     books = [[v[p * step : (p + 1) * step] for v in seeds] for p in range(parts)]
     group = [grouped(b, groups) for b in books]
