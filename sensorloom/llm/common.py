@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_path, partition_offsets, persist, shared_dir  # noqa: F401
+from ..shared import new_path, partition_offsets, persist, shared_dir, with_small  # noqa: F401
 from ..ship import ensure
 
 #: Word separators of every contract: space and U+0009 to U+000D.
@@ -113,18 +113,3 @@ def by_key(batches: Iterator, keys: list[str]):
             start = i
     if held:
         yield held_key, pa.Table.from_batches(held)
-
-
-def with_small(
-    df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", most: int = 200_000, weight: Column | None = None
-) -> DataFrame:
-    """Join with a table that was just written; broadcast it only when its count allows.
-
-    ``weight``: what a row counts, such as the length of its list; 1 by default. Beyond ``most`` both sides are
-    shuffled (and hot keys split by Spark).
-    """
-    if weight is None:
-        size = small.limit(most + 1).count()
-    else:
-        size = small.agg(F.sum(weight)).first()[0] or 0
-    return df.join(F.broadcast(small) if size <= most else small, on, how)

@@ -64,15 +64,33 @@ LIKE = {
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
 
 
-def located(text: Column, pattern: str, after: bool = False) -> Column:
-    """All matches in order as ``array<struct<start, end, value, before>>``; before (and after): up to 64 characters."""
+#: Characters looked at first for the word beside a token; a word that reaches further is read from the whole gap.
+NEAR = 64
+
+
+def _word_before(gap: Column) -> Column:
+    """The whole word that ends a gap, blanks after it aside."""
+    near, last = F.right(gap, F.lit(NEAR)), rf"(?<!{WORD})({WORD}++){SPACE_CLASS}*+$"
+    further = (F.length(gap) > NEAR) & near.rlike(rf"^{WORD}*+{SPACE_CLASS}*+$")
+    return F.when(further, F.regexp_extract(gap, last, 1)).otherwise(F.regexp_extract(near, last, 1))
+
+
+def _word_after(gap: Column) -> Column:
+    """The whole word after the punctuation and blanks that begin a gap."""
+    near, first = F.left(gap, F.lit(NEAR)), rf"^{_RIGHT}*+{SPACE_CLASS}++({WORD}++)"
+    further = (F.length(gap) > NEAR) & near.rlike(rf"^{_RIGHT}*+{SPACE_CLASS}*+{WORD}*+$")
+    return F.when(further, F.regexp_extract(gap, first, 1)).otherwise(F.regexp_extract(near, first, 1))
+
+
+def located(text: Column, pattern: str, words: bool = False) -> Column:
+    """All matches in order as ``array<struct<start, end, value>>``; with ``words`` also the words ``before`` and ``after``."""
 
     def placed(x: Column) -> Column:
         def one(value: Column, i: Column) -> Column:
             end = F.get(x["ends"], i).cast("int")
-            parts = [(end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), F.right(F.get(x["gaps"], i), F.lit(64)).alias("before")]
-            if after:
-                parts.append(F.left(F.get(x["gaps"], i + 1), F.lit(64)).alias("after"))
+            parts = [(end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")]
+            if words:
+                parts += [_word_before(F.get(x["gaps"], i)).alias("before"), _word_after(F.get(x["gaps"], i + 1)).alias("after")]
             return F.struct(*parts)
 
         return F.transform(x["found"], one)
@@ -159,9 +177,7 @@ def _tokens(rows: DataFrame) -> DataFrame:
         F.substring(F.col("t")["value"], lead + 1, F.greatest(F.length(F.col("t")["value"]) - lead - tail, F.lit(0))).alias("token"),
     ).filter("end > start")
     bare = lambda word: F.regexp_replace(F.lower(word), rf"^{_LEFT}+|{_RIGHT}+$", "")
-    left = bare(F.regexp_extract("before", rf"({WORD}+){SPACE_CLASS}*$", 1))
-    right = bare(F.regexp_extract("after", rf"^{_RIGHT}*{SPACE_CLASS}+({WORD}+)", 1))
-    return found.select("row", "start", "end", "token", "spelled", left.alias("left"), right.alias("right"))
+    return found.select("row", "start", "end", "token", "spelled", bare(F.col("before")).alias("left"), bare(F.col("after")).alias("right"))
 
 
 def _occurrences(tokens: DataFrame, spans: DataFrame) -> DataFrame:
