@@ -11,7 +11,8 @@ For each node the tree counts, over the ``m`` pages that have it,
 
 With ``l`` presentations the composite importance is ``(1 - g**l) * presentation + g**l * content`` and
 branches below a threshold are removed from each page, inside articles and main parts too. There an article or
-main part that repeats as a whole stays whole, and words in the run of a sentence stay in it. A page's article (or main part, or else body) is then
+main part that repeats as a whole stays whole, words in the run of a sentence stay in it, and a heading that recurs
+stays if text that is kept follows under its parent. A page's article (or main part, or else body) is then
 read off, without what its markup itself declares to be a menu, header, footer, sidebar, notice, advert,
 form, script, style or reader comment; no page is needed to be like others for that.
 
@@ -54,9 +55,17 @@ NOISE_WORDS = frozenset(
     "replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations pagination pager copyright toolbar skip".split()
 )
-#: Of these, words that also name parts of an article: no noise on a tag that holds a text of it.
-WEAK_WORDS = frozenset("related reply skip head rail alert".split())
+#: Words that say where and as what a part is laid out. Inside of an article a name counts if all its words are of
+#: these or of NOISE_WORDS, and one is of the latter: related-posts and share-bar, but not related-work.
+LAYOUT_WORDS = frozenset(
+    "area article articles bar bars block blocks body bottom box boxes btn button buttons card cards center col column container content "
+    "desktop element entry fixed floating form grid group header heading holder icon icons inline inner item items large layout left link "
+    "links list main media mobile module more news outer page pages panel placeholder post posts primary region right row rows secondary "
+    "section site slot small sticky stories story text title tool tools top unit view wrap wrapper zone".split()
+)
+#: What a text of an article stands in: names do not count there.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table b i em strong mark code".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: First and last words of compound class names that say how a part is laid out, not what it is: has-sidebar, share-enabled.
 STATE_FIRST = frozenset("no not non has have with without".split())
 STATE_LAST = frozenset("enabled disabled target active inactive".split())
@@ -95,13 +104,16 @@ def _declared_noise(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return DECLARED
     if attrs.get("role", "").lower() in NOISE_ROLES:
         return DECLARED
-    words: set[str] = set()
+    if in_article and tag in TEXT_TAGS:
+        return 0
+    names: list[set[str]] = []
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         parts = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
         if len(parts) < 2 or not (parts[0] in STATE_FIRST or parts[-1] in STATE_LAST):
-            words.update(parts)
-    if in_article and tag in TEXT_TAGS:
-        words -= WEAK_WORDS
+            names.append(set(parts))
+    if in_article:
+        names = [n for n in names if n <= NOISE_WORDS | LAYOUT_WORDS]
+    words = set().union(*names)
     if words & COMMENT_WORDS:
         return DECLARED
     return NAMED if words & NOISE_WORDS or (not in_article and words & HEADER_WORDS) else 0
@@ -136,22 +148,25 @@ def _path(up: int, style: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "style", "path", "skip", "place", "whole", "children", "content")
+    __slots__ = ("tag", "style", "path", "skip", "place", "whole", "heading", "children", "content")
 
-    def __init__(self, tag, style, path, skip, place, whole):
-        self.tag, self.style, self.path, self.skip, self.place, self.whole = tag, style, path, skip, place, whole
+    def __init__(self, tag, style, path, skip, place, whole, heading=False):
+        self.tag, self.style, self.path, self.skip, self.place, self.whole, self.heading = tag, style, path, skip, place, whole, heading
         self.children, self.content = [], []
 
 
 class Page:
     """One pass over a page: its nodes for the style tree, and its text with some branches left out."""
 
-    def __init__(self, source: str, removed: Collection[int] = (), tree: bool = False, inside: bool = True) -> None:
+    def __init__(self, source: str, removed: Collection[int] = (), tree: bool = False, inside: bool = True, names: bool = True) -> None:
         import xxhash
 
         self.hash = xxhash.xxh3_64_intdigest
-        self.removed, self.tree, self.inside = removed, tree, inside
+        self.removed, self.tree, self.inside, self.names = removed, tree, inside, names
         self.pruned: set[int] = set()  # places that lost a branch inside of articles and main parts
+        self.named: set[int] = set()  # places that lost one for its name
+        self.held: tuple[int, int, str] | None = None  # a heading that stands only if its text does: depth, place, words
+        self.open: dict[str, int] = {}  # open elements by tag
         self.nodes: set[tuple[int, int, int]] = set()  # path, kind (0: presentation, 1: content), feature
         # of the body; of main and of articles in branches that a class or id names noise; of main, of articles
         self.blocks: tuple[list, list, list, list, list] = ([], [], [], [], [])
@@ -168,9 +183,15 @@ class Page:
     def _break(self) -> None:
         if self.buffer:
             words = " ".join("".join(self.buffer).split())
-            if words:
-                self.blocks[self.stack[-1].place].append(words)
             self.buffer = []
+            top = self.stack[-1]
+            if words and top.heading:
+                self.held = len(self.stack) - 1, top.place, words
+            elif words:
+                if self.held:
+                    self.blocks[self.held[1]].append(self.held[2])
+                    self.held = None
+                self.blocks[top.place].append(words)
 
     def _text(self, raw: str) -> None:
         top = self.stack[-1]
@@ -195,17 +216,27 @@ class Page:
         if tag in VOID:
             return
         path = _path(up.path, style) if self.tree or self.removed else 0
-        place, skip, low = up.place, max(up.skip, noise), path in self.removed
+        place, low, heading = up.place, path in self.removed, up.heading
+        if noise == NAMED and place:
+            self.named.add(place)
+            noise = noise if self.names else 0
+        skip = max(up.skip, noise)
         own = tag == "article" or main
         if own and skip < DECLARED and not (skip == LOW and place in (2, 4)):  # the wrappers of an article do not take it along
             kind = 2 if tag == "article" else 1
             first = 0 if skip == NAMED or 0 < place < 3 else 2
             place, skip = first + kind if first == 0 else max(first + kind, place), 0
         elif low and not skip and not own and tag not in KEPT_TAGS and (not place or self._prunable(block, up)):
-            skip = LOW
-            if place:
-                self.pruned.add(place)
-        self.stack.append(_Node(tag, style, path, skip, place, up.whole or (own and low)))
+            if place and tag in HEADINGS:
+                heading = True
+            else:
+                skip = LOW
+                if self.held and self.held[0] >= len(self.stack):
+                    self.held = None  # what the heading stood over is gone
+                if place:
+                    self.pruned.add(place)
+        self.stack.append(_Node(tag, style, path, skip, place, up.whole or (own and low), heading))
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def _prunable(self, block: bool, up: _Node) -> bool:
         """Whether a branch of low importance inside of an article or main part goes."""
@@ -218,6 +249,9 @@ class Page:
         if node.tag in BLOCK:
             self._break()
         self.stack.pop()
+        self.open[node.tag] -= 1
+        if self.held and self.held[0] > len(self.stack):
+            self.held = None
         if self.tree:
             kinds = [c for i, c in enumerate(node.children) if not i or c != node.children[i - 1]]
             self.nodes.add((node.path, 0, self.hash(" ".join(kinds))))
@@ -238,8 +272,10 @@ class Page:
                 return
 
     def _end(self, tag: str) -> None:
-        if tag in ("br", "p") and not any(n.tag == tag for n in self.stack):
-            self._break()
+        if not self.open.get(tag):
+            if tag in ("br", "p"):
+                self._break()
+            return
         inline = tag not in BLOCK
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
@@ -296,8 +332,11 @@ class Page:
 def main_text(source: str | None, removed: Collection[int] = ()) -> str:
     """The main text of one page, without the nodes of its site's style tree given as ``removed``."""
     page = Page(source or "", removed)
+    if any(not page.blocks[p] for p in page.named):  # names have left nothing of the article: they name the article
+        again = Page(source or "", removed, names=False)
+        page = again if any(again.blocks[p] for p in page.named if not page.blocks[p]) else page
     if any(not page.blocks[p] for p in page.pruned):  # nothing is left of the article: it is a copy of others
-        page = Page(source or "", removed, inside=False)
+        page = Page(source or "", removed, inside=False, names=page.names)
     return page.text()
 
 
@@ -309,6 +348,8 @@ def unimportant(pages: DataFrame) -> DataFrame:
     """``(host, removed)``: per host the nodes of its style tree of low importance. ``pages(host, html)``."""
     import pyarrow as pa
 
+    small_batches(pages.sparkSession)
+
     def nodes(batches):
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
