@@ -21,6 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def kept(value: Column) -> Column:
+    """``value`` as a column that the optimizer leaves where it is, as it does not take it for deterministic.
+
+    Written into a Python call, nested lambda functions would keep the call from being planned.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def bound(feature: Callable[..., Column]) -> Callable[..., Column]:
     """``feature`` with its first argument evaluated once a row."""
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import clean
 from ..functions.cleaning import lookup
 
 _MOTION = [(f"{k}_{a}", f"{k.upper()}_{a.upper()}", s) for k, s in (("acc", "accelerometer"), ("gyro", "gyroscope")) for a in "xyz"]
@@ -67,14 +68,15 @@ def described(key: Column, dataset: str | None, more: dict[str, dict] | None = N
     return F.when(key.isin(*table), known).otherwise(inferred(key))
 
 
-def expanded(df: DataFrame, keys: list[str], dataset: str | None, signals: str = "signals", more: dict[str, dict] | None = None) -> DataFrame:
-    """A row for each axis of each channel: ``keys``, ``place_no``, ``channel, sensor, place, rate`` and ``x``. Unknown channels go."""
-    axes = lambda s: F.array(*(F.struct(F.concat(s["name"], F.lit(f"_{a}")).alias("name"), s[a].alias("x")) for a in "xyz"))
+def axes(signals: Column, dataset: str | None, more: dict[str, dict] | None = None) -> Column:
+    """``array<struct<channel, sensor, place, rate, x>>``: each axis of each known channel that has finite values."""
+    three = lambda s: F.array(*(F.struct(F.concat(s["name"], F.lit(f"_{a}")).alias("name"), s[a].alias("x")) for a in "xyz"))
     one = lambda s: F.array(F.struct(s["name"].alias("name"), s["x"].alias("x")))
-    flat = F.flatten(F.transform(signals, lambda s: F.when(s["y"].isNull(), one(s)).otherwise(axes(s))))
-    rows = df.select(*keys, F.posexplode(flat).alias("place_no", "s"))
-    rows = rows.select(*keys, "place_no", described(channel_key(F.col("s")["name"]), dataset, more).alias("m"), F.col("s")["x"].alias("x"))
-    return rows.filter("m is not null").select(*keys, "place_no", "m.*", "x")
+    flat = F.flatten(F.transform(signals, lambda s: F.when(s["y"].isNull(), one(s)).otherwise(three(s))))
+    known = F.transform(flat, lambda s: F.struct(described(channel_key(s["name"]), dataset, more).alias("m"), clean(s["x"]).alias("x")))
+    known = F.filter(known, lambda s: s["m"].isNotNull() & (F.size(s["x"]) > 0))
+    parts = ("channel", "sensor", "place", "rate")
+    return F.transform(known, lambda s: F.struct(*(s["m"][k].alias(k) for k in parts), s["x"].alias("x")))
 
 
 def ordered(names: Column, preferred: list[str]) -> Column:

@@ -1,22 +1,22 @@
 """Windows described in words: statistics of all channels, sleep cues, physiological values of stress recordings.
 
-A window's channels come as ``signals array<struct<name,x,y,z>>`` (y and z null for one axis). One Arrow-batched UDF a
-data set makes its numbers and prints them: printing must round as Python does, and spectra and beats need NumPy.
+A window's channels come as ``signals array<struct<name,x,y,z>>`` (y and z null for one axis). Statistics, cues and
+sections are Column expressions; Python prints the numbers, as they must round as Python's do, and computes
+spectra, beats and filtered parts of the stress recordings.
 """
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import dsp
 from ..functions.text import UNAVAILABLE
 from ..ship import ensure
-from .render import SLEEP_NAMES, SLEEP_PARTS
+from .channels import channel_key
+from .render import is_motion, is_sleep
 
 SIGNALS = "array<struct<name:string,x:array<double>,y:array<double>,z:array<double>>>"
 # Titles, and sections with the first words of the channels they hold.
@@ -38,70 +38,105 @@ STRESS_SECTIONS = {
 PER_LINE = 4
 
 
-def _axes(signal) -> list[np.ndarray]:
+def _axes(signal: Column) -> Column:
     """The axes of a channel, one or three, of finite values."""
-    values = [np.asarray(signal[k], float) for k in "xyz" if signal[k] is not None]
-    return [v[np.isfinite(v)] for v in values]
-
-
-def described(x: np.ndarray) -> dict[str, float | str | None]:
-    """Mean, deviation, extremes, quartiles and the trend between the ends, as :func:`functions.arrays.described`."""
-    if not len(x):
-        return dict.fromkeys(("mean", "std", "min", "max", "p25", "p75")) | {"trend": "empty"}
-    low, high = np.percentile(x, (25, 75))
-    step, far = x[-1] - x[0], max(x.std() * 0.25, 1e-6)
-    trend = "increasing" if step > far else "decreasing" if step < -far else "relatively stable"
-    return {"mean": x.mean(), "std": x.std(), "min": x.min(), "max": x.max(), "p25": low, "p75": high, "trend": trend}
-
-
-def described_signals(signals) -> list[dict]:
-    """``{name, stats}`` by name: each one-axis channel, or the axes and the magnitude of a three-axis one."""
-    out = []
-    for s in sorted(signals if signals is not None else [], key=lambda s: s["name"]):
-        axes = _axes(s)
-        parts = {"": axes[0] if axes else np.zeros(0)}
-        if len(axes) == 3:
-            n = min(map(len, axes))
-            parts = {f"_{k}": v for k, v in zip("xyz", axes)} | {"_magnitude": np.sqrt(sum(v[:n] ** 2 for v in axes))}
-        out += [{"name": s["name"] + k, "stats": described(v)} for k, v in parts.items()]
-    return out
-
-
-def _line(name: str, stats) -> str:
-    shown = (f"{k}={UNAVAILABLE if stats[k] is None or stats[k] != stats[k] else format(stats[k], '.3f')}" for k in ("mean", "std", "min", "max", "p25", "p75"))
-    return f"- {name}: {', '.join(shown)}, trend={stats['trend']}"
-
-
-def block_text(features, title: str, sections: dict[str, list[str]] | None = None) -> str:
-    """Lines under the first section that claims their channel, then all others; without sections one list."""
-    features = [] if features is None else list(features)
-    if not features:
-        return f"{title}\n- no numeric signals available"
-    claimed: dict[str, list[str]] = {k: [] for k in [*(sections or {}), "Other signals"]}
-    for f in features:
-        words = [(k, p.lower()) for k, prefixes in (sections or {}).items() for p in prefixes]
-        name = f["name"].lower()
-        own = next((k for k, p in words if name == p or name.startswith(p + "_")), "Other signals")
-        claimed[own].append(_line(f["name"], f["stats"]))
-    if not sections:
-        return "\n".join([title, *claimed["Other signals"]])
-    return "\n".join([title, *(f"\n{k}:\n" + "\n".join(lines) for k, lines in claimed.items() if lines)])
-
-
-def _key(name: str) -> str:
-    return re.sub("[- ]", "_", name).strip().lower()
-
-
-def first_signal(signals, names: tuple[str, ...]) -> np.ndarray | None:
-    """The values of the first channel of one of these names, or else whose name holds one; empty ones do not count."""
-    keyed = [(_key(s["name"]), s) for s in signals]
-    hits = [s for n in names for k, s in keyed if k == n] + [s for k, s in keyed if any(n in k for n in names)]
-    for s in hits:
-        axes = _axes(s)
-        flat = np.ravel(axes, "F") if len(axes) > 1 and len({*map(len, axes)}) == 1 else np.concatenate([*axes, np.zeros(0)])
-        if len(flat):
-            return flat
-    return None
+    return F.transform(F.filter(F.array(signal["x"], signal["y"], signal["z"]), lambda v: v.isNotNull()), A.clean)
+
+
+def _root(axes: Column) -> Column:
+    """The magnitude of three axes, over their common length."""
+    n = F.array_min(F.transform(axes, F.size))
+    return A.magnitude(*(F.slice(F.get(axes, F.lit(i)), F.lit(1), n) for i in range(3)))
+
+
+def _by_name(signals: Column) -> Column:
+    placed = F.transform(signals, lambda s, i: F.struct(s["name"].alias("n"), i.alias("i"), s.alias("s")))
+    return F.transform(F.array_sort(placed), lambda p: p["s"])
+
+
+def described_signals(signals: Column) -> Column:
+    """``array<struct<name, stats>>`` by name: each one-axis channel, or the axes and the magnitude of a three-axis one."""
+
+    def parts(s: Column) -> Column:
+        def of(axes: Column) -> Column:
+            one = lambda suffix, x: F.struct(F.concat(s["name"], F.lit(suffix)).alias("name"), x.alias("x"))
+            wide = F.array(*(one(f"_{k}", F.get(axes, F.lit(i))) for i, k in enumerate("xyz")), one("_magnitude", _root(axes)))
+            return F.when(F.size(axes) == 3, wide).otherwise(F.array(one("", F.coalesce(F.get(axes, F.lit(0)), F.array().cast("array<double>")))))
+
+        return A.let(_axes(s), of)
+
+    flat = F.flatten(F.transform(_by_name(signals), parts))
+    return F.transform(flat, lambda p: F.struct(p["name"].alias("name"), A.described(p["x"]).alias("stats")))
+
+
+def printed(features: Column) -> Column:
+    """The line of each feature as ``array<struct<name, line>>``, its numbers with three places. ``features`` is a column."""
+
+    def line(f) -> dict:
+        stats = f["stats"]
+        shown = (f"{k}={UNAVAILABLE if stats[k] is None or stats[k] != stats[k] else format(stats[k], '.3f')}" for k in ("mean", "std", "min", "max", "p25", "p75"))
+        return {"name": f["name"], "line": f"- {f['name']}: {', '.join(shown)}, trend={stats['trend']}"}
+
+    @F.pandas_udf("array<struct<name:string,line:string>>")
+    def show(rows: pd.Series) -> pd.Series:
+        return pd.Series([[line(f) for f in (row if row is not None else [])] for row in rows])
+
+    return show(features)
+
+
+def printed_cues(cues: Column) -> Column:
+    """A line for each cue."""
+
+    @F.pandas_udf("array<string>")
+    def show(rows: pd.Series) -> pd.Series:
+        return pd.Series([[f"- sleep_{c['name']}: {c['value']:.3f}" for c in (row if row is not None else [])] for row in rows])
+
+    return show(cues)
+
+
+def block_text(lines: Column, title: str, sections: dict[str, list[str]] | None = None) -> Column:
+    """Lines (``array<struct<name, line>>``) under the first section that claims their channel, then all others; without
+    sections one list."""
+    text = F.lit(title)
+    if sections:
+
+        def own(name: Column) -> Column:
+            hits = [F.when((name == p.lower()) | name.startswith(f"{p.lower()}_"), k) for k, prefixes in sections.items() for p in prefixes]
+            return F.coalesce(*hits, F.lit("Other signals"))
+
+        marked = F.transform(lines, lambda s: F.struct(own(F.lower(s["name"])).alias("k"), s["line"].alias("line")))
+
+        def listed(rows: Column) -> Column:
+            def section(k: str) -> Column:
+                own = F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: r["line"])
+                return A.let(own, lambda p: F.when(F.size(p) > 0, F.concat(F.lit(f"\n{k}:\n"), F.array_join(p, "\n"))))
+
+            return F.concat_ws("\n", text, *map(section, [*sections, "Other signals"]))
+
+        shown = A.let(marked, listed)
+    else:
+        shown = F.concat_ws("\n", text, F.transform(lines, lambda s: s["line"]))
+    return F.when(F.size(lines) > 0, shown).otherwise(f"{title}\n- no numeric signals available")
+
+
+def keyed(signals: Column) -> Column:
+    """``array<struct<key, x>>``: the values of each channel; axes of one length interleaved, others after each other."""
+
+    def flat(axes: Column) -> Column:
+        n = F.size(F.get(axes, F.lit(0)))
+        level = (F.size(axes) > 1) & (n > 0) & F.forall(axes, lambda a: F.size(a) == n)
+        mixed = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(axes, lambda a: F.get(a, i))))
+        return F.when(level, mixed).otherwise(F.flatten(axes))
+
+    return F.transform(signals, lambda s: F.struct(channel_key(s["name"]).alias("key"), A.let(_axes(s), flat).alias("x")))
+
+
+def first_signal(found: Column, names: tuple[str, ...]) -> Column:
+    """The values of the first channel of :func:`keyed` of one of these names, or else whose name holds one; empty ones do
+    not count. Null if there is none."""
+    named = lambda n: F.filter(found, lambda s: s["key"] == n)
+    parts = F.filter(found, lambda s: F.exists(F.array(*map(F.lit, names)), lambda n: s["key"].contains(n)))
+    return F.get(F.filter(F.concat(*map(named, names), parts), lambda s: F.size(s["x"]) > 0), F.lit(0))["x"]
 
 
 #: Sleep cues: prefix, names of their channel, slope or not.
@@ -111,109 +146,171 @@ _CUES = (
 )
 
 
-def _magnitude(signals) -> np.ndarray | None:
-    axes = [first_signal(signals, tuple(f"{p}_{k}" for p in ("acc", "accelerometer", "actigraphy"))) for k in "xyz"]
-    if any(v is None for v in axes):
-        return first_signal(signals, ("actigraphy", "activity", "motion"))
-    n = min(map(len, axes))
-    return np.sqrt(sum(v[:n] ** 2 for v in axes))
-
-
-def sleep_features(signals) -> dict[str, float]:
-    """Sleep cues by name; those of missing channels are left out."""
-    out: dict[str, float] = {}
-
-    def series(prefix: str, x: np.ndarray, slope: bool) -> None:
-        out.update({f"{prefix}_mean": x.mean(), f"{prefix}_std": x.std(), f"{prefix}_range": np.ptp(x)})
-        if slope and len(x) > 1:
-            out[f"{prefix}_slope"] = np.polyfit(np.arange(len(x)), x, 1)[0]
-
-    moved = _magnitude(signals)
-    if moved is not None:
-        series("acc_magnitude", moved, False)
-        steps = np.abs(np.diff(moved))
-        limit = np.median(steps) + steps.std() if len(steps) else 0.0
-        far = steps > (limit if limit > 0 else 1e-8)
-        out |= {"movement_count": float(far.sum()), "stillness_ratio": float(1 - far.mean()) if len(steps) else 1.0}
-    for prefix, names, slope in _CUES:
-        x = first_signal(signals, names)
-        if x is None:
-            continue
-        series(prefix, x, slope)
-        if prefix == "ibi" and len(x) > 1:
-            out["ibi_rmssd"] = float(np.sqrt((np.diff(x) ** 2).mean()))
-        if prefix in ("bvp", "eda"):
-            top = (x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] > x.mean() + x.std())
-            out[f"{prefix}_peak_count"] = float(top.sum())
-    return {k: float(v) for k, v in sorted(out.items())}
-
-
-def stress_features(signals: Column) -> Column:
-    """The physiological values of a stress window as ``map<string,double>``; null where a channel is too short.
-
-    ``signals`` is a column, not an expression.
-    """
-    ensure()
+def _moved(found: Column) -> Column:
+    axes = F.array(*(first_signal(found, tuple(f"{p}_{k}" for p in ("acc", "accelerometer", "actigraphy"))) for k in "xyz"))
+    return A.let(axes, lambda a: F.when(F.forall(a, lambda v: v.isNotNull()), _root(a)).otherwise(first_signal(found, ("actigraphy", "activity", "motion"))))
+
+
+def sleep_features(signals: Column) -> Column:
+    """Sleep cues as ``array<struct<name, value>>`` by name; those of missing channels are left out."""
+    cue = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
+
+    def series(prefix: str, x: Column, slope: bool) -> list[Column]:
+        out = [cue(f"{prefix}_mean", A.mean(x)), cue(f"{prefix}_std", A.std(x)), cue(f"{prefix}_range", F.array_max(x) - F.array_min(x))]
+        return out + [cue(f"{prefix}_slope", A.slope(x))] * slope
+
+    def moves(x: Column) -> Column:
+        far = A.movement(x)
+        return F.array(*series("acc_magnitude", x, False), cue("movement_count", far["movements"]), cue("stillness_ratio", far["stillness"]))
+
+    def channel(prefix: str, slope: bool, x: Column) -> Column:
+        out = series(prefix, x, slope)
+        out += [cue("ibi_rmssd", A.rmssd(x))] * (prefix == "ibi") + [cue(f"{prefix}_peak_count", A.peak_count(x))] * (prefix in ("bvp", "eda"))
+        return F.array(*out)
+
+    def all_cues(found: Column) -> Column:
+        none = F.array().cast("array<struct<name:string,value:double>>")
+        present = lambda x, made: A.let(x, lambda v: F.when(v.isNotNull(), made(v)).otherwise(none))
+        parts = [present(_moved(found), moves)]
+        parts += [present(first_signal(found, names), lambda x, p=prefix, s=slope: channel(p, s, x)) for prefix, names, slope in _CUES]
+        return F.array_sort(F.filter(F.concat(*parts), lambda c: c["value"].isNotNull()))
+
+    return A.let(keyed(signals), all_cues)
+
+
+def _kernel(kind: str, rate: int, x: Column) -> Column:
+    """The features of a channel whose kernel filters, as ``map<string,double>``."""
 
     @F.pandas_udf("map<string,double>")
-    def found(rows: pd.Series) -> pd.Series:
-        return pd.Series([_stress_values(r) for r in rows])
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([{} if v is None or not len(v) else dsp.KERNELS[kind](v, rate) for v in rows])
+
+    return run(x)
 
-    return found(signals)
 
+def _peaks(rate: int, axes: Column) -> Column:
+    """The main frequency of each axis."""
 
-def _stress_values(signals) -> dict[str, float | None]:
-    return dsp.stress_features({s["name"]: (s["x"], s["y"], s["z"]) for s in (signals if signals is not None else [])})
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[] if v is None else [dsp.peak_frequency(a, rate) for a in v] for v in rows])
 
+    return run(axes)
 
-def stress_text(values: dict[str, float | None]) -> str:
-    """Values by section, four on a line with four significant digits."""
-    if not values:
-        return f"{TITLES['WESAD']}\n- no WESAD signal features available"
-    claimed: dict[str, list[str]] = {k: [] for k in [*STRESS_SECTIONS, "Other"]}
-    for name, v in values.items():
-        own = next((k for k, prefixes in STRESS_SECTIONS.items() if name.startswith(prefixes)), "Other")
-        claimed[own].append(f"{name}={UNAVAILABLE if v is None else format(v, '.4g')}")
-    lines = [TITLES["WESAD"]]
-    for section, shown in claimed.items():
-        if shown:
-            lines += ["", f"{section}:", *("- " + ", ".join(shown[i : i + PER_LINE]) for i in range(0, len(shown), PER_LINE))]
-    return "\n".join(lines)
 
+def _map(place: str, names: tuple[str, ...], values: list[Column]) -> Column:
+    finite = lambda v: F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    pairs = zip(names, values, strict=True)
+    return F.create_map(*(c for k, v in pairs for c in (F.lit(f"{place}_{k}"), finite(v.cast("double")))))
 
-def _motion_text(signals) -> str:
-    own = [s for s in signals if re.search("acc|gyro", s["name"].lower()) or s["name"].lower() in ("x", "y", "z")]
-    return block_text(described_signals(own), TITLES["HHAR"], SECTIONS["HHAR"])
 
+def _prefixed(place: str, values: Column) -> Column:
+    return F.transform_keys(values, lambda k, v: F.concat(F.lit(f"{place}_"), k))
 
-def _sleep_text(signals) -> str:
-    own = [s for s in signals if _key(s["name"]) in SLEEP_NAMES or re.search(SLEEP_PARTS, _key(s["name"]))]
-    if not own:
-        raise ValueError(f"no wearable sleep signal among: {', '.join(s['name'] for s in signals)}")
-    lines = [f"- sleep_{k}: {v:.3f}" for k, v in sleep_features(own).items()]
-    text = block_text(described_signals(own), TITLES["DREAMT"], SECTIONS["DREAMT"])
-    return "\n".join([text, "", f"{SLEEP_SECTION}:", *lines]) if lines else text
 
+def _acc_features(place: str, axes: Column, peaks: Column, rate: int) -> Column:
+    """Level, spread, area and main frequency of each axis, and of the magnitude but its frequency; null without axes."""
+    values = []
+    for i in range(3):
+        x = F.get(axes, F.lit(i))
+        values += [A.mean(x), A.std(x), A.absolute_integral(x, rate), F.get(peaks, F.lit(i))]
+    size = A.magnitude(*(F.get(axes, F.lit(i)) for i in range(3)))
+    return _map(place, dsp.ACC, [*values, A.mean(size), A.std(size), A.absolute_integral(size, rate)])
 
-def _plain_text(signals) -> str:
-    return block_text(described_signals(signals), TITLE)
 
+def _temp_features(place: str, x: Column, rate: int) -> Column:
+    """Level, spread, extremes and slope."""
+    return _map(place, dsp.TEMP, [A.mean(x), A.std(x), F.array_min(x), F.array_max(x), F.array_max(x) - F.array_min(x), A.slope(x, float(rate))])
 
-def feature_text(signals: Column, dataset: str | None = None) -> Column:
-    """The feature description of windows of one data set; of none: all channels under the plain title.
 
-    ``signals`` is a column, not an expression. No channels give the text for no signals. Sleep windows without a
-    wearable channel are an error, unknown data sets a ValueError.
+def with_stress_features(df: DataFrame, signals: str = "signals", out: str = "values") -> DataFrame:
+    """``out``: the physiological values of a stress window as ``map<string,double>``; null where a channel is too short.
+
+    Missing and empty channels have no values. Statistics are Column expressions; kernels that filter or detect
+    beats run per channel on Arrow batches. Of accelerometers the middle five seconds count: 10 samples or more of
+    three axes of one length.
     """
     ensure()
-    key = (dataset or "").replace("-", "").replace("_", "").strip().upper()
-    texts = {"WESAD": lambda s: stress_text(_stress_values(s)), "HHAR": _motion_text, "DREAMT": _sleep_text, "": _plain_text, "UNKNOWN": _plain_text}
-    if key not in texts:
-        raise ValueError(f"unknown dataset: {dataset!r}")
-    text = texts[key]
-
-    @F.pandas_udf("string")
+    names, none = df.columns, F.create_map().cast("map<string,double>")
+    own = lambda c: F.get(F.filter(signals, lambda v: (v["name"] == c) & (F.size(v["x"]) > 0)), F.lit(0))
+    df = df.withColumns({f"_own_{c}": own(c) for c, _, _ in dsp.STRESS})
+    crops, calls, maps = {}, {}, []
+    for channel, kind, rate in dsp.STRESS:
+        if kind == "acc":
+            axes = [A.centre_crop(F.col(f"_own_{channel}")[k], 5 * rate) for k in "xyz"]
+            n = F.size(axes[0])
+            fits = F.coalesce((n >= 10) & (n == F.size(axes[1])) & (n == F.size(axes[2])), F.lit(False))
+            crops[f"_axes_{channel}"] = F.when(fits, F.array(*axes))
+            calls[f"_made_{channel}"] = _peaks(rate, F.col(f"_axes_{channel}"))
+        elif kind != "temp":
+            calls[f"_made_{channel}"] = _kernel(kind, rate, F.col(f"_own_{channel}")["x"])
+    df = df.withColumns(crops).withColumns(calls)
+    for channel, kind, rate in dsp.STRESS:
+        place, s = channel.partition("_")[0], F.col(f"_own_{channel}")
+        if kind == "acc":
+            found = _acc_features(place, F.col(f"_axes_{channel}"), F.col(f"_made_{channel}"), rate)
+        elif kind == "temp":
+            found = _temp_features(place, s["x"], rate)
+        else:
+            found = _prefixed(place, F.col(f"_made_{channel}"))
+        maps.append(F.when(s.isNotNull(), found).otherwise(none))
+    return df.select(*names, A.kept(F.map_concat(*maps)).alias(out))
+
+
+def printed_values(values: Column) -> Column:
+    """Values of a map with four significant digits, as ``array<struct<name, shown>>`` in its order."""
+    one = lambda v: UNAVAILABLE if v is None or v != v else format(v, ".4g")
+
+    @F.pandas_udf("array<struct<name:string,shown:string>>")
     def show(rows: pd.Series) -> pd.Series:
-        return pd.Series([text(r if r is not None else []) for r in rows])
+        return pd.Series([[{"name": k, "shown": one(v)} for k, v in (row.items() if row is not None else [])] for row in rows])
+
+    return show(values)
+
+
+def stress_text(shown: Column) -> Column:
+    """Printed values by section, four on a line; ``shown`` is a column."""
+
+    def own(name: Column) -> Column:
+        return F.coalesce(*(F.when(name.startswith(p), k) for k, prefixes in STRESS_SECTIONS.items() for p in prefixes), F.lit("Other"))
+
+    def listed(rows: Column) -> Column:
+        def section(k: str) -> Column:
+            def lines(p: Column) -> Column:
+                each = F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(PER_LINE)), lambda i: F.concat(F.lit("- "), F.array_join(F.slice(p, i + 1, F.lit(PER_LINE)), ", ")))
+                return F.when(F.size(p) > 0, F.concat(F.lit(f"\n{k}:\n"), F.array_join(each, "\n")))
+
+            return A.let(F.transform(F.filter(rows, lambda r: r["k"] == k), lambda r: r["t"]), lines)
 
-    return show(signals)
+        return F.concat_ws("\n", F.lit(TITLES["WESAD"]), *map(section, [*STRESS_SECTIONS, "Other"]))
+
+    rows = F.transform(shown, lambda v: F.struct(own(v["name"]).alias("k"), F.concat_ws("=", v["name"], v["shown"]).alias("t")))
+    return F.when(F.size(shown) > 0, A.let(rows, listed)).otherwise(f"{TITLES['WESAD']}\n- no WESAD signal features available")
+
+
+def with_feature_text(df: DataFrame, dataset: str | None = None, signals: str = "signals", out: str = "input_text") -> DataFrame:
+    """``out``: the feature description of windows of one data set; of none: all channels under the plain title.
+
+    No channels give the text for no signals. Sleep windows without a wearable channel are an error, unknown data
+    sets a ValueError. Each step is a column of its own, so what Python prints is computed once.
+    """
+    ensure()
+    key = (dataset or "").replace("-", "").replace("_", "").strip().upper()
+    if key not in ("WESAD", "HHAR", "DREAMT", "", "UNKNOWN"):
+        raise ValueError(f"unknown dataset: {dataset!r}")
+    names = [c for c in df.columns if c != out]
+    df = df.withColumn("_signals", F.coalesce(F.col(signals).cast(SIGNALS), F.array().cast(SIGNALS)))
+    if key == "WESAD":
+        df = with_stress_features(df, "_signals", "_values").withColumn("_shown", printed_values(F.col("_values")))
+        return df.select(*names, stress_text(F.col("_shown")).alias(out))
+    wanted = {"HHAR": is_motion, "DREAMT": is_sleep}.get(key)
+    df = df.withColumn("_own", F.filter("_signals", lambda s: wanted(s["name"])) if wanted else F.col("_signals"))
+    df = df.withColumn("_features", A.kept(described_signals(F.col("_own")))).withColumn("_lines", printed(F.col("_features")))
+    text = block_text(F.col("_lines"), TITLES.get(key, TITLE), SECTIONS.get(key))
+    if key != "DREAMT":
+        return df.select(*names, text.alias(out))
+    df = df.withColumn("_found", A.kept(sleep_features(F.col("_own")))).withColumn("_cues", printed_cues(F.col("_found"))).withColumn("_text", text)
+    whole = F.when(F.size("_cues") > 0, F.concat_ws("\n", "_text", F.lit(f"\n{SLEEP_SECTION}:"), "_cues")).otherwise(F.col("_text"))
+    listed = F.array_join(F.transform("_signals", lambda s: s["name"]), ", ")
+    none = F.raise_error(F.concat(F.lit("no wearable sleep signal among: "), listed)).cast("string")
+    return df.select(*names, F.when(F.size("_own") > 0, whole).otherwise(none).alias(out))

@@ -95,17 +95,15 @@ def stress_samples(spark: SparkSession, root: str, subjects: list[str] | None =
 SAMPLES = {"WESAD": stress_samples, "HHAR": motion_samples, "DREAMT": sleep_samples}
 
 
-def _encoded(samples: DataFrame, dataset: str, strict: bool) -> DataFrame:
-    """``_KEYS, input_text``: the encoded time series. Blocks of channels meet by sample; a strict call allows none without."""
-    rows = channels.expanded(samples, _KEYS, dataset)
-    rows = rows.withColumn("block", render.encoded_channel(*(F.col(c) for c in ("channel", "sensor", "place", "rate")), F.col("x")))
-    rows = rows.filter(F.size(A.clean(F.col("x"))) > 0)
-    found = rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place_no", "block"))), lambda b: b["block"]).alias("_blocks"))
-    wide = samples.join(found, "sample_id", "left")
+def _encoded(samples: DataFrame, dataset: str, strict: bool, out: str = "input_text") -> DataFrame:
+    """``out``: the encoded time series, a block for each axis of each known channel; a strict call allows none without."""
+    names = [c for c in samples.columns if c != out]
+    rows = samples.withColumn("_channels", A.kept(channels.axes(F.col("signals"), dataset))).withColumn("_stats", render.supporting(F.col("_channels")))
     none = F.array().cast("array<string>")
     if strict:
         none = F.raise_error(F.concat(F.lit("no numeric channel in sample "), "sample_id")).cast("array<string>")
-    return wide.withColumn("input_text", render.encoded_text(F.coalesce("_blocks", none))).drop("_blocks")
+    blocks = F.when(F.size("_channels") > 0, F.zip_with("_channels", "_stats", render.encoded_channel)).otherwise(none)
+    return rows.withColumn("_blocks", blocks).select(*names, render.encoded_text(F.col("_blocks")).alias(out))
 
 
 def texts(samples: DataFrame, dataset: str, input_type: str, strict: bool = False, **extra) -> DataFrame:
@@ -118,21 +116,30 @@ def texts(samples: DataFrame, dataset: str, input_type: str, strict: bool = Fals
     elif kind == "encoded_time_series":
         out = _encoded(samples, dataset, strict)
     else:
-        out = samples.withColumn("input_text", features.feature_text(F.col("signals"), dataset))
+        out = features.with_feature_text(samples, dataset)
         if kind == "extra_knowledge":
             out = out.withColumn("input_text", knowledge.knowledge_text(F.col("input_text"), dataset, **extra))
     return out.withColumn("input_type", F.lit(kind)).drop("signals")
 
 
 def views(samples: DataFrame, dataset: str, input_types: list[str], **extra) -> DataFrame:
-    """All ways to put a sample into words in one row, ``input_views map<string,string>``; each way once, in the order given."""
+    """All ways to put a sample into words in one row, ``input_views map<string,string>``; each way once, in the order given.
+
+    The ways are columns of the sample's own row, so no view is joined; texts with knowledge start from the same
+    feature text as the plain one.
+    """
     kinds = list(dict.fromkeys(experiment.INPUTS[k.strip().lower().replace("-", "_")] for k in input_types))
-    out = samples
-    for k in kinds:
-        made = texts(samples.select(*_KEYS, "signals"), dataset, k, **(extra if k == "extra_knowledge" else {}))
-        out = out.join(made.select("sample_id", F.col("input_text").alias(f"_{k}")), "sample_id")
+    out, names = samples, [c for c in samples.columns if c != "signals"]
+    if {"feature_description", "extra_knowledge"} & {*kinds}:
+        out = features.with_feature_text(out, dataset, out="_feature_description")
+    if "extra_knowledge" in kinds:
+        out = out.withColumn("_extra_knowledge", knowledge.knowledge_text(F.col("_feature_description"), dataset, **extra))
+    if "raw_data" in kinds:
+        out = out.withColumn("_raw_data", render.raw_block(F.col("signals"), F.lit(dataset)))
+    if "encoded_time_series" in kinds:
+        out = _encoded(out, dataset, False, "_encoded_time_series")
     pairs = [c for k in kinds for c in (F.lit(k), F.col(f"_{k}"))]
-    return out.withColumn("input_views", F.create_map(*pairs)).drop("signals", *(f"_{k}" for k in kinds))
+    return out.select(*names, F.create_map(*pairs).alias("input_views"))
 
 
 def subjects_of(spark: SparkSession, dataset: str, root: str, rate: int = 64) -> list[str]:

@@ -104,10 +104,6 @@ def _other_text(signals) -> str:
     return "\n".join(["Input raw sequences:", *(lines or ["No numeric raw sensor channel was available."])])
 
 
-def _text(value: Column | str) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
-
-
 def channel_tag(name: Column, place: Column) -> Column:
     """``CHEST_EDA_CHANNEL`` of a channel at a place, ``EDA_CHANNEL`` where the place is unknown."""
     key = lambda c: F.upper(F.trim(F.translate(c, "- ", "__")))
@@ -115,15 +111,14 @@ def channel_tag(name: Column, place: Column) -> Column:
     return F.concat_ws("_", there, key(name), F.lit("CHANNEL"))
 
 
-def encoded_channel(name: Column | str, sensor: Column | str, place: Column | str, rate: Column | float | None, x: Column) -> Column:
-    """The tagged block of temporal patterns of one channel; ``x`` is a column, not an expression. ``rate``: Hz, null if unknown."""
-    name, sensor, place = map(_text, (name, sensor, place))
+def encoded_channel(channel: Column, stats: Column) -> Column:
+    """The tagged block of temporal patterns of one channel: ``struct<channel, sensor, place, rate, x>`` of finite values, its
+    rate in Hz, null if unknown; ``stats``: of :func:`supporting`."""
+    name, sensor, place, rate = (channel[k] for k in ("channel", "sensor", "place", "rate"))
     tag = channel_tag(name, place)
-    rate = rate if isinstance(rate, Column) else F.lit(rate).cast("double")
     whole = rate.cast("bigint")
     shown = F.when(rate == whole, whole.cast("string")).otherwise(rate.cast("string"))
     hz = F.coalesce(F.concat(shown, F.lit(" Hz")), F.lit("unknown"))
-    good = A.clean(x)
 
     def block(z: Column) -> Column:
         trend, parts = A.edge_trend(z), A.segment_trends(z)
@@ -153,26 +148,24 @@ def encoded_channel(name: Column | str, sensor: Column | str, place: Column | st
         ]
         return F.concat(*lines)
 
-    head = A.let(A.zscore(A.downsampled(good, 256), zeros=True), block)
-    return F.concat(head, _supporting(x), F.lit("\n</"), tag, F.lit(">"))
+    head = A.let(A.zscore(A.downsampled(channel["x"], 256), zeros=True), block)
+    return F.concat(head, stats, F.lit("\n</"), tag, F.lit(">"))
 
 
-def _supporting(x: Column) -> Column:
-    """Mean, std, min and max of the finite values with four significant digits."""
+def supporting(channels: Column) -> Column:
+    """Of each channel mean, std, min and max with four significant digits."""
 
-    @F.pandas_udf("string")
-    def show(arrays: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<string>")
+    def show(rows: pd.Series) -> pd.Series:
         import numpy as np
 
-        out = []
-        for a in arrays:
-            v = np.asarray([] if a is None else a, float)
-            v = v[np.isfinite(v)]
-            parts = (v.mean(), v.std(), v.min(), v.max()) if len(v) else (0.0,) * 4
-            out.append(", ".join(f"{k}{p:.4g}" for k, p in zip(("", "std=", "min=", "max="), parts)))
-        return pd.Series(out)
+        def line(x) -> str:
+            v = np.asarray(x, float)
+            return f"{v.mean():.4g}, std={v.std():.4g}, min={v.min():.4g}, max={v.max():.4g}"
+
+        return pd.Series([[line(c["x"]) for c in (row if row is not None else [])] for row in rows])
 
-    return show(x)
+    return show(channels)
 
 
 def encoded_text(blocks: Column) -> Column:

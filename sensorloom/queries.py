@@ -367,7 +367,7 @@ def q_feature_text(spark, sf):
     none = F.lit(None).cast("array<double>")
     other = lambda name, a: F.struct(F.lit(name).alias("name"), F.slice("x", a, 4).alias("x"), none.alias("y"), none.alias("z"))
     rows = windows1(spark, sf).select("vec_id", F.array(other("gyro_mag", 61), acc, other("light", 1)).cast(features.SIGNALS).alias("signals"))
-    return rows.select("vec_id", features.feature_text(F.col("signals"), "HHAR").alias("input_text"))
+    return features.with_feature_text(rows, "HHAR").select("vec_id", "input_text")
 
 
 def q_question_files(spark, sf):

@@ -2,6 +2,7 @@
 
 import json
 import pickle
+import re
 
 import numpy as np
 import pytest
@@ -43,7 +44,12 @@ def test_views_and_subsets(spark, tmp_path):
     assert samples.count() == 2 * store.load(spark, f"{out}/windows").count()
     own = store.load(spark, f"{out}/windows")
     rows = materialise.views(own, "HHAR", ["raw", "feature", "raw_data"]).collect()
-    assert all(sorted(r.input_views) == ["feature_description", "raw_data"] for r in rows) and len(rows) == own.count()
+    assert all(set(r.input_views) == {"raw_data", "feature_description"} for r in rows) and len(rows) == own.count()
+    whole = materialise.views(own, "HHAR", ["raw", "feature", "knowledge", "embedding"], text="More.")
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    alone = {k: {r.sample_id: r.input_text for r in materialise.texts(own, "HHAR", k, **({"text": "More."} if k == "knowledge" else {})).collect()} for k in ("raw", "feature", "knowledge", "embedding")}
+    for r in whole.collect():
+        assert r.input_views == {experiment.INPUTS[k]: alone[k][r.sample_id] for k in alone}
     made = materialise.save_subset(spark, [f"{out}/raw_data"], "debug", f"{out}/subsets")
     assert made.sample_count == 6 and made.source["subset"]["digest"] and made.label_distribution == {"0": 3, "1": 3}
     with pytest.raises(FileNotFoundError, match="incomplete"):
@@ -92,15 +98,106 @@ def test_command_line(spark, tmp_path, capsys):
     assert all("[External Knowledge]\nMore." in r.input_text for r in store.load(spark, f"{out}/texts").collect())
 
 
-def test_stress_features_have_their_names():
+def signals_frame(spark, rows):
+    """Rows of ``{name: axes}``."""
+    made = [(i, [(n, *(list(map(float, a)) for a in axes), *[None] * (3 - len(axes))) for n, axes in r.items()]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(made, f"i int, signals {features.SIGNALS}")
+
+
+def test_stress_features_have_their_names(spark):
     t = lambda r: np.arange(60 * r) / r
-    signals = {n: tuple(3 * np.sin(7 * t(r)) + np.sin(0.25 * 6.28 * t(r)) for _ in range(3 if k == "acc" else 1)) for n, k, r in dsp.STRESS}
-    got = dsp.stress_features(signals)
+    signals = {n: tuple(3 * np.sin(7 * t(r)) + np.sin(0.25 * 6.28 * t(r)) + j for j in range(3 if k == "acc" else 1)) for n, k, r in dsp.STRESS}
+    rows = [signals, {"chest_ecg": ([],)}, {"chest_acc": ([1.0],) * 3}, {"wrist_acc": ([1.0] * 20, [1.0] * 20, [1.0] * 19), "odd": ([1.0],)}, {}]
+    got, ecg, short, uneven, none = (r.f for r in features.with_stress_features(signals_frame(spark, rows), out="f").orderBy("i").collect())
     per = {"acc": dsp.ACC, "ecg": dsp.HRV_TIME + dsp.HRV_POWER, "bvp": dsp.HRV_TIME + dsp.HRV_POWER, "eda": dsp.EDA, "emg": dsp.EMG, "resp": dsp.RESP, "temp": dsp.TEMP}
-    assert list(got) == [f"{n.split('_')[0]}_{f}" for n, k, _ in dsp.STRESS for f in per[k]]
+    assert set(got) == {f"{n.split('_')[0]}_{f}" for n, k, _ in dsp.STRESS for f in per[k]}
+    text = features.with_feature_text(signals_frame(spark, rows[:1]), "WESAD").first().input_text
+    assert re.findall(r"(\w+)=", text) == [f"{n.split('_')[0]}_{f}" for n, k, _ in dsp.STRESS for f in per[k]]
     assert got["chest_resp_rate"] == pytest.approx(15, abs=0.5) and got["wrist_acc_x_peak_freq"] == pytest.approx(7 / 6.28, abs=0.3)
-    assert dsp.stress_features({"chest_ecg": ([],)}) == {} and set(dsp.stress_features({"chest_acc": ([1.0], [1.0], [1.0])}).values()) == {None}
-    assert "feature" in features.stress_text({}) and "unavailable" in features.stress_text({"chest_hr_mean": None, "odd": 1.0})
+    assert ecg == none == {} and set(short.values()) == {None} and len(short) == len(dsp.ACC) and set(uneven.values()) == {None}
+    x, y, z = (dsp.centre(np.array(a), 5 * 32) for a in signals["wrist_acc"])
+    size = np.sqrt(x**2 + y**2 + z**2)
+    area = lambda v: dsp.trapezoid(np.abs(v), np.arange(len(v)) / 32)
+    want = {"y_mean": y.mean(), "z_std": z.std(), "x_abs_int": area(x), "y_peak_freq": dsp.peak_frequency(y, 32), "3d_mean": size.mean(), "3d_std": size.std(), "3d_abs_int": area(size)}
+    assert all(got[f"wrist_acc_{k}"] == pytest.approx(v) for k, v in want.items())
+    v = np.array(signals["chest_temp"][0])
+    want = {"mean": v.mean(), "std": v.std(), "min": v.min(), "max": v.max(), "range": np.ptp(v), "slope": np.polyfit(t(700), v, 1)[0]}
+    assert all(got[f"chest_temp_{k}"] == pytest.approx(w) for k, w in want.items())
+
+
+def test_stress_texts(spark):
+    values = {"chest_hr_mean": None, "odd": 1.0, "chest_acc_x_mean": 0.00012345, "chest_acc_y_mean": 1e9} | {f"wrist_eda_{i}": float(i) for i in range(5)}
+    df = spark.createDataFrame([(0, list(values), list(values.values())), (1, [], []), (2, None, None)], "i int, k array<string>, v array<double>").orderBy("i")
+    df = df.select("i", F.map_from_arrays("k", "v").alias("f"))  # a map from Python has no order
+    got, empty, null = (r[0] for r in df.withColumn("s", features.printed_values(F.col("f"))).select(features.stress_text(F.col("s"))).collect())
+    assert got.splitlines() == [
+        features.TITLES["WESAD"], "", "Chest ACC:", "- chest_acc_x_mean=0.0001234, chest_acc_y_mean=1e+09", "", "Chest ECG/HRV:", "- chest_hr_mean=unavailable due to insufficient signal", "",
+        "Wrist EDA/SCR:", "- wrist_eda_0=0, wrist_eda_1=1, wrist_eda_2=2, wrist_eda_3=3", "- wrist_eda_4=4", "", "Other:", "- odd=1",
+    ]
+    assert empty == null == f"{features.TITLES['WESAD']}\n- no WESAD signal features available"
+
+
+def sleep_cues(signals):
+    """The cues by NumPy: of the first channel of a name, or else whose name holds it."""
+    out = {}
+    key = lambda n: n.replace("-", "_").replace(" ", "_").strip().lower()
+
+    def first(*names):
+        hits = [s for n in names for k, s in signals.items() if key(k) == n] + [s for k, s in signals.items() if any(n in key(k) for n in names)]
+        flats = [np.ravel(s, "F") if len({*map(len, s)}) == 1 else np.concatenate(s) for s in hits]
+        return next((np.asarray(f, float) for f in flats if len(f)), None)
+
+    axes = [first(*(f"{p}_{k}" for p in ("acc", "accelerometer", "actigraphy"))) for k in "xyz"]
+    n = 0 if any(a is None for a in axes) else min(map(len, axes))
+    series = {"acc_magnitude": np.sqrt(sum(a[:n] ** 2 for a in axes)) if n else first("actigraphy", "activity", "motion")}
+    series |= {p: first(*names) for p, names, _ in features._CUES}
+    for p, x in series.items():
+        if x is None:
+            continue
+        out |= {f"{p}_mean": x.mean(), f"{p}_std": x.std(), f"{p}_range": np.ptp(x)}
+        if p not in ("acc_magnitude", "ibi") and len(x) > 1:
+            out[f"{p}_slope"] = np.polyfit(np.arange(len(x)), x, 1)[0]
+        if p == "acc_magnitude":
+            d = np.abs(np.diff(x))
+            limit = np.median(d) + d.std() if len(d) else 0
+            far = d > (limit if limit > 0 else 1e-8)
+            out |= {"movement_count": far.sum(), "stillness_ratio": 1 - far.mean() if len(d) else 1.0}
+        if p == "ibi" and len(x) > 1:
+            out["ibi_rmssd"] = np.sqrt((np.diff(x) ** 2).mean())
+        if p in ("bvp", "eda"):
+            out[f"{p}_peak_count"] = ((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:]) & (x[1:-1] > x.mean() + x.std())).sum()
+    return dict(sorted(out.items()))
+
+
+def test_sleep_cues_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    v = lambda n: rng.normal(size=n)
+    rows = [
+        {"acc_x": (v(20),), "acc_y": (v(18),), "acc_z": (v(20),), "HR": (v(9),), "ibi": (v(7),), "bvp": (v(60),), "eda": (v(40),), "skin-temp": (v(5),)},
+        {"actigraphy": (v(1),), "my hr": (v(1),), "ibi raw": (v(1),), "gsr": (v(2),)}, {"acc": (v(6), v(6), v(6)), "temperature": ([],), "temp 2": (v(3),), "ppg_a": (v(4), v(4), v(4)), "pulse": (v(3), v(2), v(1))},
+        {"heart rate": ([1.0] * 5,), "motion": ([2.0] * 6,)}, {"other": (v(3),)},
+    ]
+    got = [[(c.name, c.value) for c in r.c] for r in signals_frame(spark, rows).orderBy("i").select(features.sleep_features(F.col("signals")).alias("c")).collect()]
+    for have, signals in zip(got, rows):
+        want = sleep_cues(signals)
+        assert [k for k, _ in have] == list(want) and np.allclose([x for _, x in have], list(want.values()), atol=1e-9)
+
+
+def test_feature_texts(spark):
+    rows = [{"light": ([1.0, 2.0],), "acc": ([3.0, 4.0],) * 3, "gyro_mag": ([],), "x": ([0.0625],)}, {}, {"odd": ([1.0],)}]
+    df = signals_frame(spark, rows).orderBy("i")
+    motion = [r.input_text for r in features.with_feature_text(df, "hhar").collect()]
+    plain = [r.input_text for r in features.with_feature_text(df).collect()]
+    one = lambda n, a, s, lo, hi, p, q, t: f"- {n}: mean={a}, std={s}, min={lo}, max={hi}, p25={p}, p75={q}, trend={t}"
+    acc = [one(f"acc_{k}", "3.500", "0.500", "3.000", "4.000", "3.250", "3.750", "increasing") for k in "xyz"]
+    size = one("acc_magnitude", "6.062", "0.866", "5.196", "6.928", "5.629", "6.495", "increasing")
+    gone = one("gyro_mag", *["unavailable due to insufficient signal"] * 6, "empty")
+    x = one("x", "0.062", "0.000", "0.062", "0.062", "0.062", "0.062", "relatively stable")
+    assert motion[0].splitlines() == [features.TITLES["HHAR"], "", "Accelerometer:", *acc, size, x, "", "Gyroscope:", gone]
+    assert plain[0].splitlines() == [features.TITLE, *acc, size, gone, one("light", "1.500", "0.500", "1.000", "2.000", "1.250", "1.750", "increasing"), x]
+    assert motion[1] == motion[2] == f"{features.TITLES['HHAR']}\n- no numeric signals available" and plain[1].endswith("- no numeric signals available")
+    with pytest.raises(Exception, match="no wearable sleep signal among: odd"):
+        features.with_feature_text(df.filter("i = 2"), "DREAMT").collect()
 
 
 def test_resampling_keeps_tones():

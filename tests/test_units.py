@@ -161,7 +161,7 @@ def test_heart_rate():
     pulse = np.exp(-(((t * bpm / 60) % 1 - 0.5) ** 2) / 0.01)
     assert dsp.cardiac_features(pulse, rate, "bvp")["hr_mean"] == pytest.approx(bpm, abs=1.5)
     assert set(dsp.cardiac_features(pulse[:100], rate, "bvp").values()) == {None}
-    for f in (dsp.eda_features, dsp.emg_features, dsp.resp_features, dsp.temp_features):
+    for f in (dsp.eda_features, dsp.emg_features, dsp.resp_features):
         assert set(f([], 64.0).values()) == {None}
         assert any(v is not None for v in f(pulse + t / 100, 64.0).values())
 
@@ -298,8 +298,8 @@ def test_rendering(spark):
     text = df.select(render.raw_block(F.col("s"), F.lit("HHAR"))).first()[0]
     assert text.split("\n")[0] == "Input raw sequences:" and text.index("acc = {") < text.index("eda = [") and len(json.loads(text.split("eda = ")[1])) == 48
     assert "chest_ecg = []" in df.select(render.raw_block(F.col("s"), F.lit("WESAD"))).first()[0]
-    one_channel = spark.createDataFrame([(x,)], "x array<double>")
-    block = one_channel.select(render.encoded_channel("EDA", "EDA", "wrist", 4.0, F.col("x")).alias("b")).first().b
+    one_channel = spark.createDataFrame([([("EDA", "EDA", "wrist", 4.0, x)],)], "c array<struct<channel:string,sensor:string,place:string,rate:double,x:array<double>>>")
+    block = one_channel.withColumn("s", render.supporting(F.col("c"))).select(F.zip_with("c", "s", render.encoded_channel).alias("b")).first().b[0]
     assert block.startswith("<WRIST_EDA_CHANNEL>") and "Sampling rate: 4 Hz" in block and block.endswith("</WRIST_EDA_CHANNEL>")
     with pytest.raises(ValueError):
         render.with_knowledge(F.lit("x"), " ")
