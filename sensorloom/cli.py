@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from .operators import metrics
 from .plans import experiment, materialise
 from .plans.scorer import Client, MockScorer
-from .sources import store
+from .sources import recordings, store
 
 
 def main(args: list[str] | None = None) -> int:
@@ -22,6 +22,8 @@ def main(args: list[str] | None = None) -> int:
     r.add_argument("--out", required=True)
     r.add_argument("--base-url", help="an OpenAI-compatible endpoint; a mock scorer without it")
     r.add_argument("--model", default="")
+    r.add_argument("--train-cache", help="the cache of few-shot examples; that of --cache without it")
+    r.add_argument("--gpu-csv", help="telemetry of the run's machine, for its cost profile")
     sub.add_parser("matrix", help="list all experiments")
     c = sub.add_parser("count", help="count the samples of a cache by subject and label")
     c.add_argument("--cache", required=True)
@@ -70,16 +72,26 @@ def main(args: list[str] | None = None) -> int:
     if a.command == "subset":
         print(json.dumps({"samples": materialise.save_subset(spark, a.cache, a.level, a.out, a.seed, a.overwrite).sample_count}))
         return 0
-    call = Client(a.base_url, a.model) if a.base_url else MockScorer()
+    telemetry = recordings.gpu_summary(recordings.read_gpu(spark, a.gpu_csv)) if a.gpu_csv else None
     for config in experiment.expanded(experiment.load_config(a.config)):
         e = experiment.Experiment(**config)
         made = store.load_manifest(spark, a.cache)
         store.validate(made, e.dataset, e.input, {})
-        rows = store.load(spark, a.cache, e.test_subjects, e.labels)
-        predictions, scores = experiment.run(e, rows, call, f"{a.out}/{e.name}")
+        train, test = e.resolved_subjects(made.subjects)
+        rows = store.load(spark, a.cache, test, e.labels)
+        # examples that leave the evaluated subject out may come from any other
+        own = train if e.example_selection == "class_balanced" else None
+        pool = store.load(spark, a.train_cache or a.cache, own, e.labels) if e.usage == "few_shot" else None
+        call = Client(a.base_url, a.model, **e.client) if a.base_url else MockScorer()
+        predictions, scores = experiment.run(e, rows, call, f"{a.out}/{e.name}", pool)
         predictions.write.mode("overwrite").parquet(f"{a.out}/{e.name}/predictions")
-        store.write_json(scores.first().asDict() | {"run": e.name}, f"{a.out}/{e.name}_metrics.json")
-        print(json.dumps({"run": e.name, "accuracy": scores.first()["accuracy"]}))
+        usage = metrics.usage_summary(metrics.folded_usage(spark.read.parquet(f"{a.out}/{e.name}/predictions"), "sample_id"))
+        if e.cost:
+            usage = metrics.with_cost(usage, "total_prompt_tokens", "total_completion_tokens", e.cost.get("input", 0.0), e.cost.get("output", 0.0))
+            usage = metrics.with_scaling(usage, e.cost.get("samples", made.sample_count))
+        found = metrics.cost_profile(usage, scores, telemetry).first().asDict()
+        store.write_json(found | {"run": e.name}, f"{a.out}/{e.name}_metrics.json")
+        print(json.dumps({"run": e.name, "accuracy": found["accuracy"]}))
     return 0
 
 

@@ -95,6 +95,27 @@ def with_scaling(summary: DataFrame, planned: int) -> DataFrame:
     })
 
 
+# Names of telemetry in a cost profile, and the columns of a summary of telemetry.
+TELEMETRY = {
+    "average_gpu_utilization_pct": "avg_utilization_gpu", "max_gpu_utilization_pct": "max_utilization_gpu",
+    "average_memory_utilization_pct": "avg_utilization_memory", "max_memory_utilization_pct": "max_utilization_memory",
+    "average_memory_used_mib": "avg_memory_used", "max_memory_used_mib": "max_memory_used", "memory_total_mib": "max_memory_total",
+    "average_power_w": "avg_power_draw", "max_power_w": "max_power_draw",
+}
+
+
+def cost_profile(usage: DataFrame, scores: DataFrame, telemetry: DataFrame | None = None) -> DataFrame:
+    """One row: a run's scores, its usage (with cost and scaling, if there), and the telemetry of its machine.
+
+    Each side is one row already (aggregates), so their product is one.
+    """
+    out = scores.crossJoin(usage)
+    if telemetry is None:
+        return out
+    named = [F.col(c).alias(k) for k, c in TELEMETRY.items()]
+    return out.crossJoin(telemetry.select(*(["gpu_samples"] if "gpu_samples" in telemetry.columns else []), *named))
+
+
 def majority(votes: DataFrame, sample: str, vote: str, labels: list[int]) -> DataFrame:
     """The label with most votes; null on a tie. Samples without valid votes are absent."""
     counts = votes.filter(F.col(vote).isin(labels)).groupBy(sample, vote).agg(F.count(F.lit(1)).alias("n"))

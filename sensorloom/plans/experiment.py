@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import answers, metrics, sampling
+from ..operators import answers, fingerprints, metrics, sampling
 from . import agents, prompts
 from .scorer import raise_on_failures, scored
 
@@ -22,6 +22,10 @@ INPUTS = {
 }
 USAGES = ("direct", "few_shot", "multi_agent")
 OUTPUTS = {"label": "label_only", "label_only": "label_only", "label_explanation": "label_explanation"}
+SELECTIONS = {
+    "leave_one_subject_out": "leave_one_subject_out", "loo": "leave_one_subject_out", "subject_loo": "leave_one_subject_out",
+    "class_balanced": "class_balanced", "label_balanced": "class_balanced", "legacy": "class_balanced",
+}
 DATASETS = {
     "WESAD": {"labels": [0, 1], "loader_kwargs": {"physiology_window_sec": 60.0, "acc_window_sec": 5.0, "stride_sec": 60.0}},
     "HHAR": {"labels": [0, 1], "loader_kwargs": {"window_size": 20, "stride_size": 10, "sampling_rate": 10.0, "min_samples_per_window": 10, "max_gap_sec": 5.0, "include_gyroscope": True}},
@@ -43,11 +47,12 @@ class Experiment:
     labels: list[int] = field(default_factory=list)
     train_subjects: list[str] | None = None
     test_subjects: list[str] | None = None
+    subjects: list[str] | None = None
     subject_split: str = "subject_independent"
     example_selection: str = "leave_one_subject_out"
     example_subjects: int = 3
-    examples_per_class: int = 1
-    example_max_chars: int | None = 800
+    examples_per_class: int | None = None
+    example_max_chars: int | None = -1
     seed: int = 42
     balanced_per_label: int | None = None
     per_subject_limit: int | None = None
@@ -62,6 +67,13 @@ class Experiment:
         for name, value, known in (("dataset", self.dataset, DATASETS), ("input", self.input, INPUTS.values()), ("usage", self.usage, USAGES), ("output", self.output, OUTPUTS.values())):
             if value not in known:
                 raise ValueError(f"unknown {name}: {value!r}")
+        if self.examples_per_class is None:
+            self.examples_per_class = 1 if self.long else 2
+        if self.example_max_chars is not None and self.example_max_chars < 0:
+            self.example_max_chars = 800 if self.long else None
+        self.example_selection = SELECTIONS.get(key(self.example_selection), "")
+        if not self.example_selection:
+            raise ValueError(f"unknown selection of examples; known: {', '.join(sorted(SELECTIONS))}")
         if self.usage == "few_shot" and (self.example_subjects < 1 or self.examples_per_class < 1):
             raise ValueError("few-shot needs at least one example subject and one example per class")
         self.labels = list(self.labels or DATASETS[self.dataset]["labels"])
@@ -70,6 +82,34 @@ class Experiment:
     def name(self) -> str:
         return f"{self.dataset}_{self.input}_{self.usage}_{self.output}".lower()
 
+    @property
+    def long(self) -> bool:
+        """Whether inputs are long: fewer and shorter examples, more time."""
+        return self.input != "feature_description"
+
+    @property
+    def client(self) -> dict:
+        """What a client is given: seconds a call may take, and tokens of an answer."""
+        return {"timeout": 1200.0 if self.usage == "multi_agent" else 600.0 if self.long else 300.0, "max_tokens": 256 if self.explain else 128}
+
+    def resolved_subjects(self, available: list[str]) -> tuple[list[str] | None, list[str] | None]:
+        """Train and test subjects of a run; None is all.
+
+        Independent subjects: lists that share none, a missing one completed from ``subjects`` or all available;
+        direct and multi-agent runs may name ``subjects`` alone. ``all``: no split, but for few-shot runs whose
+        examples are the same for all samples.
+        """
+        apart = self.usage == "few_shot" and self.example_selection == "class_balanced"
+        if self.subject_split not in ("all", "subject_independent"):
+            raise ValueError(f"unknown split of subjects: {self.subject_split!r}")
+        whole = self.subject_split == "all" and not apart
+        if whole or (self.subject_split != "all" and self.usage != "few_shot" and self.subjects and not self.test_subjects):
+            return self.train_subjects, self.subjects
+        train, test = sampling.split_subjects(self.subjects or available, self.train_subjects, self.test_subjects)
+        if not test or (apart and not train):
+            raise ValueError("a split needs subjects on both sides")
+        return train, test
+
     @property
     def explain(self) -> bool:
         return self.output == "label_explanation"
@@ -146,16 +186,18 @@ def run(e: Experiment, samples: DataFrame, call, root: str, pool: DataFrame | No
 
 
 def _few_shot(e: Experiment, rows: DataFrame, pool: DataFrame) -> DataFrame:
-    n = e.examples_per_class
+    n, shown = e.examples_per_class, (e.dataset, e.example_max_chars, e.explain)
+    pool = pool if "dataset" in pool.columns else pool.withColumn("dataset", F.lit(e.dataset))
     if e.example_selection == "class_balanced":
-        shots = sampling.label_balanced(pool, "label", n, e.seed, "sample_id").withColumn("_g", F.lit(0)).withColumn("_o", sampling.stable_hash(e.seed, "class-balanced-output", F.col("sample_id")))
-        blocks = prompts.example_blocks(shots, "_g", ["_o", "sample_id"], "input_text", "label", e.dataset, e.example_max_chars, e.explain)
-        return prompts.few_shot(rows.withColumn("_one", F.lit(0)), blocks, "_one", "_g", e.dataset, e.labels, e.input, e.explain).drop("_one")
+        shots = fingerprints.class_balanced(pool, "label", e.labels, n, e.seed).withColumn("_g", F.lit(0))
+        blocks = prompts.example_blocks(shots, "_g", ["place"], "input_text", "label", *shown)
+        only = blocks.select("examples").first()["examples"]  # the same few examples for every sample
+        return prompts.few_shot_with(rows, only, e.dataset, e.labels, e.input, e.explain)
     good = sampling.complete_subjects(pool, "subject", "label", e.labels, n)
     found = sampling.other_subjects(rows.select("subject").distinct(), good, "subject", e.example_subjects, e.seed)
     few = found.groupBy("eval_subject").count().filter(F.col("count") < e.example_subjects)
     if few.limit(1).count() or good.limit(e.example_subjects + 1).count() < e.example_subjects:
         raise sampling.Shortage(f"fewer than {e.example_subjects} other subjects with {n} examples of every label")
-    shots = sampling.examples(found, pool, "subject", "label", "sample_id", n, e.seed).join(pool.select("sample_id", "input_text"), "sample_id")
-    blocks = prompts.example_blocks(shots, "eval_subject", ["subject_rank", "label", "rn"], "input_text", "label", e.dataset, e.example_max_chars, e.explain)
+    shots = fingerprints.leave_one_out(found, pool.filter(F.col("label").isin(e.labels)), "subject", "label", n, e.seed)
+    blocks = prompts.example_blocks(shots, "eval_subject", ["subject_rank", "label", "rn"], "input_text", "label", *shown)
     return prompts.few_shot(rows, blocks, "subject", "eval_subject", e.dataset, e.labels, e.input, e.explain)

@@ -160,3 +160,9 @@ def few_shot(samples: DataFrame, blocks: DataFrame, subject: str, group: str, da
     head, middle, tail = few_shot_parts(dataset, labels, input_name, explain)
     joined = samples.join(blocks, F.col(subject) == F.col(group))
     return joined.withColumn("prompt", F.concat(F.lit(head), F.col("examples"), F.lit(middle), F.col("input_text"), F.lit(tail))).drop("examples", group)
+
+
+def few_shot_with(samples: DataFrame, examples: str, dataset: str, labels: list[int], input_name: str, explain: bool = False) -> DataFrame:
+    """``samples`` with ``prompt``: all with the same examples."""
+    head, middle, tail = few_shot_parts(dataset, labels, input_name, explain)
+    return samples.withColumn("prompt", F.concat(F.lit(head + examples + middle), F.col("input_text"), F.lit(tail)))

@@ -302,7 +302,7 @@ def read_gpu(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gpu_summary(df: DataFrame) -> DataFrame:
-    return df.agg(*(f(c).alias(f"{n}_{c}") for c in df.columns for n, f in (("avg", F.avg), ("max", F.max))))
+    return df.agg(F.count(F.lit(1)).alias("gpu_samples"), *(f(c).alias(f"{n}_{c}") for c in df.columns for n, f in (("avg", F.avg), ("max", F.max))))
 
 
 def read_trainer_state(spark: SparkSession, path: str) -> DataFrame:
