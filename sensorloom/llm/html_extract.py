@@ -262,6 +262,8 @@ class Page:
                 self.stack[-1].content.append(str(content))
 
     def _end_implied(self, tags: set[str]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[i].tag
             if tag in tags:
