@@ -81,9 +81,10 @@ def sleep_samples(spark: SparkSession, root: str, rate: int = 64, subjects: list
 
 
 def stress_samples(spark: SparkSession, root: str, subjects: list[str] | None = None, **settings) -> DataFrame:
-    """Windows of stress recordings below ``root``. The unpickled long form is written once."""
+    """Windows of stress recordings below ``root``. The unpickled long form is written once, by channel, and each channel
+    reads its own."""
     signals, labels = recordings.read_stress(spark, root, subjects)
-    w = recordings.stress_windows(persist(signals, "stress-signals"), persist(labels, "stress-labels"), **settings)
+    w = recordings.stress_windows(persist(signals, "stress-signals", by=["channel"]), persist(labels, "stress-labels"), **settings)
     axis = lambda a: F.first(F.when(F.coalesce("axis", F.lit("x")) == a, F.col("values")), True).alias(a)
     by = w.groupBy("subject", "label", "centre", "channel").agg(*(axis(a) for a in "xyz"))
     signal = F.struct(F.col("channel").alias("name"), "x", "y", "z")

@@ -36,14 +36,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return name
 
 
-def persist(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def persist(df: DataFrame, tag: str, compression: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there.
 
-    Lost executors then cost the later stages nothing that was written before.
+    Lost executors then cost the later stages nothing that was written before. ``by``: columns whose values get
+    folders of their own, so that filters on them leave the others unread.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression, partitionBy=by)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.select(*(f"`{c}`" for c in df.columns)) if by else out  # such columns come last
 
 
 def partition_offsets(totals: DataFrame, key: str, value: str) -> DataFrame:
