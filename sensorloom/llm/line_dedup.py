@@ -19,8 +19,9 @@ Lines are compared as written. Column expressions only; texts are read twice and
 all where few documents change.
 
 A run that repeats inside longer lines, or with other line breaks, shares no whole line. :func:`dedup_runs`
-winnows what is left once more with words for lines: of each window of ``least`` words the smallest hash of
-``least`` / 4 neighbouring words is the fingerprint, and the other steps are the same.
+winnows what is left once more with words for lines: the fingerprint of a window of ``least`` words is
+``least`` / 4 neighbouring words, the leftmost that begin with an anchor (a word whose hash is 0 in a few bits), or
+those with the smallest hash. The other steps are the same, but windows of one fingerprint are compared together first.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import SPACE_CLASS, SPACES, WORD, let, row_key, stable, with_small,
 #: Least words of a run that is worth deleting.
 LEAST = 50
 _FEW = 500_000  # windows, of 8 bytes, that may be broadcast
+_ANCHORS = 8  # one word in so many is a fingerprint of its own
+_PRINTS = "array<struct<first:int,last:int,print:bigint>>"
 
 
 def persist(df: DataFrame, tag: str) -> DataFrame:
@@ -198,9 +201,9 @@ def _over(x: Column, n: int, join: Callable[..., Column]) -> Column:
     return x
 
 
-def _word_prints(words: Column, least: int) -> Column:
-    """Fingerprints as ``array<struct<first, last, print>>``, with the windows (by first word) that have each."""
-    none = F.array().cast("array<struct<first:int,last:int,print:bigint>>")
+def _gram_prints(words: Column, least: int) -> Column:
+    """Fingerprints of all windows of ``words``: the least hash of grams, at its leftmost place."""
+    none = F.array().cast(_PRINTS)
     gram = max(least // 4, 1)
 
     def runs(x: Column) -> Column:
@@ -218,33 +221,85 @@ def _word_prints(words: Column, least: int) -> Column:
     return let(words, prints)
 
 
+def _word_prints(words: Column, least: int) -> Column:
+    """Fingerprints as ``array<struct<first, last, print>>``, with the windows (by first word) that have each.
+
+    The hash that is minimised is 0 at one word in ``_ANCHORS``, so the leftmost such word of a window is its
+    minimum and no minima need be taken; only stretches without such a word, of a window or more, take those of
+    all their grams.
+    """
+    none = F.array().cast(_PRINTS)
+    gram = max(least // 4, 1)
+    reach = least - gram  # how far from a window's start a gram inside it can begin
+
+    def all_prints(w: Column, at: Column) -> Column:
+        n = F.size(w)
+        before = lambda j: F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1
+        named = lambda p: F.xxhash64(*(F.get(w, p + k) for k in range(gram)))
+        one = lambda p, j: F.struct(F.greatest(before(j), p - reach).alias("first"), F.least(p, n - least).alias("last"), named(p).alias("print"))
+        held = F.filter(F.transform(at, one), lambda s: s["first"] <= s["last"])
+        until = lambda j: F.coalesce(F.least(F.get(at, j) - reach - 1, n - least), n - least)
+        gaps = F.transform(F.sequence(F.lit(0), F.size(at)), lambda _, j: F.struct(before(j).alias("first"), until(j).alias("last")))
+        gaps = F.filter(gaps, lambda g: g["first"] <= g["last"])
+
+        def inside(g: Column) -> Column:
+            moved = lambda s: F.struct((s["first"] + g["first"]).alias("first"), (s["last"] + g["first"]).alias("last"), s["print"].alias("print"))
+            return F.transform(_gram_prints(_part(w, g["first"], g["last"] - g["first"] + least), least), moved)
+
+        return F.concat(held, F.flatten(F.transform(gaps, inside)))
+
+    def prints(w: Column) -> Column:
+        anchors = F.filter(F.sequence(F.lit(0), F.size(w) - gram), lambda i: F.pmod(F.xxhash64(F.get(w, i)), F.lit(_ANCHORS)) == 0)
+        return F.when(F.size(w) >= least, let(anchors, lambda at: all_prints(w, at))).otherwise(none)
+
+    return let(words, prints)
+
+
+def _content(words: Column, start: Column, n: Column, least: int) -> Column:
+    """``n`` words from ``start`` as two independent hashes."""
+    return let(_part(words, start, n), lambda x: F.struct(F.xxhash64(x).alias("c1"), F.xxhash64(F.lit(least), x).alias("c2")))
+
+
 def _later_words(rows: DataFrame, least: int) -> DataFrame:
-    """``(row, gone)``: runs of words to delete, as (start, end), in order and apart. ``rows(_id, _row, _text)``."""
+    """``(row, gone)``: runs of words to delete, as (start, end), in order and apart. ``rows(_id, _row, _text)``.
+
+    The windows of one fingerprint make a *span*. Spans are compared whole first: where an equal span stands in
+    an earlier row, all its windows do. Single windows are compared only for the first row of each content, and there
+    only where its fingerprint has other contents too, or the row repeats it: the first occurrence of any window
+    lies in such a span, as those of one span differ from each other.
+    """
     rows = rows.filter(F.length("_text") >= 2 * least - 1)
     prints = persist(rows.select("_row", F.inline(_word_prints(words_of(F.col("_text")), least))), "word-prints")
     shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
-    met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("met"))
-    half = math.isqrt(least - 1) + 1
-
-    def named(w: Column) -> Column:
-        hashed = lambda *seed: _over(F.transform(w, lambda x: F.xxhash64(*seed, x)), half, F.xxhash64)
-        return F.struct(hashed().alias("c1"), hashed(F.lit(least)).alias("c2"))
-
-    def extended(c: Column) -> Column:
-        whole = lambda x, i: _at(x, i, _offsets(least, half), F.xxhash64)
-        one = lambda i: F.struct(i.alias("start"), whole(c["c1"], i).alias("c1"), whole(c["c2"], i).alias("c2"))
-        return F.flatten(F.transform("met", lambda r: F.transform(F.sequence(r["first"], r["last"]), one)))
+    met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "print")).alias("met"))
 
     close = with_small(rows, persist(met, "met"), "_row", "inner", _FEW, F.size("met"))
-    windows = let(let(words_of(F.col("_text")), named), extended)
-    found = persist(close.select("_id", "_row", F.inline(windows)), "word-windows")
+    span = lambda w: lambda s: F.struct(s["first"].alias("start"), s["last"].alias("last"), s["print"].alias("print"), _content(w, s["first"], s["last"] - s["first"] + least, least).alias("c"))
+    spans = close.select("_id", "_row", F.inline(let(words_of(F.col("_text")), lambda w: F.transform("met", span(w)))))
+    spans = persist(spans.select("_id", "_row", "start", "last", "print", "c.c1", "c.c2"), "word-spans")
+
+    key = ["print", "c1", "c2"]
+    by_row = spans.groupBy(*key, "_id", "_row").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("own"))
+    contents = by_row.groupBy(*key).agg(F.min(F.struct("_id", "_row", "own")).alias("first"), F.sum("own").alias("n"))
+    contents = persist(contents.select(*key, F.col("first._row").alias("home"), F.col("first.own").alias("own"), "n"), "contents")
+    mixed = contents.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("print", F.lit(True).alias("mixed"))
+    told = contents.join(persist(mixed, "mixed"), "print", "left").filter("n > 1 or mixed")
+    told = persist(told.select(*key, "home", (F.col("mixed").isNotNull() | (F.col("own") > 1)).alias("single")), "told")
+    judged = persist(spans.join(told, key).filter("_row <> home or single"), "judged")
+    whole = judged.filter("_row <> home").select("_row", "start", (F.col("last") + least).alias("end"))
+
+    asked = judged.filter("_row = home").groupBy("_row").agg(F.collect_list(F.struct("start", "last")).alias("asked"))
+    near = with_small(rows, persist(asked, "asked"), "_row", "inner", _FEW, F.size("asked"))
+    one = lambda w: lambda i: F.struct(i.alias("start"), _content(w, i, F.lit(least), least).alias("c"))
+    windows = let(words_of(F.col("_text")), lambda w: F.flatten(F.transform("asked", lambda s: F.transform(F.sequence(s["start"], s["last"]), one(w)))))
+    found = persist(near.select("_id", "_row", F.inline(windows)).select("_id", "_row", "start", "c.c1", "c.c2"), "word-windows")
     spot = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start"))
     first = found.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     later = found.join(persist(first.drop("n"), "first"), ["c1", "c2"]).filter(spot > F.col("first"))
     # the first occurrence stays whole, as with lines
     same = (F.col("_row") == F.col("first.row")) & (F.col("start") < F.col("first.start") + least)
     begin = F.when(same, F.col("first.start") + least).otherwise(F.col("start"))
-    later = later.select("_row", begin.alias("start"), (F.col("start") + least).alias("end"))
+    later = later.select("_row", begin.alias("start"), (F.col("start") + least).alias("end")).unionByName(whole)
     # overlapping windows become one run
     w = Window.partitionBy("_row").orderBy("start", "end")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
