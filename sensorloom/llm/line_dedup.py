@@ -39,7 +39,7 @@ from .common import SPACE_CLASS, SPACES, WORD, let, row_key, stable, with_small,
 LEAST = 50
 _FEW = 500_000  # windows, of 8 bytes, that may be broadcast
 _ANCHORS = 8  # one word in so many is a fingerprint of its own
-_PRINTS = "array<struct<first:int,last:int,print:bigint>>"
+_PRINTS = "array<struct<first:int,last:int,place:int,print:bigint>>"
 
 
 def persist(df: DataFrame, tag: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _over(x: Column, n: int, join: Callable[..., Column]) -> Column:
 
 
 def _gram_prints(words: Column, least: int) -> Column:
-    """Fingerprints of all windows of ``words``: the least hash of grams, at its leftmost place."""
+    """Fingerprints of all windows of ``words``: the least hash of grams, at its leftmost place (-1: it is not told)."""
     none = F.array().cast(_PRINTS)
     gram = max(least // 4, 1)
 
@@ -211,7 +211,7 @@ def _gram_prints(words: Column, least: int) -> Column:
         new = lambda i: (i == 0) | (F.get(x["least"], i) != F.get(x["least"], i - 1)) | (F.get(x["grams"], i - 1) == F.get(x["least"], i - 1))
         at = F.filter(F.sequence(F.lit(0), x["n"] - least), new)
         last = lambda a, j: F.coalesce(F.get(a, j + 1) - 1, x["n"] - least)
-        return let(at, lambda a: F.transform(a, lambda i, j: F.struct(i.alias("first"), last(a, j).alias("last"), F.get(x["least"], i).alias("print"))))
+        return let(at, lambda a: F.transform(a, lambda i, j: F.struct(i.alias("first"), last(a, j).alias("last"), F.lit(-1).alias("place"), F.get(x["least"], i).alias("print"))))
 
     def prints(w: Column) -> Column:
         grams = _over(F.transform(w, lambda x: F.xxhash64(x)), gram, F.xxhash64)
@@ -222,7 +222,7 @@ def _gram_prints(words: Column, least: int) -> Column:
 
 
 def _word_prints(words: Column, least: int) -> Column:
-    """Fingerprints as ``array<struct<first, last, print>>``, with the windows (by first word) that have each.
+    """Fingerprints as ``array<struct<first, last, place, print>>``, with the windows (by first word) that have each.
 
     The hash that is minimised is 0 at one word in ``_ANCHORS``, so the leftmost such word of a window is its
     minimum and no minima need be taken; only stretches without such a word, of a window or more, take those of
@@ -236,14 +236,14 @@ def _word_prints(words: Column, least: int) -> Column:
         n = F.size(w)
         before = lambda j: F.coalesce(F.get(at, j - 1), F.lit(-1)) + 1
         named = lambda p: F.xxhash64(*(F.get(w, p + k) for k in range(gram)))
-        one = lambda p, j: F.struct(F.greatest(before(j), p - reach).alias("first"), F.least(p, n - least).alias("last"), named(p).alias("print"))
+        one = lambda p, j: F.struct(F.greatest(before(j), p - reach).alias("first"), F.least(p, n - least).alias("last"), p.alias("place"), named(p).alias("print"))
         held = F.filter(F.transform(at, one), lambda s: s["first"] <= s["last"])
         until = lambda j: F.coalesce(F.least(F.get(at, j) - reach - 1, n - least), n - least)
         gaps = F.transform(F.sequence(F.lit(0), F.size(at)), lambda _, j: F.struct(before(j).alias("first"), until(j).alias("last")))
         gaps = F.filter(gaps, lambda g: g["first"] <= g["last"])
 
         def inside(g: Column) -> Column:
-            moved = lambda s: F.struct((s["first"] + g["first"]).alias("first"), (s["last"] + g["first"]).alias("last"), s["print"].alias("print"))
+            moved = lambda s: F.struct((s["first"] + g["first"]).alias("first"), (s["last"] + g["first"]).alias("last"), s["place"].alias("place"), s["print"].alias("print"))
             return F.transform(_gram_prints(_part(w, g["first"], g["last"] - g["first"] + least), least), moved)
 
         return F.concat(held, F.flatten(F.transform(gaps, inside)))
@@ -257,33 +257,48 @@ def _word_prints(words: Column, least: int) -> Column:
 
 def _content(words: Column, start: Column, n: Column, least: int) -> Column:
     """``n`` words from ``start`` as two independent hashes."""
-    return let(_part(words, start, n), lambda x: F.struct(F.xxhash64(x).alias("c1"), F.xxhash64(F.lit(least), x).alias("c2")))
+    return let(F.slice(words, start + 1, n), lambda x: F.struct(F.xxhash64(x).alias("c1"), F.xxhash64(F.lit(least), x).alias("c2")))
+
+
+def _spans(words: Column, met: Column, least: int) -> Column:
+    """Spans as ``array<struct<core, start, last, c>>``: the windows of a fingerprint, by how far before its place
+    they start (in steps), with a hash of the words that all windows of that step hold (``core``) and of all words."""
+    wide = max(least // 6, 1)
+    struct = lambda core, first, last: F.struct(core.alias("core"), first.alias("start"), last.alias("last"), _content(words, first, last - first + least, least).alias("c"))
+
+    def step(s: Column, k: Column) -> Column:
+        top = s["place"] - k * wide
+        core = F.xxhash64(k, F.slice(words, top + 1, F.lit(least - wide + 1)))
+        return struct(core, F.greatest(s["first"], top - (wide - 1)), F.least(s["last"], top))
+
+    steps = lambda s: F.sequence(F.floor((s["place"] - s["last"]) / wide).cast("int"), F.floor((s["place"] - s["first"]) / wide).cast("int"))
+    each = lambda s: F.when(s["place"] < 0, F.array(struct(s["print"], s["first"], s["last"]))).otherwise(F.transform(steps(s), lambda k: step(s, k)))
+    return F.flatten(F.transform(met, each))
 
 
 def _later_words(rows: DataFrame, least: int) -> DataFrame:
     """``(row, gone)``: runs of words to delete, as (start, end), in order and apart. ``rows(_id, _row, _text)``.
 
-    The windows of one fingerprint make a *span*. Spans are compared whole first: where an equal span stands in
-    an earlier row, all its windows do. Single windows are compared only for the first row of each content, and there
-    only where its fingerprint has other contents too, or the row repeats it: the first occurrence of any window
-    lies in such a span, as those of one span differ from each other.
+    Windows of one fingerprint make *spans*, cut so that those of a span share most words, its core. Spans are
+    compared whole first: where an equal span stands in an earlier row, all its windows do. Single windows are
+    compared only for the first row of each content, and there only where its core has other contents too, or the
+    row repeats it: the first occurrence of any window lies in such a span, as those of one span differ from each other.
     """
     rows = rows.filter(F.length("_text") >= 2 * least - 1)
     prints = persist(rows.select("_row", F.inline(_word_prints(words_of(F.col("_text")), least))), "word-prints")
     shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
-    met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "print")).alias("met"))
+    met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "place", "print")).alias("met"))
 
     close = with_small(rows, persist(met, "met"), "_row", "inner", _FEW, F.size("met"))
-    span = lambda w: lambda s: F.struct(s["first"].alias("start"), s["last"].alias("last"), s["print"].alias("print"), _content(w, s["first"], s["last"] - s["first"] + least, least).alias("c"))
-    spans = close.select("_id", "_row", F.inline(let(words_of(F.col("_text")), lambda w: F.transform("met", span(w)))))
-    spans = persist(spans.select("_id", "_row", "start", "last", "print", "c.c1", "c.c2"), "word-spans")
+    spans = close.select("_id", "_row", F.inline(let(words_of(F.col("_text")), lambda w: _spans(w, F.col("met"), least))))
+    spans = persist(spans.select("_id", "_row", "start", "last", "core", "c.c1", "c.c2"), "word-spans")
 
-    key = ["print", "c1", "c2"]
+    key = ["core", "c1", "c2"]
     by_row = spans.groupBy(*key, "_id", "_row").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("own"))
     contents = by_row.groupBy(*key).agg(F.min(F.struct("_id", "_row", "own")).alias("first"), F.sum("own").alias("n"))
     contents = persist(contents.select(*key, F.col("first._row").alias("home"), F.col("first.own").alias("own"), "n"), "contents")
-    mixed = contents.groupBy("print").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("print", F.lit(True).alias("mixed"))
-    told = contents.join(persist(mixed, "mixed"), "print", "left").filter("n > 1 or mixed")
+    mixed = contents.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("core", F.lit(True).alias("mixed"))
+    told = contents.join(persist(mixed, "mixed"), "core", "left").filter("n > 1 or mixed")
     told = persist(told.select(*key, "home", (F.col("mixed").isNotNull() | (F.col("own") > 1)).alias("single")), "told")
     judged = persist(spans.join(told, key).filter("_row <> home or single"), "judged")
     whole = judged.filter("_row <> home").select("_row", "start", (F.col("last") + least).alias("end"))
