@@ -48,8 +48,8 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
 
 
 def _part(x: Column, start: Column, n: Column) -> Column:
-    """``n`` elements (1 or more) from place ``start``: a slice that does not copy the whole array first."""
-    return F.transform(F.sequence(start, start + n - 1), lambda i: F.get(x, i))
+    """``n`` elements (1 or more) from place ``start``, counted from 0."""
+    return F.slice(x, start + 1, n)
 
 
 def _code(start: Column, lines: Column, offset: Column, least: int) -> Column:
@@ -257,7 +257,7 @@ def _word_prints(words: Column, least: int) -> Column:
 
 def _content(words: Column, start: Column, n: Column, least: int) -> Column:
     """``n`` words from ``start`` as two independent hashes."""
-    return let(F.slice(words, start + 1, n), lambda x: F.struct(F.xxhash64(x).alias("c1"), F.xxhash64(F.lit(least), x).alias("c2")))
+    return let(_part(words, start, n), lambda x: F.struct(F.xxhash64(x).alias("c1"), F.xxhash64(F.lit(least), x).alias("c2")))
 
 
 def _spans(words: Column, met: Column, least: int) -> Column:
@@ -268,7 +268,7 @@ def _spans(words: Column, met: Column, least: int) -> Column:
 
     def step(s: Column, k: Column) -> Column:
         top = s["place"] - k * wide
-        core = F.xxhash64(k, F.slice(words, top + 1, F.lit(least - wide + 1)))
+        core = F.xxhash64(k, _part(words, top, F.lit(least - wide + 1)))
         return struct(core, F.greatest(s["first"], top - (wide - 1)), F.least(s["last"], top))
 
     steps = lambda s: F.sequence(F.floor((s["place"] - s["last"]) / wide).cast("int"), F.floor((s["place"] - s["first"]) / wide).cast("int"))
