@@ -171,14 +171,18 @@ def q_window_mode_label(spark, sf):
 
 
 def q_window_rf_features(spark, sf):
-    v = F.col("value")
-    out = _sliding(spark, sf).withColumn("u", F.sin("value")).groupBy("subject", "segment_id", "window_id").agg(
+    v, u = F.col("value"), F.sin("value")
+    # Spark divides by a power of the squares' sum: of values this near to 0 it is 0 by underflow, an error
+    near = F.when(F.abs(v) < 1e-30, 0.0).otherwise(v)
+    out = _sliding(spark, sf).groupBy("subject", "segment_id", "window_id").agg(
         F.count(F.lit(1)).alias("n"), F.median("value").alias("median"), (F.max("value") - F.min("value")).alias("range"),
         (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"), F.sqrt(F.avg(v * v)).alias("rms"), F.sum(v * v).alias("energy"),
-        F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"), F.stddev_pop("value").alias("sd"), F.corr("value", "u").alias("corr"),
+        F.skewness(near).alias("skew"), F.kurtosis(near).alias("kurtosis"), F.stddev_pop("value").alias("sd"), F.stddev_pop(u).alias("su"), F.covar_pop(v, u).alias("both"),
     ).filter("n >= 5")
+    # corr() divides by 0 where all values are equal
+    out = out.withColumn("corr", F.when(F.col("su") == 0, float("nan")).otherwise(F.try_divide("both", F.col("sd") * F.col("su"))))
     zero = (F.col("n") < 3) | (F.col("sd") < 1e-9)
-    out = out.withColumns({c: F.when(zero, 0.0).otherwise(F.col(c)) for c in ("skew", "kurtosis", "corr")}).drop("sd")
+    out = out.withColumns({c: F.when(zero, 0.0).otherwise(F.col(c)) for c in ("skew", "kurtosis", "corr")}).drop("sd", "su", "both")
     return r6(out)
 
 

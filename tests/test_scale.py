@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sensorloom import oracles, queries
 from sensorloom.functions import cleaning as C
 from sensorloom.functions.cleaning import stable_hash
 from sensorloom.operators import metrics, order_stats, sampling, segments
 from sensorloom.sources import discovery, headers, recordings
+from tests import compare
 
 STAGES = ["W", "N2", "?", "REM", "P"]
 
@@ -197,3 +199,18 @@ def test_leave_one_out_by_blocks(spark, block):
     assert got.columns == ["eval_subject", "subject", "subject_rank"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert sampling.other_subjects(subjects, pool.limit(0), "subject", 3, 42, block).count() == 0
+
+
+def test_features_of_windows_without_spread_equal_their_sql(spark, sf, tmp_path):
+    """Equal values, equal sines, values so small that their moments vanish, missing values."""
+    values = {1: [3.5], 2: [1.57079632, 1.57079633], 3: [1e-70, 3e-70, 2e-70], 4: [1.0, 2.0, 4.0], 5: [None], 6: [0.0, 1e-200, 1.0], 7: [None, 0.1]}
+    rows = [(k * 100 + i, k, "click", v[i % len(v)]) for k, v in values.items() for i in range(40)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    at = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, (event_id % 100) * 9000)")
+    events.withColumn("ts", at).coalesce(1).write.parquet(str(tmp_path / "written"))
+    for t in compare.TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(next((tmp_path / "written").glob("*.parquet")) if t == "events" else f"{sf}/{t}.parquet")
+    compare.assert_same(spark, str(tmp_path), queries.q_window_rf_features, oracles.ORACLES["q_window_rf_features"])
+    got = queries.q_window_rf_features(spark, str(tmp_path)).groupBy("subject").agg(F.max("skew").alias("skew"), F.max("corr").alias("corr")).collect()
+    got = {r.subject: r for r in got}
+    assert set(got) == set(values) and (got[1].skew, got[1].corr) == (0.0, 0.0) and got[2].corr != got[2].corr and got[5].corr is None
