@@ -33,11 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import SPACE_CLASS, SPACES, WORD, let, row_key, stable, with_small, words_of
+from .common import SPACE_CLASS, SPACES, WORD, let, row_key, stable, with_small
 
 #: Least words of a run that is worth deleting.
 LEAST = 50
 _FEW = 500_000  # windows, of 8 bytes, that may be broadcast
+_IDS = 2_000_000  # row ids that may be broadcast
 _ANCHORS = 8  # one word in so many is a fingerprint of its own
 _PRINTS = "array<struct<first:int,last:int,place:int,print:bigint>>"
 
@@ -47,6 +48,28 @@ def persist(df: DataFrame, tag: str) -> DataFrame:
     return common.persist(df, tag, compression="zstd")
 
 
+def _with_lists(rows: DataFrame, lists: DataFrame, how: str, weight: Column, few: int = _FEW, most: int = _IDS) -> DataFrame:
+    """``rows`` (texts) joined by ``_row`` with a table of few rows that was just written.
+
+    It is broadcast up to ``few``, by the sum of ``weight``. Beyond, its row ids are, up to ``most``, so that only texts
+    which have a partner are shuffled; beyond that all are.
+    """
+    n, size = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if size <= few:
+        return rows.join(F.broadcast(lists), "_row", how)
+    if n > most:
+        return rows.join(lists, "_row", how)
+    ids = F.broadcast(lists.select("_row"))
+    met = rows.join(ids, "_row", "left_semi").join(lists, "_row")
+    return met if how == "inner" else met.unionByName(rows.join(ids, "_row", "left_anti"), allowMissingColumns=True)
+
+
+def _words(text: Column) -> Column:
+    """The words of a text. Texts whose only white space is spaces and line ends, as most, are split without a pattern."""
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    return F.array_remove(F.when(text.rlike(r"[\t\x0B\f\r]"), F.split(text, SPACES)).otherwise(plain), "")
+
+
 def _part(x: Column, start: Column, n: Column) -> Column:
     """``n`` elements (1 or more) from place ``start``, counted from 0."""
     return F.slice(x, start + 1, n)
@@ -146,7 +169,7 @@ def _cut_lines(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFra
     gone = _later(df.select(F.col(id_col).alias("_id"), text.alias("_text"), row_key().alias("_row")), least)
     others = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text_col))
     rows = df.select(others.alias("_all"), F.col(text_col).alias("_old"), text.alias("_text"), row_key().alias("_row"))
-    both = with_small(rows, gone, "_row", "left", _FEW, 1 + F.size("gone"))
+    both = _with_lists(rows, gone, "left", 1 + F.size("gone"))
     split = both.withColumn("_lines", F.split("_text", "\n")).withColumn(
         "_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.get("_lines", i).rlike(WORD))
     )
@@ -285,12 +308,12 @@ def _later_words(rows: DataFrame, least: int) -> DataFrame:
     row repeats it: the first occurrence of any window lies in such a span, as those of one span differ from each other.
     """
     rows = rows.filter(F.length("_text") >= 2 * least - 1)
-    prints = persist(rows.select("_row", F.inline(_word_prints(words_of(F.col("_text")), least))), "word-prints")
+    prints = persist(rows.select("_row", F.inline(_word_prints(_words(F.col("_text")), least))), "word-prints")
     shared = persist(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print"), "prints")
     met = with_small(prints, shared, "print", most=_FEW).groupBy("_row").agg(F.collect_list(F.struct("first", "last", "place", "print")).alias("met"))
 
-    close = with_small(rows, persist(met, "met"), "_row", "inner", _FEW, F.size("met"))
-    spans = close.select("_id", "_row", F.inline(let(words_of(F.col("_text")), lambda w: _spans(w, F.col("met"), least))))
+    close = _with_lists(rows, persist(met, "met"), "inner", F.size("met"))
+    spans = close.select("_id", "_row", F.inline(let(_words(F.col("_text")), lambda w: _spans(w, F.col("met"), least))))
     spans = persist(spans.select("_id", "_row", "start", "last", "core", "c.c1", "c.c2"), "word-spans")
 
     key = ["core", "c1", "c2"]
@@ -304,9 +327,9 @@ def _later_words(rows: DataFrame, least: int) -> DataFrame:
     whole = judged.filter("_row <> home").select("_row", "start", (F.col("last") + least).alias("end"))
 
     asked = judged.filter("_row = home").groupBy("_row").agg(F.collect_list(F.struct("start", "last")).alias("asked"))
-    near = with_small(rows, persist(asked, "asked"), "_row", "inner", _FEW, F.size("asked"))
+    near = _with_lists(rows, persist(asked, "asked"), "inner", F.size("asked"))
     one = lambda w: lambda i: F.struct(i.alias("start"), _content(w, i, F.lit(least), least).alias("c"))
-    windows = let(words_of(F.col("_text")), lambda w: F.flatten(F.transform("asked", lambda s: F.transform(F.sequence(s["start"], s["last"]), one(w)))))
+    windows = let(_words(F.col("_text")), lambda w: F.flatten(F.transform("asked", lambda s: F.transform(F.sequence(s["start"], s["last"]), one(w)))))
     found = persist(near.select("_id", "_row", F.inline(windows)).select("_id", "_row", "start", "c.c1", "c.c2"), "word-windows")
     spot = F.struct(F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("start"))
     first = found.groupBy("c1", "c2").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -332,7 +355,7 @@ def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     cut = persist(_cut_lines(df, id_col, text_col, least), "cut-lines")
     gone = _later_words(cut.select(F.col(f"_all.`{id_col}`").alias("_id"), "_row", "_text"), least)
-    both = with_small(cut, gone, "_row", "left", _FEW, 1 + F.size("gone"))
+    both = _with_lists(cut, gone, "left", 1 + F.size("gone"))
 
     def left(words: Column) -> Column:
         bounds = F.sequence(F.lit(0), F.size("gone"))

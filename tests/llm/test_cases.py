@@ -234,3 +234,22 @@ def test_pages_of_one_payload(spark, tmp_path):
     got = warc.read_bundles(warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), f"file://{tmp_path}/w")).collect()
     assert len(got) == len(rows) and sum(r.record_type == "response" for r in got) == 2
     assert all(r.refers_to == 3 for r in got if r.record_type == "revisit") and sum(r.page_id == 3 for r in got) == 2
+
+
+@pytest.mark.parametrize("few, most", [(100, 100), (3, 100), (3, 1)])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_texts_without_partner_are_not_moved(spark, tmp_path, few, most, how):
+    spark.range(40).selectExpr("id as _row", "repeat('x', int(id)) as _text").write.parquet(str(tmp_path / "rows"))
+    spark.range(0, 50, 7).selectExpr("id as _row", "array(id) as gone").write.parquet(str(tmp_path / "lists"))
+    rows, lists = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "lists"))
+    got = line_dedup._with_lists(rows, lists, how, F.size("gone"), few, most)
+    want = [(i, "x" * i, None if i % 7 else [i]) for i in range(40) if how == "left" or not i % 7]
+    assert sorted(map(tuple, got.select("_row", "_text", "gone").collect())) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") + plan.count("LeftAnti") == (0 if few == 100 or most == 1 else 1 if how == "inner" else 2)
+
+
+def test_words_split_with_and_without_a_pattern(spark):
+    texts = ["", " ", "a", " a  b\nc\n", "a\tb \x0b\x0c\rc", "  x y z\n\n\n", "a\\b [ ] \x1f \x00 \x85"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup._words(F.col("t")).alias("w")).collect()
+    assert [r.w for r in got] == [[w for w in re.split(r"[\x20\x09-\x0D]+", t) if w] for t in texts]
